@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumigraph.llm import line_dedup, mixing, url_filter
+from lumigraph.llm import decontaminate, line_dedup, mixing, url_filter
 
 MODULES = {
     "op5_line_dedup": line_dedup,
     "op7_url_filter": url_filter,
+    "op8_decontamination": decontaminate,
     "op9_mixing": mixing,
 }
 
