@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumigraph.llm import decontaminate, line_dedup, mixing, url_filter
+from lumigraph.llm import decontaminate, line_dedup, mixing, ngram_join, url_filter
 
 MODULES = {
+    "op1_ngram_join": ngram_join,
     "op5_line_dedup": line_dedup,
     "op7_url_filter": url_filter,
     "op8_decontamination": decontaminate,
