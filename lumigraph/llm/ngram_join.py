@@ -22,6 +22,8 @@ SHINGLE, RATIO = 5, 1.5
 TASK_SHINGLES, FAN = 1_000_000, 8
 #: Prints that a task remembers, to emit copies once.
 SEEN = 1_000_000
+#: Frequent shingles, as far as they are known: those of LEAST documents or more in a window of WINDOW shingles; the first HOT are broadcast (8 bytes each).
+WINDOW, LEAST, HOT = 4_000_000, 3, 200_000
 
 
 @lru_cache(maxsize=None)
@@ -46,53 +48,71 @@ def parts_of(band: int) -> tuple[int, int]:
     return 0, least
 
 
-def keys_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, document): two documents that link have a key in common.
+def roles_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(band, band below if the set can be the larger one of a pair with the smaller there): -1 for none."""
+    own = np.array([band_of(int(n)) if n else -1 for n in sizes], np.int64)
+    low = np.array([band_of(int(-(-4 * n // 5))) if n else -1 for n in sizes], np.int64)
+    return own, np.where((own > 0) & (low < own), own - 1, -1)
 
-    For its own band and, if it can be the larger of a pair, for the band below,
-    a document emits the hash of each part of its shingles.  One that has too
-    few parts emits also, as all such documents do, its least shingles: of
-    two sets that link, the least n - ceil(0.8 n) + 1 have one in common.
+
+def node_of(prints: np.ndarray, role: np.ndarray) -> np.ndarray:
+    """A set in its role for one band: bands are apart in the graph of candidates."""
+    with np.errstate(over="ignore"):
+        return A.mix(prints.view(np.uint64) + role.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+
+
+def keys_of(h: np.ndarray, sizes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, document, role): two documents that link have a key in common in one role.
+
+    In each of its roles a document's shingles are dealt into parts, and it
+    emits the hashes of `least` of them.  Sets that link have all but `least`
+    - 1 parts in common, so that, with both taking the first `least` in one
+    order of parts, one of these is the same: parts with most shingles that are
+    not `hot` come first, for few documents have those in common by chance.
+    Sets with too few parts emit also, as all such sets do, their least
+    shingles: of two that link, the least n - ceil(0.8 n) + 1 have one in common.
     """
     starts = np.cumsum(sizes) - sizes
-    out_keys, out_docs = [], []
-    band = np.array([band_of(int(n)) if n else -1 for n in sizes])
-    lowest = np.array([band_of(int(-(-4 * n // 5))) if n else -1 for n in sizes])
-    for below in (0, 1):
-        role = band - below
-        docs = np.flatnonzero((sizes > 0) & (role >= lowest) & (role >= 0))
+    cold = np.ones(len(h), bool)
+    if len(hot):
+        cold = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] != h
+    out_keys, out_docs, out_roles = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for role in roles_of(sizes):
+        docs = np.flatnonzero((sizes > 0) & (role >= 0))
         if not len(docs):
             continue
-        info = {b: parts_of(int(b)) for b in np.unique(role[docs])}
-        parts = np.array([info[b][0] for b in role[docs]], np.int64)
-        least = np.array([info[b][1] for b in role[docs]], np.int64)
+        info = {b: parts_of(int(b)) for b in np.unique(role[docs]).tolist()}
+        parts = np.array([info[b][0] for b in role[docs].tolist()], np.int64)
+        least = np.array([info[b][1] for b in role[docs].tolist()], np.int64)
         n = sizes[docs]
         which = np.repeat(np.arange(len(docs)), n)
-        token = np.repeat(starts[docs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        base = np.cumsum(np.maximum(parts, 1)) - np.maximum(parts, 1)
-        part = (h[token] % np.maximum(parts, 1).astype(np.uint64)[which]).astype(np.int64)
-        total = int(np.maximum(parts, 1).sum())
-        sums, used = np.zeros(total, np.uint64), np.zeros(total, bool)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        token = starts[docs][which] + inside
+        room = np.maximum(parts, 1)
+        base = np.cumsum(room) - room
+        part = base[which] + (h[token] % room.astype(np.uint64)[which]).astype(np.int64)
+        sums = np.zeros(int(room.sum()), np.uint64)
         with np.errstate(over="ignore"):
-            np.add.at(sums, base[which] + part, A.mix(h[token]))
-            used[base[which] + part] = True
-            of = np.repeat(np.arange(len(docs)), np.maximum(parts, 1))
-            filled = np.bincount(of[used], minlength=len(docs))
-            good = (parts > 0) & (filled >= least)
-            take = used & (parts > 0)[of]
-            place = (np.arange(total) - base[of])[take].astype(np.uint64)
-            space = role[docs][of[take]].astype(np.uint64)
-            out_keys.append(A.mix(sums[take] + place * np.uint64(0x9E3779B97F4A7C15) + space * np.uint64(0xD1B54A32D192ED03)))
-            out_docs.append(docs[of[take]])
+            np.add.at(sums, part, A.mix(h[token]))
+            filled = np.bincount(part, minlength=len(sums))
+            weight = np.bincount(part, cold[token], minlength=len(sums)).astype(np.int64)
+            of = np.repeat(np.arange(len(docs)), room)
+            place = (np.arange(len(sums)) - base[of]).astype(np.uint64)
+            space = role[docs][of].astype(np.uint64)
+            key = A.mix(sums + place * np.uint64(0x9E3779B97F4A7C15) + space * np.uint64(0xD1B54A32D192ED03))
+            at = np.flatnonzero((filled > 0) & (parts[of] > 0))
+            at = at[np.lexsort((key[at], -weight[at], of[at]))]
+            rank = np.arange(len(at)) - np.searchsorted(of[at], of[at])
+            at = at[rank < least[of[at]]]
+            out_keys.append(key[at])
+            out_docs.append(docs[of[at]])
+            few = (parts == 0) | (np.bincount(of[filled > 0], minlength=len(docs)) < least)
             prefix = n - -(-4 * n // 5) + 1
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            take = ~good[which] & (inside < prefix[which])
-            space = role[docs][which[take]].astype(np.uint64)
-            out_keys.append(A.mix(h[token][take] ^ A.mix(space + np.uint64(1))))
+            take = few[which] & (inside < prefix[which])
+            out_keys.append(A.mix(h[token][take] ^ A.mix(role[docs][which[take]].astype(np.uint64) + np.uint64(1))))
             out_docs.append(docs[which[take]])
-    if not out_keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out_keys), np.concatenate(out_docs)
+        out_roles += [role[x] for x in out_docs[-2:]]
+    return np.concatenate(out_keys), np.concatenate(out_docs), np.concatenate(out_roles)
 
 
 def prints_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,31 +126,55 @@ def prints_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+NAMES = ["doc_id", "n", "f1", "f2", "own", "below"]
+
+
+def _frequent(h: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows with n -1: f1 is a shingle of LEAST documents or more of the window, f2 of how many."""
+    h = np.sort(np.concatenate(h)) if h else np.zeros(0, np.uint64)
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    n = np.diff(np.append(at, len(h)))
+    at, n = at[n >= LEAST], n[n >= LEAST]
+    none = pa.nulls(len(at), pa.int64())
+    return pa.RecordBatch.from_arrays([none, pa.array(np.full(len(at), -1)), pa.array(h[at].view(np.int64)), pa.array(n), none, none], NAMES)
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    window, held = [], 0
     for batch in batches:
         for t in A.texts(batch.column(1)):
             h, sizes = A.shingle_sets(t, SHINGLE)
             one, two = prints_of(h, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.n), pa.array(sizes.astype(np.int64)), pa.array(one), pa.array(two)], ["doc_id", "n", "f1", "f2"])
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for batch in batches:
-        for t in A.texts(batch.column(0)):
-            h, sizes = A.shingle_sets(t, SHINGLE)
-            one, _ = prints_of(h, sizes)
-            new = np.zeros(t.n, bool)
-            for i, f in enumerate(one.tolist()):
-                if sizes[i] and f not in seen:
-                    new[i] = True
-                    seen.add(f)
-            if len(seen) > SEEN:
-                seen.clear()
-            key, doc = keys_of(h[np.repeat(new, sizes)], sizes[new])
-            node = one[new][doc]
-            for i in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000].view(np.int64)), pa.array(node[i : i + 100_000])], ["key", "node"])
+            nodes = [pa.array(node_of(one, r), mask=r < 0) for r in roles_of(sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.n), pa.array(sizes.astype(np.int64)), pa.array(one), pa.array(two), *nodes], NAMES)
+            window.append(h)
+            held += len(h)
+            if held >= WINDOW:
+                yield _frequent(window)
+                window, held = [], 0
+    yield _frequent(window)
+
+
+def _keys(hot):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for t in A.texts(batch.column(0)):
+                h, sizes = A.shingle_sets(t, SHINGLE)
+                one, _ = prints_of(h, sizes)
+                new = np.zeros(t.n, bool)
+                for i, f in enumerate(one.tolist()):
+                    if sizes[i] and f not in seen:
+                        new[i] = True
+                        seen.add(f)
+                if len(seen) > SEEN:
+                    seen.clear()
+                key, doc, role = keys_of(h[np.repeat(new, sizes)], sizes[new], hot.value)
+                node = node_of(one[new][doc], role)
+                for i in range(0, len(key), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000].view(np.int64)), pa.array(node[i : i + 100_000])], ["key", "node"])
+
+    return run
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +342,9 @@ def join(docs: DataFrame, task_shingles: int = TASK_SHINGLES) -> DataFrame:
 
     1. Copies collapse to one representative by two hashes of their sets.
     2. Sets that share a key (`keys_of`) are chained; the connected components
-       of these chains are clusters, which no link leaves.
+       of these chains, band by band of sizes, are clusters: no link leaves
+       all of them.  Which shingles count as frequent has no part in that; it
+       only keeps passages that many documents share from tying clusters together.
     3. Each cluster's sets meet in one task, which builds a signature tree and
        traverses it against itself.  Clusters of more than `task_shingles` are
        dealt into chunks, and each pair of chunks has its task, so that memory
@@ -311,17 +357,23 @@ def join(docs: DataFrame, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     each has its own component.  Extra columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = stash(docs.mapInArrow(_prints, "doc_id long, n long, f1 long, f2 long"))
-    reps = prints.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
+    rows = stash(docs.mapInArrow(_prints, ", ".join(f"{x} long" for x in NAMES)))
+    hot = rows.where("n = -1").groupBy("f1").agg(F.sum("f2").alias("docs")).orderBy(F.desc("docs"), "f1").limit(HOT).select("f1").toArrow()
+    hot = np.sort(hot["f1"].to_numpy().view(np.uint64))
+    prints = rows.where("n >= 0")
+    reps = prints.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n", "own", "below").agg(F.min("doc_id").alias("rep"))
     known = docs.where("doc_id IS NOT NULL").select("text")
-    keys = known.mapInArrow(_keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    keys = known.mapInArrow(_keys(docs.sparkSession.sparkContext.broadcast(hot)), "key long, node long").repartition("key").sortWithinPartitions("key", "node")
     clusters = connected_components(keys.mapInArrow(_chain, "a long, b long"), "a", "b")
 
-    members = stash(reps.join(clusters, F.col("f1") == F.col("id")).select("f1", "f2", "n", "rep", F.col("component").alias("group")))
+    members = reps.select("f1", "f2", "n", "rep", F.explode(F.array("own", "below")).alias("id")).where("id IS NOT NULL")
+    members = stash(members.join(clusters, "id").select("f1", "f2", "n", "rep", F.col("component").alias("group")))
     chunks = members.groupBy("group").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("chunks"))
     members = members.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("f1", "f2"), F.col("chunks")).cast("int"))
-    sets = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "f1", "f2", F.col("doc_id").alias("rep"), "group", "chunk", "chunks")
-    sets = sets.mapInArrow(_sets, "f1 long, f2 long, rep long, group long, chunk int, chunks int, set binary")
+    places = members.groupBy("rep", "f1", "f2").agg(F.collect_list(F.struct("group", "chunk", "chunks")).alias("places"))  # two at most
+    sets = docs.join(places.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "f1", "f2", F.col("doc_id").alias("rep"), "places")
+    sets = sets.mapInArrow(_sets, "f1 long, f2 long, rep long, places array<struct<group: long, chunk: int, chunks: int>>, set binary")
+    sets = sets.select("rep", "set", F.inline("places"))
     own = F.col("chunk")
     other = F.sequence(F.lit(0), F.col("chunks") - 1)
     tasks = sets.select("group", "rep", "set", own.alias("c"), F.explode(other).alias("o")).select("group", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "set")
