@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lumigraph.llm import decontaminate, line_dedup, mixing, ngram_join, url_filter
+from lumigraph.llm import decontaminate, line_dedup, mixing, ngram_join, quality, toxicity, url_filter
 
 MODULES = {
     "op1_ngram_join": ngram_join,
+    "op4_toxicity": toxicity,
     "op5_line_dedup": line_dedup,
     "op7_url_filter": url_filter,
     "op8_decontamination": decontaminate,
     "op9_mixing": mixing,
+    "op10_quality": quality,
 }
 
 
