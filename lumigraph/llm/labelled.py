@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumigraph.llm.text import free_name
 
@@ -44,7 +45,7 @@ def scored(docs: DataFrame, score, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept.value(batch.column(text)), pa.float64())], [*[f"c{i}" for i in range(batch.num_columns)], "score"])
 
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    schema = inner.schema.add("score", "double")
+    schema = T.StructType([*inner.schema.fields, T.StructField("score", T.DoubleType())])
     return inner.mapInArrow(run, schema).toDF(*docs.columns, name)
 
 
