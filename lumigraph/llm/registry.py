@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumigraph.llm import decontaminate, embed_dedup, line_dedup, mixing, ngram_join, quality, toxicity, url_filter
+from lumigraph.llm import decontaminate, embed_dedup, line_dedup, mixing, ngram_join, quality, secrets, toxicity, url_filter
 
 MODULES = {
     "op1_ngram_join": ngram_join,
     "op2_embedding_dedup": embed_dedup,
+    "op3_secret_scan": secrets,
     "op4_toxicity": toxicity,
     "op5_line_dedup": line_dedup,
     "op7_url_filter": url_filter,
