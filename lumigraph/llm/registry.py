@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumigraph.llm import decontaminate, embed_dedup, line_dedup, mixing, ngram_join, quality, secrets, toxicity, url_filter
+from lumigraph.llm import decontaminate, embed_dedup, line_dedup, mixing, ngram_join, pii, quality, secrets, toxicity, url_filter
 
 MODULES = {
     "op1_ngram_join": ngram_join,
@@ -10,6 +10,7 @@ MODULES = {
     "op3_secret_scan": secrets,
     "op4_toxicity": toxicity,
     "op5_line_dedup": line_dedup,
+    "op6_pii": pii,
     "op7_url_filter": url_filter,
     "op8_decontamination": decontaminate,
     "op9_mixing": mixing,
