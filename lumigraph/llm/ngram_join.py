@@ -18,8 +18,8 @@ from lumigraph.sources.tables import stash, table
 
 #: Sets link if 5 * common >= 4 * all, which is 9 * common >= 4 * (one + other): at most (one + other) / 9 shingles are not common.
 SHINGLE, RATIO = 5, 1.5
-#: Shingles that one task holds at once; larger clusters are joined chunk by chunk.  Children of a tree's node.
-TASK_SHINGLES, FAN = 1_000_000, 8
+#: Shingles and sets of a chunk: larger clusters are joined chunk by chunk.  Children of a tree's node.
+TASK_SHINGLES, TASK_SETS, FAN = 1_000_000, 1_500, 8
 #: Prints that a task remembers, to emit copies once.
 SEEN = 1_000_000
 #: Frequent shingles, as far as they are known: those of LEAST documents or more in a window of WINDOW shingles; the first HOT are broadcast (8 bytes each).
@@ -334,7 +334,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(reps, sets)
 
 
-def join(docs: DataFrame, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+def join(docs: DataFrame, task_shingles: int = TASK_SHINGLES, task_sets: int = TASK_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text).
 
     Documents are sets of distinct runs of five words and link at a Jaccard
@@ -346,8 +346,8 @@ def join(docs: DataFrame, task_shingles: int = TASK_SHINGLES) -> DataFrame:
        all of them.  Which shingles count as frequent has no part in that; it
        only keeps passages that many documents share from tying clusters together.
     3. Each cluster's sets meet in one task, which builds a signature tree and
-       traverses it against itself.  Clusters of more than `task_shingles` are
-       dealt into chunks, and each pair of chunks has its task, so that memory
+       traverses it against itself.  Clusters of more than `task_shingles`
+       shingles or `task_sets` sets are dealt into chunks, and each pair of chunks has its task, so that memory
        is bounded and nothing is left out.
     4. What the tasks found is joined by connected components.
 
@@ -368,7 +368,7 @@ def join(docs: DataFrame, task_shingles: int = TASK_SHINGLES) -> DataFrame:
 
     members = reps.select("f1", "f2", "n", "rep", F.explode(F.array("own", "below")).alias("id")).where("id IS NOT NULL")
     members = stash(members.join(clusters, "id").select("f1", "f2", "n", "rep", F.col("component").alias("group")))
-    chunks = members.groupBy("group").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("chunks"))
+    chunks = members.groupBy("group").agg(F.ceil(F.greatest(F.sum("n") / task_shingles, F.count("*") / task_sets)).cast("int").alias("chunks"))
     members = members.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("f1", "f2"), F.col("chunks")).cast("int"))
     places = members.groupBy("rep", "f1", "f2").agg(F.collect_list(F.struct("group", "chunk", "chunks")).alias("places"))  # two at most
     sets = docs.join(places.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "f1", "f2", F.col("doc_id").alias("rep"), "places")
