@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<kind: string, start: int, end: int, hit: string, part: string>>"
-NONE = F.lit(None).cast(SPAN)
 
 
 def spans(text: Column, kind: str, pattern: str | Column, group: int = 0) -> Column:
