@@ -56,14 +56,14 @@ def encode(t: A.Texts) -> tuple[np.ndarray, np.ndarray]:
     out[:, CLASSES + 1] = np.add.reduceat(same, head, dtype=np.int64) / n
     key = np.unique((passage.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)))
     out[:, CLASSES + 2] = np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(head)) / n
-    with np.errstate(over="ignore"):
-        run3 = A.mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7) + doc[:-2].astype(np.uint64)) if len(h) > 2 else np.zeros(0, np.uint64)
     again = np.zeros(len(h))
-    if len(run3):
-        ordered = np.sort(run3)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if len(twice):
-            again[:-2] = (twice[np.minimum(np.searchsorted(twice, run3), len(twice) - 1)] == run3) & (doc[:-2] == doc[2:])
+    inside = np.flatnonzero(doc[:-2] == doc[2:])  # runs of three words of one document
+    with np.errstate(over="ignore"):
+        run = A.mix(h[inside] * np.uint64(3) + h[inside + 1] * np.uint64(5) + h[inside + 2] * np.uint64(7) + doc[inside].astype(np.uint64))
+    ordered = np.sort(run)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(twice):
+        again[inside] = twice[np.minimum(np.searchsorted(twice, run), len(twice) - 1)] == run
     out[:, CLASSES + 3] = np.add.reduceat(again, head) / n
     out[:, CLASSES + 4] = np.log1p(n) / np.log1p(PASSAGE)
     out[:, CLASSES + 5] = np.log1p(count[owner]) / 10
