@@ -71,19 +71,22 @@ def disclosing(docs: DataFrame) -> DataFrame:
     many times discloses nothing by that.
     """
     text = F.coalesce("text", F.lit(""))
+    words = lambda t: F.array_distinct(F.split(ascii_lower(t), GAP, -1))
     rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("f"), text.alias("t"), base(text).alias("spans")).where(F.size("spans") > 0)
-    seen = rows.select("d", "f", F.explode(F.transform("spans", lambda s: F.struct(F.concat_ws(":", s["kind"], ascii_lower(s["hit"])).alias("entity"), _context(F.col("t"), s).alias("context")))).alias("x"))
-    seen = stash(seen.select("d", "f", "x.entity", "x.context", F.xxhash64("x.context").alias("c")))
+    seen = rows.select("d", "f", words(F.col("t")).alias("words"), F.explode(F.transform("spans", lambda s: F.struct(F.concat_ws(":", s["kind"], ascii_lower(s["hit"])).alias("entity"), _context(F.col("t"), s).alias("context")))).alias("x"))
+    seen = stash(seen.select("d", "f", "words", "x.entity", "x.context", F.xxhash64("x.context").alias("c")))
     entities = seen.groupBy("entity").agg(F.countDistinct("c").alias("contexts"), F.countDistinct("d", "f").alias("docs")).where(F.col("contexts") >= CONTEXTS)
     near = seen.join(entities.select("entity", F.col("docs").alias("of_entity")), "entity").select("entity", "of_entity", "d", "f", "c", F.explode(F.array_distinct("context")).alias("term"))
     near = near.groupBy("entity", "of_entity", "term").agg(F.countDistinct("c").alias("contexts"), F.countDistinct("d", "f").alias("together")).where(F.col("contexts") >= CONTEXTS)
-    near = stash(near)
+    # A term in too many of the documents that hold any entity can't have the share over all: so go the common words.
+    inside = seen.select("d", "f", "words").dropDuplicates(["d", "f"]).select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("inside"))
+    near = stash(near.join(inside, "term").where(F.col("together") >= SHARE * F.col("inside")))
     terms = near.select("term").distinct()
     few = terms.limit(BROADCAST + 1).count()
     if not few:
         return seen.select("d", "f", F.array(F.lit("")).alias("terms")).limit(0)
-    words = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("f"), F.explode(F.array_distinct(F.split(ascii_lower(text), GAP, -1))).alias("term"))
-    held = stash(words.join(F.broadcast(terms) if few <= BROADCAST else terms, "term", "left_semi").distinct())
+    everywhere = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("f"), F.explode(words(text)).alias("term"))
+    held = stash(everywhere.join(F.broadcast(terms) if few <= BROADCAST else terms, "term", "left_semi").distinct())
     n = docs.count()
     of_term = held.groupBy("term").agg(F.count("*").alias("of_term"))
     share = F.col("together") / F.col("of_term")
