@@ -45,8 +45,8 @@ class Texts:
         self.data, self.ends, self.first, self.n = data, ends, first, len(ends) - 1
 
 
-def texts(column: pa.Array) -> Iterator[Texts]:
-    """The column's documents in pieces of about BYTES bytes; null is empty; `first` is the row of a piece's first document."""
+def texts(column: pa.Array, most: int = BYTES) -> Iterator[Texts]:
+    """The column's documents in pieces of about `most` bytes; null is empty; `first` is the row of a piece's first document."""
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
@@ -57,7 +57,7 @@ def texts(column: pa.Array) -> Iterator[Texts]:
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + most, "right")) - 1)
         yield Texts(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], i)
         i = j
 

@@ -12,6 +12,8 @@ from lumigraph.sources.tables import table
 
 GRAMS, BUCKETS, DIM, PASSAGE = (3, 4, 5), 1 << 17, 8, 16
 THRESHOLD = 0.5
+#: Bytes of text looked at together: every character becomes some hundred bytes of hashes.
+PIECE = 1 << 20
 #: Buckets found in fewer documents of the sample have no vector and take no part in means.
 LEAST_DOCS = 20
 #: Factor of the mean in the softmax: a telling word is a small part of a passage's mean.
@@ -80,7 +82,7 @@ class Model:
         A document without words has the bias, the logit of no evidence.
         """
         out = []
-        for t in A.texts(column):
+        for t in A.texts(column, PIECE):
             c, at, doc, _ = passages(t)
             total, count = np.zeros(len(c)), np.zeros(len(c))
             for bucket, ok in grams(c):
@@ -101,23 +103,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(column) @ self.scale, -500, 500)))
 
 
-def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets of all passages, end of each passage among them, document of each passage)."""
-    buckets, ends, docs, base = [], [0], [], 0
-    for t in A.texts(column):
+def bags(column: pa.Array):
+    """For each piece of the column: (bucket of each gram, passage of each gram, document of each passage)."""
+    for t in A.texts(column, PIECE):
         c, at, doc, _ = passages(t)
         if len(doc):
             found = [(np.flatnonzero(ok), b[ok]) for b, ok in grams(c)]
-            place, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-            of = np.searchsorted(at, place, "right") - 1
-            order = np.argsort(of, kind="stable")
-            buckets.append(b[order])
-            ends.extend((base + np.cumsum(np.bincount(of, minlength=len(doc)))).tolist())
-            base = ends[-1]
-            docs.append(doc + t.first)
-    if not docs:
-        return np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(buckets), np.array(ends), np.concatenate(docs)
+            of = np.searchsorted(at, np.concatenate([x for x, _ in found]), "right") - 1
+            yield np.concatenate([b for _, b in found]), of, doc + t.first
+
+
+def chosen_bags(column: pa.Array, known: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(known buckets of the chosen passages, one passage after another; where each ends, from 0 on)."""
+    out, ends, before, base = [], [np.zeros(1, np.int64)], 0, 0
+    for bucket, of, doc in bags(column):
+        own = chosen[(chosen >= before) & (chosen < before + len(doc))] - before
+        take = np.zeros(len(doc), bool)
+        take[own] = True
+        keep = take[of] & known[bucket]
+        order = np.argsort(of[keep], kind="stable")
+        out.append(bucket[keep][order])
+        ends.append(base + np.cumsum(np.bincount(of[keep], minlength=len(doc))[take]))
+        base += len(out[-1])
+        before += len(doc)
+    return np.concatenate(out), np.concatenate(ends)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -138,18 +147,27 @@ def fit(column: pa.Array, y: np.ndarray, seed: int = 1) -> Model:
     classes weigh the same.  A fifth of the sample, kept from the fit, sets how
     much the mean and the highest passages of a document count.  Without two classes: one constant score.
     """
+    rate = (y.sum() + 0.5) / (len(y) + 1)
+    constant = Model(np.zeros(BUCKETS), np.zeros(BUCKETS, bool), float(np.log(rate / (1 - rate))), np.array([1.0, 0, 0, 0]))
     if len(y) < 20 or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(np.zeros(BUCKETS), np.zeros(BUCKETS, bool), float(np.log(rate / (1 - rate))), np.array([1.0, 0, 0, 0]))
+        return constant
     rng = np.random.default_rng(seed)
-    buckets, ends, doc = bags(column)
-    of = np.repeat(doc, np.diff(ends))
-    known = np.bincount(np.unique(of.astype(np.int64) * BUCKETS + buckets) % BUCKETS, minlength=BUCKETS) >= LEAST_DOCS
-    ends = np.append(0, np.cumsum(known[buckets]))[ends]
-    buckets = buckets[known[buckets]]
-    some = np.diff(ends) > 0
-    ends, doc = np.append(0, ends[1:][some]), doc[some]
     check = np.arange(len(y)) % 5 == 0
+    found, doc = np.zeros(BUCKETS, np.int64), []
+    for bucket, of, own in bags(column):
+        found += np.bincount(np.unique(own[of] * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
+        doc.append(own)
+    doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
+    known = found >= LEAST_DOCS
+    own = np.flatnonzero(~check[doc])
+    toxic = rng.permutation(own[y[doc[own]] == 1])[: FIT_PASSAGES // 2]
+    clean = rng.permutation(own[y[doc[own]] == 0])[: FIT_PASSAGES - len(toxic)]
+    chosen = np.sort(np.append(toxic, clean))
+    if not len(toxic) or not len(clean) or not known.any():
+        return constant
+    buckets, ends = chosen_bags(column, known, chosen)
+    doc, full = doc[chosen], np.diff(ends) > 0
+    ends, doc = np.append(0, ends[1:][full]), doc[full]
     e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2)
@@ -184,11 +202,8 @@ def fit(column: pa.Array, y: np.ndarray, seed: int = 1) -> Model:
             w -= (rate * gw / np.sqrt(seen_w)).astype(np.float32)
             bias -= rate * gb / np.sqrt(seen_b)
 
-    own = np.flatnonzero(~check[doc])
-    toxic = rng.permutation(own[y[doc[own]] == 1])[: FIT_PASSAGES // 2]
-    clean = rng.permutation(own[y[doc[own]] == 0])[: FIT_PASSAGES - len(toxic)]
     for _ in range(EPOCHS):
-        learn(rng.permutation(np.append(toxic, clean)), RATE)
+        learn(rng.permutation(len(doc)), RATE)
     model = Model(GAIN * e @ (w[:, 1] - w[:, 0]), known, float(bias[1] - bias[0]), np.zeros(4))
     model.scale = _calibrate(model.features(column.filter(pa.array(check))), y[check])
     return model
