@@ -32,24 +32,28 @@ def normal_cdf(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * z + 0.070566 * z * z * z)))
 
 
-def _battery(value: Column, alphabet: str, same: float) -> Column:
-    """p of a token under the hypothesis that it is structured text; 1 if it is not like random text in its order.
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    Chi-squared against uniformity grows with length for text whose characters
-    repeat with chance `same` and stays near its degrees of freedom for random
-    characters, so that p falls with length: the distance in between, over the
-    spread of such text.  Runs above and below the middle of the alphabet, and
-    the serial correlation of neighbours, are those of random text or p is 1.
-    """
-    k, t = len(alphabet), F.regexp_replace(F.translate(value, "-_", "+/"), "=+$", "")
-    t = F.lower(t) if alphabet == alphabet.lower() else t
-    n = F.length(t).cast("double")
-    squares = sum(((F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))) ** 2 for c in alphabet), F.lit(0.0))
-    chi = (k * squares / n - n - (k - 1)) / (2 * (k - 1)) ** 0.5
-    text = (k * (1 + (n - 1) * same) - n - (k - 1)) / (2 * (k - 1)) ** 0.5
-    at = F.transform(F.split(t, "(?!^)(?!$)"), lambda c: F.instr(F.lit(alphabet), c).cast("double") - (k + 1) / 2)
-    pairs = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.struct((a * b).alias("product"), F.when((a < 0) != (b < 0), 1.0).otherwise(0.0).alias("turn")))
+
+def _encoding(value: Column) -> Column:
+    """(alphabet, same) of the first encoding that the token's characters allow."""
+    row = lambda alphabet, same: F.struct(F.lit(alphabet).alias("alphabet"), F.lit(same).alias("same"))
+    out = row(*ENCODINGS[-1][2:])
+    for _, pattern, alphabet, same in reversed(ENCODINGS[:-1]):
+        out = F.when(value.rlike(pattern), row(alphabet, same)).otherwise(out)
+    return out
+
+
+def _battery(t: Column, n: Column, k: Column, same: Column, at: Column) -> Column:
+    """p from the characters `t`, their number, the alphabet's size and the characters' places in it, counted from its middle."""
     total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
+    squares = total(F.array_distinct(at), lambda c: F.pow(F.size(F.filter(at, lambda x: x == c)).cast("double"), F.lit(2.0)))
+    spread = F.sqrt(2 * (k - 1))
+    chi = (k * squares / n - n - (k - 1)) / spread
+    text = (k * (1 + (n - 1) * same) - n - (k - 1)) / spread
+    pairs = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.struct((a * b).alias("product"), F.when((a < 0) != (b < 0), 1.0).otherwise(0.0).alias("turn")))
     runs = (total(pairs, lambda x: x["turn"]) - (n - 1) / 2) / F.sqrt((n - 1) / 4)
     mean = total(at, lambda x: x) / n
     serial = (total(pairs, lambda x: x["product"]) - (n - 1) * mean * mean) / F.greatest(total(at, lambda x: x * x) - n * mean * mean, F.lit(1e-9)) * F.sqrt(n)
@@ -57,11 +61,24 @@ def _battery(value: Column, alphabet: str, same: float) -> Column:
 
 
 def randomness(value: Column) -> Column:
-    """p of a token by the battery of the encoding that its characters allow."""
-    out = _battery(value, *ENCODINGS[-1][2:])
-    for _, pattern, alphabet, same in reversed(ENCODINGS[:-1]):
-        out = F.when(value.rlike(pattern), _battery(value, alphabet, same)).otherwise(out)
-    return out
+    """p of a token under the hypothesis that it is structured text; 1 if it is not like random text in its order.
+
+    Chi-squared against uniformity over the inferred encoding's alphabet grows
+    with length for text whose characters repeat with chance `same` and stays
+    near its degrees of freedom for random characters, so that p falls with
+    length: the distance in between, over the spread of such text.  Runs above
+    and below the middle of the alphabet, and the serial correlation of
+    neighbours, are those of random text or p is 1.
+    """
+
+    def tested(x: Column) -> Column:
+        t = F.when(x["alphabet"] == F.lower(x["alphabet"]), F.lower(x["t"])).otherwise(x["t"])
+        middle = (F.length(x["alphabet"]) + 1) / 2
+        at = F.transform(F.split(t, "(?!^)(?!$)"), lambda c: F.instr(x["alphabet"], c).cast("double") - middle)
+        return _let(F.struct(t.alias("t"), at.alias("at")), lambda y: _battery(y["t"], F.length(y["t"]).cast("double"), F.length(x["alphabet"]).cast("double"), x["same"], y["at"]))
+
+    plain = F.regexp_replace(F.translate(value, "-_", "+/"), "=+$", "")
+    return _let(_encoding(value), lambda e: _let(F.struct(plain.alias("t"), e["alphabet"].alias("alphabet"), e["same"].alias("same")), tested))
 
 
 def _bin(p: Column) -> Column:
@@ -78,8 +95,8 @@ def base(text: Column) -> Column:
     return F.concat(assigned, spans(text, "access", ACCESS), spans(text, "hex", HEX))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base, spans) of every row: arrays of (kind, start, end, hit, part), ordered by start, then kind.
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*keep, base, spans) of every row: arrays of (kind, start, end, hit, part), ordered by start, then kind.
 
     `spans` adds to `base` those runs of 20 characters or more, outside all base
     spans, that the battery takes for random.  Their p-values, over all
@@ -91,12 +108,12 @@ def scan(docs: DataFrame) -> DataFrame:
     empty table gives no rows; extra columns are not looked at.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "text", base(text).alias("base"), spans(text, "random", CANDIDATE).alias("more"))
+    rows = docs.select(F.struct(*keep).alias("kept"), base(text).alias("base"), spans(text, "random", CANDIDATE).alias("more"))
     outside = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     rows = rows.withColumn("more", outside)
     found = F.transform("more", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), s["part"].alias("part"), _length_class(F.length(s["hit"])).alias("size"), _bin(randomness(s["hit"])).alias("bin")))
-    rows = rows.withColumn("more", found)
-    seen = stash(rows.select(F.explode("more").alias("s")).groupBy("s.size", "s.bin").agg(F.count("*").alias("n")))
+    rows = stash(rows.withColumn("more", found))
+    seen = rows.select(F.explode("more").alias("s")).groupBy("s.size", "s.bin").agg(F.count("*").alias("n"))
     down = Window.partitionBy("size").orderBy(F.desc("bin"))
     rule = seen.withColumn("so_far", F.sum("n").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy("size")))
     rule = rule.where(F.pow(F.lit(10.0), -F.col("bin") / 10) <= LEVEL * F.col("so_far") / F.col("all")).groupBy("size").agg(F.min("bin").alias("least"))
@@ -104,12 +121,12 @@ def scan(docs: DataFrame) -> DataFrame:
     passes = lambda s: sum((F.when((s["size"] == k) & (s["bin"] >= v), 1).otherwise(0) for k, v in least.items()), F.lit(0)) > 0
     added = F.transform(F.filter("more", passes), lambda s: F.struct(*[s[x].alias(x) for x in ("kind", "start", "end", "hit", "part")]))
     order = lambda x: ordered(x, KINDS, True)
-    return rows.select("doc_id", "text", order(F.col("base")).alias("base"), order(F.concat("base", added)).alias("spans"))
+    return rows.select("kept.*", order(F.col("base")).alias("base"), order(F.concat("base", added)).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with each secret replaced by its kind in brackets."""
-    return scan(docs).select("doc_id", F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("spans"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).otherwise(F.col("text")).alias("text"))
+    return scan(docs, ("doc_id", "text")).select("doc_id", F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("spans"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).otherwise(F.col("text")).alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
