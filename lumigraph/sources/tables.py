@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Folders of local applications that have no setting.
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get(SETTING, None)
     if where:
         return where
-    if not spark.sparkContext.master.startswith(("local[", "local-mode")) and spark.sparkContext.master != "local":
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError(f"set {SETTING} to a folder that driver and executors share")
-    where = tempfile.mkdtemp(prefix="lumigraph-")
-    spark.conf.set(SETTING, where)
-    return where
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="lumigraph-")
+    return _own[context.applicationId]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
