@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text looked at together; a longer text is looked at alone.
-BYTES = 4 << 20
+BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

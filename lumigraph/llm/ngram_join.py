@@ -21,9 +21,9 @@ SHINGLE, RATIO = 5, 1.5
 #: Shingles and sets of a chunk: larger clusters are joined chunk by chunk.  Children of a tree's node.
 TASK_SHINGLES, TASK_SETS, FAN = 1_000_000, 1_500, 8
 #: Prints that a task remembers, to emit copies once.
-SEEN = 1_000_000
+SEEN = 200_000
 #: Frequent shingles, as far as they are known: those of LEAST documents or more in a window of WINDOW shingles; the first HOT are broadcast (8 bytes each).
-WINDOW, LEAST, HOT = 4_000_000, 3, 200_000
+WINDOW, LEAST, HOT = 2_000_000, 3, 200_000
 
 
 @lru_cache(maxsize=None)
