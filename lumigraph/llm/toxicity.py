@@ -14,8 +14,8 @@ GRAMS, BUCKETS, DIM, PASSAGE = (3, 4, 5), 1 << 17, 8, 16
 THRESHOLD = 0.5
 #: Bytes of text looked at together: every character becomes some hundred bytes of hashes.
 PIECE = 1 << 20
-#: Buckets found in fewer documents of the sample have no vector and take no part in means.
-LEAST_DOCS = 20
+#: Buckets found in fewer documents of the sample (or than it has toxic ones, if these are fewer) have no vector and take no part in means.
+LEAST_DOCS = 3
 #: Factor of the mean in the softmax: a telling word is a small part of a passage's mean.
 GAIN, RATE = 16, 0.05
 #: Passages (of PASSAGE words) of the sample that one fit looks at, at most, and passes over them.
@@ -158,7 +158,7 @@ def fit(column: pa.Array, y: np.ndarray, seed: int = 1) -> Model:
         found += np.bincount(np.unique(own[of] * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
         doc.append(own)
     doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
-    known = found >= LEAST_DOCS
+    known = found >= min(LEAST_DOCS, y.sum())  # telling words are rare: the floor does not grow with the sample
     own = np.flatnonzero(~check[doc])
     toxic = rng.permutation(own[y[doc[own]] == 1])[: FIT_PASSAGES // 2]
     clean = rng.permutation(own[y[doc[own]] == 0])[: FIT_PASSAGES - len(toxic)]

@@ -28,6 +28,18 @@ def test_held_out(spark, module, label, least):
     assert (held["predicted"] == held[label]).mean() >= least
 
 
+@needs_data
+def test_recall_of_rare_words(spark):
+    """Few labels: each telling word stands in fewer than 20 documents of the sample."""
+    read = lambda d, name: spark.read.parquet(f"/root/testdata/{d}/{name}.parquet")
+    model = toxicity.trained(read("sf0.01", "documents"), read("sf0.01", "labels"))
+    held = read("sf0.1", "documents").join(read("sf0.1", "labels"), "doc_id").where(labelled.held_out(F.col("doc_id"))).select("text", "toxic").toArrow()
+    found, toxic = model(held["text"].combine_chunks()) >= toxicity.THRESHOLD, held["toxic"].to_numpy() == 1
+    print(f"toxic found {(found & toxic).sum()} of {toxic.sum()}, clean flagged {(found & ~toxic).sum()} of {(~toxic).sum()}")
+    assert (found & toxic).sum() >= 0.4 * toxic.sum()
+    assert (found & ~toxic).sum() <= 0.1 * (~toxic).sum()
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_scores_do_not_depend_on_company(module):
     rnd = random.Random(0)
