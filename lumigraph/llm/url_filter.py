@@ -34,15 +34,47 @@ def _rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]], ver
     return out
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute without its quotes; empty without it."""
+    value = F.regexp_extract(tag, rf"""(?is)(?<![\w-]){name}\s*=\s*("[^"]*|'[^']*|[^"'<>]+)""", 1)
+    return F.regexp_replace(value, "^[\"']", "")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from / on with its segments . and .. carried out."""
+    parts = F.split(path, "/")
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    done = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    done = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done)
+    return F.concat(F.lit("/"), F.array_join(done, "/"))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The address that `target` means on a page of URL `base`: relative to its scheme, host or directory."""
+    site, path = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0), path_of(base)
+    own, rest = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^.*/", 0), F.lit("")), F.lit("/"))
+    below = F.concat(site, _without_dots(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))), rest)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target))
+        .when(own == "", F.concat(site, path, rest))
+        .otherwise(below)
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(url, target) of every canonical link and refresh redirect to an absolute URL in `html`."""
-    html, start = F.col("html"), r"(?is)<(?:link|meta)\b[^<>]*>"
-    tags = F.when(html.rlike(r"(?i)canonical|http-equiv"), F.regexp_extract_all("html", F.lit(start), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    tags = pages.select("url", F.explode(tags).alias("tag"))
-    href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s<>]+)""", 1)
-    moved = F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']?\s*[\d.]*\s*[;,]\s*(?:url\s*=\s*)?["']?\s*([^"'\s<>]+)""", 1)
-    target = F.when(F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""), href).when(F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh"""), moved)
-    return tags.select("url", target.alias("target")).where(F.instr("target", "://") > 0)
+    """(url, target) of every canonical link and refresh redirect in `html`, resolved against the page's URL or its <base>."""
+    html, tag = F.col("html"), F.col("tag")
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^<>]*>"), F.lit(0))
+    base = F.regexp_extract(_attribute(F.regexp_extract(html, r"(?is)<base\b[^<>]*\bhref\b[^<>]*>", 0), "href"), r"^\s*(\S+)", 1)
+    base = F.when(base == "", F.col("url")).otherwise(resolved(F.col("url"), base))
+    tags = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select("url", base.alias("base"), F.explode(tags).alias("tag"))
+    href = F.regexp_extract(_attribute(tag, "href"), r"^\s*(\S+)", 1)
+    moved = F.regexp_extract(_attribute(tag, "content"), r"""(?is)^\s*[\d.]*\s*[;,]\s*+(?:url\s*=\s*+)?+["']?\s*([^"'\s]+)""", 1)
+    target = F.when(tag.rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""), href).when(tag.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh"""), moved)
+    found = tags.select("url", "base", target.alias("target")).where("target <> ''")
+    return found.select("url", resolved(F.col("base"), F.col("target")).alias("target")).where(F.instr("target", "://") > 0)
 
 
 def judge(pages: DataFrame, edges: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -63,7 +95,7 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules: Sequence[tupl
     h, p = F.col("host"), F.col("path")
     found = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     found = found.withColumn("rule", _rule(h, p, rules, False)).withColumn("own", _rule(h, p, rules, True)).withColumn("node", node(h, p))
-    edges = links(pages) if edges is None else edges
+    edges = stash(links(pages)) if edges is None else edges  # each is parsed once
     ends = [(host_of(F.col(c)), path_of(F.col(c))) for c in ("url", "target")]
     ends = [(node(*x), _rule(*x, rules, True)) for x in ends]
     edges = stash(edges.select(ends[0][0].alias("a"), ends[1][0].alias("b"), ends[0][1].alias("rule_a"), ends[1][1].alias("rule_b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b"))

@@ -178,3 +178,22 @@ def test_urls(spark):
     assert [verdict[i] for i in (5, 10, 11, 12, 13, 14, 15)] == ["allow", "block", "block", "allow", "allow", "allow", "block"]
     assert url_filter.judge(df).count() == len(rows)
     assert url_filter.judge(df.limit(0)).count() == 0
+
+
+def test_relative_links(spark):
+    link = lambda to: f'<link rel="canonical" href="{to}">'
+    move = lambda to: f'<meta content="0; url={to}" http-equiv="refresh">'
+    page, d = "http://a.example.com/en/alias?q=/x/y", "http://a.example.com"
+    cases = [
+        (page, link("/de/x"), f"{d}/de/x"), (page, link("//b.net/de/x"), "http://b.net/de/x"), (page, link("x.html"), f"{d}/en/x.html"), (page, link("../de/./x?z#f"), f"{d}/de/x?z#f"),
+        (page, link("?p=1"), f"{d}/en/alias?p=1"), (page, link("#top"), f"{d}/en/alias#top"), (page, link("../../.."), f"{d}/"), (page, link("/it's"), f"{d}/it's"), (d, link("de/x"), f"{d}/de/x"),
+        (page, link("/go?to=http://c.org/fr/"), f"{d}/go?to=http://c.org/fr/"), (page, move("/de/y"), f"{d}/de/y"), (page, move("'z'"), f"{d}/en/z"), ("https://h.org/a/", move("//i.org"), "https://i.org"),
+        (page, '<base href="/de/">' + link("w"), f"{d}/de/w"), (page, '<base target="_top"><base href="http://e.org/fr/x">' + move("w"), "http://e.org/fr/w"),
+        (page, link(""), None), (page, link("mailto:me"), None), (page, move(""), None), (page, '<meta content="0;" http-equiv="refresh">', None), (page, '<meta http-equiv="refresh" content="30">', None),
+        ("no url", link("/de/x"), None), (None, link("/de/x"), None),
+    ]
+    df = spark.createDataFrame([c[:2] for c in cases], "url string, html string")
+    assert sorted(map(tuple, url_filter.links(df).collect())) == sorted((url, want) for url, _, want in cases if want)
+    rows = [(1, page, link("/de/x")), (2, "http://b.com/a/p", move("//b.org/fr/x")), (3, "http://q.net/de/a", link("/en/ok")), (4, "http://c.com/a/p", link("//q.net/z")), (5, "http://c.com/a/q", link("p"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(df).collect()} == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block"}
