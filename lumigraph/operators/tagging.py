@@ -19,6 +19,8 @@ LABELS = (
 )
 #: Labels of one matrix, at most: it is sent to every task.
 MOST_LABELS = 100_000
+#: Scores of vectors by labels that a task holds at once.
+MOST_SCORES = 1 << 22
 
 
 def rank_labels(vectors: DataFrame, labels: Sequence[str], weights: np.ndarray, k: int = 5, id_col: str = "id", vector: str = "vector") -> DataFrame:
@@ -33,8 +35,10 @@ def rank_labels(vectors: DataFrame, labels: Sequence[str], weights: np.ndarray,
     w = w / (np.sqrt((w * w).sum(1, keepdims=True)) + EPSILON)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        step = max(1, MOST_SCORES // len(labels))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
                 score = matrix(batch.column(1), w.shape[1]) @ w.T
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 n = batch.num_rows

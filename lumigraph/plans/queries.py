@@ -134,7 +134,7 @@ def pair_cosine(spark: SparkSession, d: str) -> DataFrame:
 def _tags(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
     v = vectors(spark, d)
     means = v.select("label", F.posexplode("vector").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    means = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("label").limit(1000).collect()
+    means = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("label").limit(tagging.MOST_LABELS + 1).collect()  # rank_labels refuses more than MOST_LABELS
     return tagging.rank_labels(v, [f"label_{r['label']}" for r in means], np.array([[x["x"] for x in r["v"]] for r in means]), k)
 
 

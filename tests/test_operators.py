@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumigraph.functions import vectors as V
 from lumigraph.operators import components, duplicates, merge, similarity, tagging
+from lumigraph.plans import queries
 
 
 def naive_components(edges):
@@ -143,3 +144,15 @@ def test_labels(spark):
     assert [(r.rank, r.tag) for r in got] == [(1, "y"), (2, "z")]
     assert tagging.rank_labels(df, [], np.zeros((0, 2)), 5).collect() == []
     assert tagging.rank_labels(df, ["x"], np.array([[1, 1]]), 0).collect() == []
+
+
+def test_tags_of_many_labels(spark, monkeypatch, tmp_path):
+    n = 1100
+    at = 2 * np.pi * np.arange(n) / n
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))], i) for i, a in enumerate(at)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.id: r.tag for r in queries.auto_tags(spark, str(tmp_path)).where("rank = 1").collect()}
+    assert got == {i: f"label_{i}" for i in range(n)}
+    monkeypatch.setattr(tagging, "MOST_LABELS", n - 1)
+    with pytest.raises(ValueError, match="labels"):
+        queries.auto_tags(spark, str(tmp_path))
