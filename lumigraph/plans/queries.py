@@ -212,7 +212,7 @@ def set_face_person(spark: SparkSession, d: str) -> DataFrame:
 
 
 def get_or_create_person(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "region").select(F.col("r_name").alias("name")).unionByName(persons(spark, d).select("name").limit(1000))
+    names = table(spark, d, "region").select(F.col("r_name").alias("name")).unionByName(persons(spark, d).select("name"))
     return merge.get_or_create(persons(spark, d), names)
 
 

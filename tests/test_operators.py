@@ -156,3 +156,11 @@ def test_tags_of_many_labels(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(tagging, "MOST_LABELS", n - 1)
     with pytest.raises(ValueError, match="labels"):
         queries.auto_tags(spark, str(tmp_path))
+
+
+def test_names_have_no_cap(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([("R",)], "r_name string").coalesce(1).write.parquet(str(tmp_path / "region.parquet"))
+    many = spark.createDataFrame([(i, f"n{i}") for i in range(1500)], "id long, name string")
+    given = iter([many, many.limit(1)])  # the names handed in, then the known persons
+    monkeypatch.setattr(queries, "persons", lambda spark, d: next(given))
+    assert queries.get_or_create_person(spark, str(tmp_path)).count() == 1501
