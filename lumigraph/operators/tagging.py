@@ -14,8 +14,8 @@ from lumigraph.operators.similarity import usable
 
 #: The labels that photos are tagged with by default.
 LABELS = (
-    "person", "people", "selfie", "group photo", "car", "food", "cat", "dog", "document",
-    "screenshot", "nature", "beach", "mountain", "city", "indoor", "outdoor", "night",
+    "portrait", "selfie", "group photo", "family", "friends", "landscape", "city", "night", "sunset",
+    "food", "pets", "indoors", "outdoors", "travel", "wedding", "party", "sports",
 )
 #: Labels of one matrix, at most: it is sent to every task.
 MOST_LABELS = 100_000

@@ -1,8 +1,11 @@
 """The driver's contract, also without the optional parts."""
 
 import importlib
+import os
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
 
 
@@ -21,8 +24,13 @@ def test_without_llm(monkeypatch):
     importlib.reload(entry)
 
 
-def test_flagship(spark):
-    import os
+def test_broken_dependency_is_an_error(monkeypatch):
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    monkeypatch.setitem(sys.modules, "lumigraph.sources.tables", None)
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("corpus_pipeline")
 
+
+def test_flagship(spark):
     if os.path.isdir("/root/testdata/sf0.001"):
         assert entry.entry(spark).count() > 0
