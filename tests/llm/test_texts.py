@@ -5,6 +5,7 @@ import random
 import re
 import string
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,7 +167,7 @@ def test_urls(spark):
     rows = [
         (1, "http://x.example.net/de/1", ""), (2, "https://EXAMPLE.net/en/1?q", ""), (3, "http://a.example.com/de/x#y", ""), (4, "http://b.org/fr/", ""), (5, "http://b.org/de/", ""),
         (6, None, ""), (7, "no url", ""), (8, "http://notexample.com/de/", ""), (9, "http://net", ""), (10, "http://a.com/alias", link("http://a.example.com/de/x")),
-        (11, "http://a.com/chain", move("http://a.com/alias?z")), (12, "http://c.com/both", link("http://x.net/")), (13, "http://d.com/both", link("http://c.com/both") + move("http://o.org/fr/1")),
+        (11, "http://a.com/chain", move("http://a.com/alias#z")), (12, "http://c.com/both", link("http://x.net/")), (13, "http://d.com/both", link("http://c.com/both") + move("http://o.org/fr/1")),
         (14, "http://c.com/plain", "<p>canonical</p>"), (15, "http://a.example.com/en/ok", link("http://a.com/alias")), (10, "http://a.com/alias", None),
     ]
     df = spark.createDataFrame([(*r, "h", "v") for r in rows], "page_id long, url string, html string, host string, verdict string")
@@ -180,6 +181,72 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_aliases(spark):
+    """A query tells pages apart; comments and other attributes link nothing; references are read."""
+    rows = [
+        (1, "http://s.com/p?id=1", '<link rel="canonical" href="http://bad.net/x">'), (2, "http://s.com/p?id=2", ""), (3, "https://s.com/p?id=1#top", None), (4, "http://t.com", '<link href="http://u.net/" rel=canonical>'), (5, "https://T.com/#x", ""),
+        (6, "http://c.com/1", '<!-- <link rel="canonical" href="http://bad.net/x"> --> canonical'), (7, "http://c.com/2", '<link data-rel="canonical" rel="icon" href="http://bad.net/x">'), (8, "http://c.com/3", '<link rel="noncanonical" href="http://bad.net/x">'),
+        (9, "http://c.com/4", '<link rel="alternate canonical" href="http:&#x2F;/bad.net/y?a=1&amp;b=2">'), (10, "http://bad.org/z", '<meta http-equiv="refresh" content="0;url=http://bad.net/y?a=1&b=2">'), (11, "http://c.com/5", "<!-- canonical <link rel=canonical href=http://bad.net/x>"),
+        (12, "http://c.com/6", "x" * 300_000 + '<link rel="canonical" href="//bad.net/x">'),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    blocked = {r.page_id for r in url_filter.judge(df).collect() if r.verdict == "block"}
+    assert blocked == {1, 3, 4, 5, 9, 10, 12}
+
+
+def test_aliases_against_sql_and_brute_force(spark):
+    rnd = random.Random(9)
+    hosts = ["a.example.com", "x.net", "b.org", "c.com", "d.com", "example.net"]
+    address = lambda: f"http{rnd.choice(['', 's'])}://{rnd.choice(hosts)}{rnd.choice(['', '/', '/de/', '/fr/', '/en/'])}{rnd.randrange(12) or ''}{rnd.choice(['', '', '?q=1'])}{rnd.choice(['', '#f'])}"
+
+    def html(targets):
+        form = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel=canonical>", '<meta http-equiv="Refresh" content="5; url={}">', "<!-- <link rel=canonical href={}> -->", '<link rel="icon" href="{}">']
+        return "".join(rnd.choice(form).format(t) for t in targets)
+
+    rows = [(i, address(), html([rnd.choice([address(), f"/de/{rnd.randrange(9)}", f"//{rnd.choice(hosts)}/de/1"]) for _ in range(rnd.choice([0, 0, 1, 2]))])) for i in range(150)]
+    rows += [(200, None, html(["http://x.net/"])), (201, "plain", html(["http://x.net/"])), (202, "http://alone.com/?q", None)]
+    got = sorted(map(tuple, url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert got == sorted(con.execute(url_filter.SQL).fetchall())
+
+    def parts(url):
+        if "://" not in (url or ""):
+            return "", "", None
+        rest = url.split("://", 1)[1].split("#")[0]
+        host = re.match("[^/?]*", rest)[0]
+        path = rest[len(host) :].split("?")[0]
+        query = rest[len(host) + len(path) :]
+        return low(host), path, low(host) + (path or "/") + query if host else None
+
+    def own(host, path):
+        fit = [(len(h + p), v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1] if fit else None
+
+    near, said = {}, {}
+    for _, url, text in rows:
+        for t in re.findall(r"""<(?:link rel="canonical" href="|LINK href='|meta http-equiv="Refresh" content="5; url=)([^"'>]*)""", text or ""):
+            if "://" in (url or ""):
+                scheme, rest = url.split("://", 1)
+                t = f"{scheme}:{t}" if t.startswith("//") else f"{scheme}://{re.match('[^/?#]*', rest)[0]}{t}" if t.startswith("/") else t
+                a, b = parts(url), parts(t)
+                near.setdefault(a[2], set()).add(b[2])
+                near.setdefault(b[2], set()).add(a[2])
+                said[a[2]], said[b[2]] = own(*a[:2]), own(*b[:2])
+    verdict = {}
+    for i, url, _ in rows:
+        host, path, node = parts(url)
+        seen, todo = set(), [node]
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += near.get(x, ())
+        verdict[i] = own(host, path) or min((said[x] for x in seen if said.get(x)), default="allow")
+    assert {r[0]: r[4] for r in got} == verdict
+    assert len({v for v in verdict.values()}) == 2 and sum(len(x) for x in near.values()) > 60
+
+
 def test_relative_links(spark):
     link = lambda to: f'<link rel="canonical" href="{to}">'
     move = lambda to: f'<meta content="0; url={to}" http-equiv="refresh">'
