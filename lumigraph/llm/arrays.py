@@ -11,10 +11,10 @@ import pyarrow as pa
 BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(7))
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(1 << 62, 1 << 63)) | 1
-_BACK = pow(_BASE, -1, 1 << 64)
 _PLACE = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP, _SIZE = (int(x) | 1 for x in _rng.integers(1 << 62, 1 << 63, 2, dtype=np.uint64))
+#: What is kept of eight bytes if k of them count.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,13 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 … base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Texts:
     """Some documents' UTF-8 bytes in one array: `data`, and `ends`, the first byte of each and the end of the last."""
 
@@ -62,15 +55,6 @@ def texts(column: pa.Array, most: int = BYTES) -> Iterator[Texts]:
         i = j
 
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
-        _powers[base] = powers(base, max(n, BYTES + 1))
-    return _powers[base][:n]
-
-
 def words(t: Texts, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document) of every run of bytes that are not in `apart`; runs stop where a document ends."""
     inside = np.zeros(len(t.data) + 2, bool)
@@ -85,12 +69,28 @@ def words(t: Texts, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray,
 
 
 def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, each byte taken through `fold`."""
-    n = len(data)
+    """A 64-bit hash of each span of bytes, each byte taken through `fold`.
+
+    Blocks of eight bytes are scrambled together with their place in the span
+    and summed: no structure of a text, such as a word and its complement,
+    makes equal hashes likelier than chance.
+    """
+    size = end - begin
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = fold[data]
+    eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+    blocks = (size + 7) >> 3
     with np.errstate(over="ignore"):
-        run = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[fold][data] * _power(_BASE, n), out=run[1:])
-        return mix((run[end] - run[begin]) * _power(_BACK, n + 1)[begin] + (end - begin).astype(np.uint64))
+        salt = mix(np.arange(1, max(blocks.max(initial=1), 1) + 1, dtype=np.uint64) * np.uint64(_STEP))
+        out = mix((eight[begin] & _KEEP[np.minimum(size, 8)]) ^ salt[0])
+        long = np.flatnonzero(blocks > 1)
+        if len(long):
+            more = blocks[long] - 1
+            which = np.repeat(long, more)
+            place = np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more) + 1
+            x = mix((eight[begin[which] + 8 * place] & _KEEP[np.minimum(size[which] - 8 * place, 8)]) ^ salt[place])
+            out[long] += np.add.reduceat(x, np.cumsum(more) - more)
+        return mix(out + size.astype(np.uint64) * np.uint64(_SIZE))
 
 
 def shingles(t: Texts, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -13,29 +13,22 @@ from lumigraph.operators.components import connected_components
 from lumigraph.sources.tables import stash, table
 
 COSINE = 0.98
-#: Vectors that centroids and codebooks are fitted on, at most; vectors of one list, about; lists, at most (all are broadcast).
-SAMPLE, PER_LIST, LISTS = 8_192, 256, 1_024
+#: Vectors that centroids and codebooks are fitted on, at most; lists, at most (all are broadcast).
+SAMPLE, LISTS = 65_536, 8_192
 #: Subspaces, codewords of each, and rounds of k-means.
 SUBSPACES, CODEWORDS, ROUNDS = 8, 64, 8
 #: Rows of a list, on either side, that one task holds at once.
 CHUNK = 2_048
 
 
-def unit(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors as doubles, which rows are usable) of a list column whose usable rows have one length."""
-    rows = rows.cast(pa.large_list(pa.float64()))
-    n = rows.value_lengths().fill_null(0).to_numpy()
-    width = int(np.bincount(n[n > 0]).argmax()) if (n > 0).any() else 1
-    flat, ok = rows.flatten(), n == width
-    values = flat.to_numpy(zero_copy_only=False)
-    keep = np.repeat(ok, n)
-    x = values[keep].reshape(-1, width)
-    with np.errstate(all="ignore"):
-        norm = np.sqrt((x / np.maximum(np.abs(x).max(1, keepdims=True), 5e-324)) ** 2 @ np.ones(width))
-        x = x / np.maximum(np.abs(x).max(1, keepdims=True), 5e-324) / norm[:, None]
-    good = np.isfinite(x).all(1)
-    ok[np.flatnonzero(ok)[~good]] = False
-    return x[good], ok
+def scaled(rows: pa.Array, width: int) -> np.ndarray:
+    """Vectors of one length as doubles, each times a power of two that brings its largest element near 1: cosines stay what they are to the last bit."""
+    x = rows.cast(pa.large_list(pa.float64())).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -72,19 +65,18 @@ class Index:
         error = sum(((rest[:, a:b] - w[codes[:, i]]) ** 2).sum(1) for i, (a, b, w) in enumerate(zip(self.cuts, self.cuts[1:], self.books)))
         return codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, at: np.ndarray, radius: float) -> list[np.ndarray]:
-        """The lists that can hold a vector within `radius` of each of `x`, whose own list is `at`.
+    def probes(self, x: np.ndarray, at: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list): the other lists that can hold a vector within `radius` of each of `x`, whose own list is `at`.
 
         What lies in another list is no nearer than the plane halfway between
         the two centroids.
         """
-        d = ((x**2).sum(1)[:, None] - 2 * x @ self.coarse.T) + (self.coarse**2).sum(1)
-        apart = np.sqrt(np.maximum(((self.coarse[at][:, None] - self.coarse[None]) ** 2).sum(2), 1e-300)) if len(x) * self.coarse.size < 1 << 24 else None
-        out = []
-        for i in range(len(x)):
-            gap = apart[i] if apart is not None else np.sqrt(np.maximum(((self.coarse[at[i]] - self.coarse) ** 2).sum(1), 1e-300))
-            out.append(np.flatnonzero((d[i] - d[i, at[i]]) <= 2 * gap * (radius + 1e-9)))
-        return out
+        size = (self.coarse**2).sum(1)
+        d = size - 2 * x @ self.coarse.T
+        gap = np.sqrt(np.maximum(size[at][:, None] + size - 2 * self.coarse[at] @ self.coarse.T, 0))
+        near = d - d[np.arange(len(x)), at][:, None] <= 2 * gap * radius + 1e-6
+        near[np.arange(len(x)), at] = False
+        return np.nonzero(near)
 
     def tables(self, x: np.ndarray, at: int) -> list[np.ndarray]:
         """For each subspace the squared distances of queries' residuals from all codewords."""
@@ -92,51 +84,111 @@ class Index:
         return [((rest[:, None, a:b] - w[None]) ** 2).sum(2) for a, b, w in zip(self.cuts, self.cuts[1:], self.books)]
 
 
-def _indexed(index, radius: float):
-    """Rows (rep, label, copies, embedding) to one row for each list a vector is looked for in; `home` marks its own, with codes."""
+class Trivial(Index):
+    """One list around zero and one code, for lengths that the sample lacks: all of a label are compared."""
+
+    def __init__(self, width: int):
+        self.width, self.coarse, self.cuts, self.books = width, np.zeros((1, width)), np.array([0, width]), [np.zeros((1, width))]
+
+
+def _index(known: dict[int, Index], width: int) -> Index:
+    return known.get(width) or Trivial(width)
+
+
+HOME = "id long, `group` string, copies long, list int, error double, code binary, vec binary, probes array<int>"
+
+
+def _homes(known, radius: float):
+    """Rows (id, group, copies, embedding) with their list, codes and coding error, and the other lists that a neighbour may be in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
-                batch = whole.slice(i, 1024)
-                x, ok = unit(batch.column("embedding"))
-                if not len(x):
-                    continue
-                at = nearest(x, index.value.coarse)
-                codes, error = index.value.encode(x, at)
-                probes = index.value.probes(x, at, radius)
-                n = np.array([len(p) for p in probes])
-                row = np.repeat(np.arange(len(x)), n)
-                kept = batch.filter(pa.array(ok)).take(pa.array(row))
-                blob = [v.tobytes() for v in x]
-                code = [v.tobytes() for v in codes]
-                lists = np.concatenate(probes)
-                yield pa.RecordBatch.from_arrays(
-                    [kept.column("rep"), kept.column("label"), kept.column("copies"), pa.array(lists), pa.array(lists == at[row]), pa.array(error[row]), pa.array([code[r] for r in row], pa.binary()), pa.array([blob[r] for r in row], pa.binary())],
-                    ["rep", "label", "copies", "list", "home", "error", "code", "vec"],
-                )
+                part = whole.slice(i, 1024)
+                widths = part.column("embedding").value_lengths().to_numpy()
+                for width in np.unique(widths).tolist():
+                    batch = part.filter(pa.array(widths == width))
+                    index = _index(known.value, width)
+                    vec = scaled(batch.column("embedding"), width)
+                    x = unit(vec)
+                    at = nearest(x, index.coarse)
+                    codes, error = index.encode(x, at)
+                    row, lists = index.probes(x, at, radius)
+                    ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(x))))
+                    probes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lists, pa.int32()))
+                    columns = [batch.column(c) for c in ("id", "group", "copies")]
+                    columns += [pa.array(at, pa.int32()), pa.array(error), pa.array([v.tobytes() for v in codes], pa.binary()), pa.array([v.tobytes() for v in vec], pa.binary()), probes]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "group", "copies", "list", "error", "code", "vec", "probes"])
 
     return run
 
 
-def _compare(index, cosine: float, radius: float):
-    """For each (label, list, i, j) of sorted rows: links of the queries of chunk j with the members of chunk i.
+def _tasks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], work) -> Iterator[pa.RecordBatch]:
+    """What `work` gives for the rows of each (group, list, i, j), which come one after another."""
+    at, rows = None, []
+    for batch in batches:
+        for *key, row in zip(*[batch.column(c).to_pylist() for c in ("group", "list", "i", "j")], zip(*[batch.column(c).to_pylist() for c in columns], strict=True), strict=True):
+            if at != key:
+                if at and (out := work(*at[:2], rows)):
+                    yield out
+                at, rows = key, []
+            rows.append(row)
+    if at and (out := work(*at[:2], rows)):
+        yield out
+
 
-    A member y that codes for z with error e is within the radius of x only if
-    |x - z| <= radius + e, and |x - z| is a sum of table entries.  What passes
-    has its exact cosine taken.  Gives rows (rep, links, other): links found
-    for rep, and one neighbour to reach each component of the chunk by.
+def _matrix(blobs: list[bytes], kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
+
+
+def _survivors(known, radius: float):
+    """(group, list, id): vectors of other lists, given by their codes alone, that a vector at home in the list may be near.
+
+    A vector y that codes for z with error e is within the radius of x only if
+    |x - z| <= radius + e, and |x - z| is a sum of table entries.  Of each pair
+    the vector of the smaller id travels.
     """
 
-    def links(at: int, rows: list[tuple]) -> pa.RecordBatch | None:
-        home, ask = [r for r in rows if r[3]], [r for r in rows if r[4]]
+    def work(group: str, at: int, rows: list[tuple]) -> pa.RecordBatch | None:
+        home, away = [r for r in rows if r[4] is not None], sorted((r for r in rows if r[4] is None), key=lambda r: r[1])
+        if not home or not away:
+            return None
+        x = unit(_matrix([r[4] for r in home]))
+        mine, ids = np.array([r[0] for r in home]), np.array([r[0] for r in away])
+        index = _index(known.value, x.shape[1])
+        origin, code = np.array([r[1] for r in away]), _matrix([r[3] for r in away], np.uint8)
+        reach = (radius + np.array([r[2] for r in away]) + 1e-9) ** 2
+        keep = np.zeros(len(away), bool)
+        for place in np.unique(origin).tolist():
+            own = np.flatnonzero(origin == place)
+            for i in range(0, len(x), 256):
+                tables = index.tables(x[i : i + 256], place)
+                far = sum(t[:, code[own, k]] for k, t in enumerate(tables))
+                keep[own] |= ((far <= reach[own]) & (mine[i : i + 256, None] > ids[own])).any(0)
+        n = int(keep.sum())
+        return pa.RecordBatch.from_arrays([pa.array([group] * n, pa.string()), pa.array([at] * n, pa.int32()), pa.array(ids[keep])], ["group", "list", "id"])
+
+    return lambda batches: _tasks(batches, ("id", "origin", "error", "code", "vec"), work)
+
+
+def _compare(known, cosine: float, radius: float):
+    """For each (group, list, i, j): links of the vectors of chunk j, some of them from other lists, with the members of chunk i.
+
+    The same bound on table distances decides whose exact cosine is taken.
+    Gives rows (id, links, other): links found for id, and one neighbour to
+    reach each component of the chunk by.
+    """
+
+    def links(_: str, at: int, rows: list[tuple]) -> pa.RecordBatch | None:
+        home, ask = [r for r in rows if r[3]], [r for r in rows if not r[3]]
         if not home or not ask:
             return None
         members = np.array([r[0] for r in home])
         copies = {r[0]: r[1] for r in rows}
-        code = np.frombuffer(b"".join(r[5] for r in home), np.uint8).reshape(len(home), -1)
+        code = _matrix([r[4] for r in home], np.uint8)
         reach = radius + np.array([r[2] for r in home]) + 1e-9
-        y = np.frombuffer(b"".join(r[6] for r in home)).reshape(len(home), -1)
+        y = _matrix([r[5] for r in home])
+        index, size = _index(known.value, y.shape[1]), (y * y).sum(1)
         root: dict[int, int] = {}
         count: dict[int, int] = {}
 
@@ -149,12 +201,12 @@ def _compare(index, cosine: float, radius: float):
         for i in range(0, len(ask), 256):
             part = ask[i : i + 256]
             ids = np.array([r[0] for r in part])
-            x = np.frombuffer(b"".join(r[6] for r in part)).reshape(len(part), -1)
-            far = sum(t[:, code[:, k]] for k, t in enumerate(index.value.tables(x, at)))
+            x = _matrix([r[5] for r in part])
+            far = sum(t[:, code[:, k]] for k, t in enumerate(index.tables(unit(x), at)))
             q, m = np.nonzero((far <= reach**2) & (ids[:, None] < members[None]))
             for k in range(0, len(q), 1 << 16):
                 a, b = q[k : k + (1 << 16)], m[k : k + (1 << 16)]
-                hit = np.flatnonzero((x[a] * y[b]).sum(1) >= cosine)
+                hit = np.flatnonzero((x[a] * y[b]).sum(1) / np.sqrt((x[a] * x[a]).sum(1) * size[b]) >= cosine)
                 for s, t in zip(ids[a[hit]].tolist(), members[b[hit]].tolist(), strict=True):
                     count[s] = count.get(s, 0) + copies[t]
                     count[t] = count.get(t, 0) + copies[s]
@@ -162,84 +214,85 @@ def _compare(index, cosine: float, radius: float):
                     root[t] = s
         if not count:
             return None
-        reps = list(count)
-        return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array([count[r] for r in reps], pa.int64()), pa.array([find(r) for r in reps], pa.int64())], ["rep", "links", "other"])
+        ids = list(count)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([count[r] for r in ids], pa.int64()), pa.array([find(r) for r in ids], pa.int64())], ["id", "links", "other"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("label", "list", "i", "j", "rep", "copies", "error", "member", "asks", "code", "vec")]
-            for label, place, i, j, *row in zip(*columns, strict=True):
-                if at != (label, place, i, j):
-                    if at and (out := links(at[1], rows)):
-                        yield out
-                    at, rows = (label, place, i, j), []
-                rows.append(tuple(row))
-        if at and (out := links(at[1], rows)):
-            yield out
+    return lambda batches: _tasks(batches, ("id", "copies", "error", "member", "code", "vec"), links)
 
-    return run
+
+def _dealt(members: DataFrame, others: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of both sides with (i, j): each chunk i of a list's members meets each chunk j of its others."""
+    count = lambda df, name: df.groupBy("group", "list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
+    sizes = count(members, "is").join(count(others, "js"), ["group", "list"])
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = members.join(sizes, ["group", "list"]).select("group", "list", part("is").alias("i"), every("js").alias("j"), *columns)
+    two = others.join(sizes, ["group", "list"]).select("group", "list", every("is").alias("i"), part("js").alias("j"), *columns)
+    return one.unionByName(two).repartition("group", "list", "i", "j").sortWithinPartitions("group", "list", "i", "j", "id")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of `vectors` (vec_id, embedding, label).
 
-    Rows of one label link at a cosine of `cosine` or more, in double precision.
-    Equal vectors of a label collapse first; a class of copies costs one row.
-    Centroids and codebooks are fitted on at most `sample` vectors, taken by
-    hash; every vector is indexed and looked up.  Both the lists probed and the
-    table distances that pass follow from exact bounds (the plane between two
-    centroids, and the triangle inequality with each row's own coding error),
-    so that no link is lost.  Lists that hold more than CHUNK rows are dealt
-    into chunks, and each pair of chunks of members and queries has its task.
-    Tasks return counts and spanning links, never all pairs.
-
-    Null, zero or non-finite vectors, ones with null components, ones of
-    another length than most, and rows with a null label or vec_id link with
-    nothing: n_links 0, own component (null vec_id: null component, not kept).
-    Repeated rows of a vec_id count as further vectors and give a row each.
-    An empty table gives no rows; extra columns are not looked at.
+    Rows of one label and one length link at a cosine of `cosine` or more, in
+    double precision; a cosine that comes out at exactly `cosine` links.  Equal
+    vectors of a label collapse first; a class of copies costs one row.
+    Centroids and codebooks are fitted, for each length, on at most `sample`
+    vectors, taken by hash; every vector is indexed and looked up.  Both the
+    lists probed and the table distances that pass follow from exact bounds
+    (the plane between two centroids, and the triangle inequality with each
+    row's own coding error), so that no link is lost.  To other lists go codes
+    first; the vectors follow for those alone that some vector there may be
+    near.  Lists of more than CHUNK rows are dealt into chunks, and each pair
+    of chunks has its task.  Tasks return counts and spanning links, never all
+    pairs.
+
+    Null, zero or non-finite vectors, ones with null components, and rows with
+    a null label or vec_id link with nothing: n_links 0, own component (null
+    vec_id: null component, not kept).  Repeated rows of a vec_id count as
+    further vectors and give a row each.  An empty table gives no rows; extra
+    columns are not looked at.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = stash(rows.withColumn("usable", F.coalesce(usable & finite, F.lit(False))).withColumn("row", F.monotonically_increasing_id()))
-    good = rows.where("usable")
-    width = good.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    result = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if width is None:
-        return result
-    good = good.where(F.size("embedding") == width["w"])
-    reps = stash(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("key", F.xxhash64("label", "embedding")))
-    reps = reps.withColumn("label", F.col("label").cast("string"))
-    total, labels = reps.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    chosen = reps.orderBy("key", "rep").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
-    x, _ = unit(chosen)
-    index = spark.sparkContext.broadcast(Index(x, int(max(1, min(LISTS, len(x) // 8, total // (max(labels, 1) * PER_LIST))))))
+    group = F.when(F.coalesce(usable & finite, F.lit(False)), F.concat(F.size("embedding").cast("string"), F.lit(":"), "label"))
+    rows = rows.select("vec_id", "embedding", group.alias("group"))
+    one, two = F.xxhash64("group", "embedding"), F.xxhash64(F.lit(1), "group", "embedding")
+    good = rows.where(F.col("group").isNotNull())
+    classes = good.groupBy("group", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = stash(classes.select("*", one.alias("h1"), two.alias("h2"), F.monotonically_increasing_id().alias("id")))
+    total, groups = classes.agg(F.count("*"), F.approx_count_distinct("group")).first()
+    known: dict[int, Index] = {}
+    if total:
+        chosen = classes.orderBy("h1", "h2").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
+        widths = chosen.value_lengths().to_numpy()
+        for width, n in zip(*np.unique(widths, return_counts=True), strict=True):
+            x = unit(scaled(chosen.filter(pa.array(widths == width)), int(width)))
+            lists = int(np.sqrt(total * n / len(widths) / groups))  # as many lists as each holds rows of a group
+            known[int(width)] = Index(x, max(1, min(LISTS, n // 8, lists)))
+    index = spark.sparkContext.broadcast(known)
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
-    # A class of copies is one node, named by its smallest vec_id and, should rows repeat ids over labels, by its key.
-    nodes = reps.select(F.col("key").alias("rep"), "label", "copies", "embedding")
-    found = nodes.mapInArrow(_indexed(index, radius), "rep long, label string, copies long, list long, home boolean, error double, code binary, vec binary")
-    found = stash(found)
-    sizes = found.groupBy("label", "list").agg(F.ceil(F.sum(F.col("home").cast("int")) / CHUNK).cast("int").alias("is"), F.ceil(F.count("*") / CHUNK).cast("int").alias("js"))
-    found = found.join(sizes.where("is > 0"), ["label", "list"])
-    as_member = found.where("home").select("*", F.pmod(F.xxhash64("rep"), F.col("is")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"), F.lit(True).alias("member"), F.lit(False).alias("asks"))
-    as_query = found.select("*", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), F.col("js")).cast("int").alias("j"), F.lit(False).alias("member"), F.lit(True).alias("asks"))
-    tasks = as_member.unionByName(as_query).repartition("label", "list", "i", "j").sortWithinPartitions("label", "list", "i", "j", "rep")
-    links = stash(tasks.mapInArrow(_compare(index, cosine, radius), "rep long, links long, other long"))
-    groups = connected_components(links, "rep", "other")
-    names = reps.select(F.col("key").alias("id"), F.col("rep").alias("least"))
-    parts = names.join(groups, "id", "left").select("id", "least", F.coalesce("component", "id").alias("part"))
-    least = parts.groupBy("part").agg(F.min("least").alias("component_id"))
-    counts = links.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "id")
-    of = parts.join(least, "part").join(counts, "id", "left").join(reps.select(F.col("key").alias("id"), "copies"), "id")
-    of = of.select(F.col("id").alias("key"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    keyed = rows.withColumn("key", F.when(F.col("usable") & (F.size("embedding") == width["w"]), F.xxhash64("label", "embedding"))).select("vec_id", "key")
-    out = keyed.join(of, "key", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    home = stash(classes.select("id", "group", "copies", "embedding").mapInArrow(_homes(index, radius), HOME))
+    at_home = home.select("group", "list", "id", F.lit(None).cast("int").alias("origin"), "error", "code", "vec")
+    away = home.select("group", F.col("list").alias("origin"), "id", "error", "code", F.lit(None).cast("binary").alias("vec"), F.explode("probes").alias("list"))
+    tasks = _dealt(at_home, away, ["id", "origin", "error", "code", "vec"])
+    asking = stash(tasks.mapInArrow(_survivors(index, radius), "`group` string, list int, id long").distinct())
+    members = home.select("group", "list", "id", "copies", "error", "code", "vec", F.lit(True).alias("member"))
+    asking = asking.join(home.select("id", "copies", "error", "code", "vec"), "id").unionByName(members.drop("member")).withColumn("member", F.lit(False))
+    tasks = _dealt(members, asking, ["id", "copies", "error", "member", "code", "vec"])
+    links = stash(tasks.mapInArrow(_compare(index, cosine, radius), "id long, links long, other long"))
+    found = connected_components(links, "id", "other").join(classes.select("id", "least"), "id")
+    least = found.groupBy("component").agg(F.min("least").alias("component_id"))
+    counts = links.groupBy("id").agg(F.sum("links").alias("links"))
+    found = found.join(least, "component").select("id", "component_id").join(counts, "id", "left")
+    of = classes.join(found, "id", "left").select("h1", "h2", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = good.select("vec_id", one.alias("h1"), two.alias("h2")).join(of, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where(F.col("group").isNull()).select("vec_id", F.lit(0).cast("long"), "vec_id")
+    out = linked.union(alone)
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,9 @@ from lumigraph.sources.tables import stash, table
 #: Sets link if 5 * common >= 4 * all, which is 9 * common >= 4 * (one + other): at most (one + other) / 9 shingles are not common.
 SHINGLE, RATIO = 5, 1.5
 #: Shingles and sets of a chunk: larger clusters are joined chunk by chunk.  Children of a tree's node.
-TASK_SHINGLES, TASK_SETS, FAN = 1_000_000, 1_500, 8
-#: Prints that a task remembers, to emit copies once.
-SEEN = 200_000
+TASK_SHINGLES, TASK_SETS, FAN = 500_000, 400, 8
+#: Prints that a task remembers, to emit copies once; keys that it combines before the shuffle.
+SEEN, COMBINE = 200_000, 1_000_000
 #: Frequent shingles, as far as they are known: those of LEAST documents or more in a window of WINDOW shingles; the first HOT are broadcast (8 bytes each).
 WINDOW, LEAST, HOT = 2_000_000, 3, 200_000
 
@@ -126,7 +126,7 @@ def prints_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-NAMES = ["doc_id", "n", "f1", "f2", "own", "below"]
+NAMES = ["doc_id", "print", "n", "f1", "f2", "own", "below"]
 
 
 def _frequent(h: list[np.ndarray]) -> pa.RecordBatch:
@@ -136,17 +136,17 @@ def _frequent(h: list[np.ndarray]) -> pa.RecordBatch:
     n = np.diff(np.append(at, len(h)))
     at, n = at[n >= LEAST], n[n >= LEAST]
     none = pa.nulls(len(at), pa.int64())
-    return pa.RecordBatch.from_arrays([none, pa.array(np.full(len(at), -1)), pa.array(h[at].view(np.int64)), pa.array(n), none, none], NAMES)
+    return pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(at), -1)), pa.array(h[at].view(np.int64)), pa.array(n), none, none], NAMES)
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     window, held = [], 0
     for batch in batches:
-        for t in A.texts(batch.column(1)):
+        for t in A.texts(batch.column(2)):
             h, sizes = A.shingle_sets(t, SHINGLE)
             one, two = prints_of(h, sizes)
             nodes = [pa.array(node_of(one, r), mask=r < 0) for r in roles_of(sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.n), pa.array(sizes.astype(np.int64)), pa.array(one), pa.array(two), *nodes], NAMES)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(t.first, t.n) for c in (0, 1)], pa.array(sizes.astype(np.int64)), pa.array(one), pa.array(two), *nodes], NAMES)
             window.append(h)
             held += len(h)
             if held >= WINDOW:
@@ -155,9 +155,35 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _frequent(window)
 
 
+def combined(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that tie the same nodes together with each key once.
+
+    A key keeps its least node; each other node of it is tied to that one by
+    two rows under a key of their own, once for all keys that they share.  So a
+    key that very many documents have is one row for each COMBINE rows.
+    """
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    least = node[new][np.cumsum(new) - 1]
+    other = node != least
+    with np.errstate(over="ignore"):
+        tie = A.mix(A.mix(least[other].view(np.uint64)) + node[other].view(np.uint64))
+    tie, at = np.unique(tie, return_index=True)
+    return np.concatenate([key[new], tie, tie]), np.concatenate([node[new], least[other][at], node[other][at]])
+
+
 def _keys(hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, node = combined(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            held.clear()
+            for i in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000].view(np.int64)), pa.array(node[i : i + 100_000])], ["key", "node"])
+
         for batch in batches:
             for t in A.texts(batch.column(0)):
                 h, sizes = A.shingle_sets(t, SHINGLE)
@@ -170,9 +196,11 @@ def _keys(hot):
                 if len(seen) > SEEN:
                     seen.clear()
                 key, doc, role = keys_of(h[np.repeat(new, sizes)], sizes[new], hot.value)
-                node = node_of(one[new][doc], role)
-                for i in range(0, len(key), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000].view(np.int64)), pa.array(node[i : i + 100_000])], ["key", "node"])
+                held.append((key, node_of(one[new][doc], role)))
+                if sum(len(k) for k, _ in held) >= COMBINE:
+                    yield from out()
+        if held:
+            yield from out()
 
     return run
 
@@ -200,45 +228,71 @@ class SignatureTree:
     Sets are ordered by size and least tokens, which puts near copies together.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        size = np.array([len(s) for s in sets])
-        first = np.array([s[0] for s in sets], np.uint64)
-        self.order = np.lexsort((size, first))
-        width = 64
-        while width < 8 * size.max() and width < 1 << 20:
-            width *= 2
-        bits = np.zeros((len(sets), width // 64), np.uint64)
+    def __init__(self, sets: list[np.ndarray], at: np.ndarray, width: int):
+        """Over the sets numbered `at`, with bitmaps of `width` bits."""
+        size = np.array([len(sets[i]) for i in at])
+        order = np.lexsort((size, np.array([sets[i][0] for i in at], np.uint64)))
+        self.order, size = at[order].tolist(), size[order]
+        bits = np.zeros((len(at), width // 64), np.uint64)
         for i, s in enumerate(self.order):
-            at = sets[s] & np.uint64(width - 1)
-            np.bitwise_or.at(bits[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        size = size[self.order]
+            place = sets[s] & np.uint64(width - 1)
+            np.bitwise_or.at(bits[i], (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
         slack = size - np.bitwise_count(bits).sum(1, dtype=np.int64)
         self.levels = [(bits, size, size, slack)]
+        self.uniform: set[tuple[int, int]] = {(0, i) for i in range(len(at))}
         while len(self.levels[-1][0]) > 1:
             bits, low, high, slack = self.levels[-1]
-            at = np.arange(0, len(bits), FAN)
-            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at)))
-
-    def may_link(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """For each pair of nodes: can the largest overlap below them be enough for the smallest sets there?"""
-        bits, low, high, slack = self.levels[level]
-        fits = (5 * high[a] >= 4 * low[b]) & (5 * high[b] >= 4 * low[a])
-        at = np.flatnonzero(fits)
-        step = max(1, (1 << 21) // bits.shape[1])
-        for i in range(0, len(at), step):
-            x, y = a[at[i : i + step]], b[at[i : i + step]]
-            most = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64) + np.minimum(slack[x], slack[y])
-            most = np.minimum(most, np.minimum(high[x], high[y]))
-            fits[at[i : i + step]] = 9 * most >= 4 * (low[x] + low[y])
-        return fits
-
-
-def tree_links(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the number of the first set of its component, by dual traversal of a signature tree.
-
-    Pairs of nodes whose sets are in one component already are passed over:
-    they could add no reachability, and a group of near copies costs about as
-    many comparisons as it has sets.
+            first = np.arange(0, len(bits), FAN)
+            self.levels.append((np.bitwise_or.reduceat(bits, first, axis=0), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.maximum.reduceat(slack, first)))
+
+    def below(self, level: int, node: int) -> tuple[int, np.ndarray]:
+        """(level, nodes) one level down; a set stays what it is."""
+        if not level:
+            return 0, np.array([node])
+        return level - 1, np.arange(node * FAN, min(len(self.levels[level - 1][0]), (node + 1) * FAN))
+
+    def component(self, level: int, node: int, find) -> int:
+        """The component of all sets below a node; -1 if there are several."""
+        step = FAN**level
+        if (level, node) not in self.uniform:
+            if len({find(i) for i in self.order[node * step : (node + 1) * step]}) > 1:
+                return -1
+            self.uniform.add((level, node))
+        return find(self.order[node * step])
+
+
+def may_link(one: tuple, other: tuple, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of nodes of two levels: can the largest overlap below them be enough for the smallest sets there?"""
+    (bits, low, high, slack), (bits2, low2, high2, slack2) = one, other
+    fits = (5 * high[a] >= 4 * low2[b]) & (5 * high2[b] >= 4 * low[a])
+    at = np.flatnonzero(fits)
+    step = max(1, (1 << 21) // bits.shape[1])
+    for i in range(0, len(at), step):
+        x, y = a[at[i : i + step]], b[at[i : i + step]]
+        most = np.bitwise_count(bits[x] & bits2[y]).sum(1, dtype=np.int64) + np.minimum(slack[x], slack2[y])
+        most = np.minimum(most, np.minimum(high[x], high2[y]))
+        fits[at[i : i + step]] = 9 * most >= 4 * (low[x] + low2[y])
+    return fits
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, ascending, have a similarity of 0.8 or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 5 * common >= 4 * (len(x) + len(y) - common)
+
+
+def tree_links(sets: list[np.ndarray], known: list | None = None, side: np.ndarray | None = None, looked: list[int] | None = None) -> np.ndarray:
+    """For each set the number of a set of its component, by dual traversal of a signature tree against itself.
+
+    With `side` (of each set, false or true) there are two trees, one
+    traversed against the other, and links within a side are not looked for.
+    Sets of equal `known` are in one component from the start.  Pairs of nodes
+    whose sets are in one component already are passed over: they could add no
+    reachability, and a group of near copies costs about as many comparisons as
+    it has sets.  `looked` gets the number of pairs of sets compared.
     """
     n = len(sets)
     root = list(range(n))
@@ -249,48 +303,38 @@ def tree_links(sets: list[np.ndarray]) -> np.ndarray:
             i = root[i]
         return i
 
-    tree = SignatureTree(sets)
-    order = tree.order.tolist()
-    uniform: set[tuple[int, int]] = {(0, i) for i in range(n)}
-
-    def one_of(level: int, node: int) -> int:
-        """The component of all sets below a node; -1 if there are several."""
-        step = FAN**level
-        if (level, node) not in uniform:
-            found = {find(order[i]) for i in range(node * step, min(n, (node + 1) * step))}
-            if len(found) > 1:
-                return -1
-            uniform.add((level, node))
-        return find(order[node * step])
-
-    stack = [(len(tree.levels) - 1, 0, 0)]
+    if known is not None:
+        first: dict = {}
+        root = [first.setdefault(k, i) for i, k in enumerate(known)]
+    width, most, compared = 64, max(len(s) for s in sets), 0
+    while width < 8 * most and width < 1 << 20:
+        width *= 2
+    sides = [np.arange(n)] if side is None else [x for x in (np.flatnonzero(~side), np.flatnonzero(side)) if len(x)]
+    trees = [SignatureTree(sets, at, width) for at in sides]
+    same, (one, other) = len(trees) == 1, (trees[0], trees[-1])
+    stack = [] if same and side is not None else [(len(one.levels) - 1, 0, len(other.levels) - 1, 0)]
     while stack:
-        level, a, b = stack.pop()
-        if a != b or level == 0:
-            if (r := one_of(level, a)) >= 0 and r == one_of(level, b):
-                continue
-        elif one_of(level, a) >= 0:
+        la, a, lb, b = stack.pop()
+        own = same and (la, a) == (lb, b)
+        r = one.component(la, a, find)
+        if r >= 0 and (own or r == other.component(lb, b, find)):
             continue
-        if level == 0:
-            x, y = sets[order[a]], sets[order[b]]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            if 5 * common >= 4 * (len(x) + len(y) - common):
-                p, q = sorted((find(order[a]), find(order[b])))
+        if not la and not lb:
+            compared += 1
+            if linked(sets[one.order[a]], sets[other.order[b]]):
+                p, q = sorted((find(one.order[a]), find(other.order[b])))
                 root[q] = p
             continue
-        below = len(tree.levels[level - 1][0])
-        xs = np.arange(a * FAN, min(below, (a + 1) * FAN))
-        ys = np.arange(b * FAN, min(below, (b + 1) * FAN))
+        la, xs = one.below(la, a)
+        lb, ys = other.below(lb, b)
         x, y = np.repeat(xs, len(ys)), np.tile(ys, len(xs))
-        if a == b:
-            keep = (x < y) | (x == y) & (level > 1)
-            x, y = x[keep], y[keep]
-        ok = tree.may_link(level - 1, x, y) | (x == y)
-        pairs = sorted(zip(x[ok].tolist(), y[ok].tolist(), strict=True), key=lambda p: (p[0] != p[1], p[1] - p[0]), reverse=True)
-        stack += [(level - 1, p, q) for p, q in pairs]  # a node with itself is looked at first
+        if own:
+            x, y = x[x <= y], y[x <= y]
+        ok = may_link(one.levels[la], other.levels[lb], x, y) | (own & (x == y))
+        pairs = sorted(zip(x[ok].tolist(), y[ok].tolist(), strict=True), key=lambda p: (p[0] != p[1], abs(p[1] - p[0])), reverse=True)
+        stack += [(la, p, lb, q) for p, q in pairs]  # a node with itself is looked at first
+    if looked is not None:
+        looked.append(compared)
     return np.array([find(i) for i in range(n)])
 
 
@@ -305,33 +349,116 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = (own["f1"].to_numpy() == one) & (own["f2"].to_numpy() == two) & (sizes > 0)
             data, ends = h.tobytes(), 8 * np.append(0, np.cumsum(sizes))
             blobs = pa.array([data[ends[i] : ends[i + 1]] for i in np.flatnonzero(ok)], pa.binary())
-            own = own.filter(pa.array(ok)).append_column("set", blobs)
+            own = own.drop_columns(["f1", "f2"]).filter(pa.array(ok)).append_column("set", blobs)
             yield from own.combine_chunks().to_batches()
 
 
+TASK = "`group` long, i int, j int, chunk int, id binary, known binary, `set` binary"
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) from rows (group, i, j, rep, set) sorted by the first three: each rep, and the least of its component in the group."""
+    """(a, b) from rows of TASK sorted by group, i, j, id: each set's id, and the least one of its component there.
 
-    def done(reps: list[int], sets: list[bytes]) -> pa.RecordBatch:
-        least: dict[int, int] = {}
-        first = tree_links([np.frombuffer(s, np.uint64) for s in sets]).tolist()
-        for rep, r in zip(reps, first, strict=True):
-            least[r] = min(rep, least.get(r, rep))
-        pairs = [(rep, least[r]) for rep, r in zip(reps, first, strict=True) if rep != least[r]]
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+    With i = j the sets of a chunk are joined with each other, otherwise those
+    of chunk i with those of chunk j.
+    """
 
-    at, reps, sets = None, [], []
+    def done(task: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        chunk, ids, known, sets = zip(*rows, strict=True)
+        side = None if task[1] == task[2] else np.array(chunk) == task[2]
+        least: dict[int, bytes] = {}
+        first = tree_links([np.frombuffer(s, np.uint64) for s in sets], known, side).tolist()
+        for i, r in zip(ids, first, strict=True):
+            least[r] = min(i, least.get(r, i))
+        pairs = [(i, least[r]) for i, r in zip(ids, first, strict=True) if i != least[r]]
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
+
+    at, rows = None, []
     for batch in batches:
-        for group, i, j, rep, blob in zip(*[batch.column(c).to_pylist() for c in ("group", "i", "j", "rep", "set")], strict=True):
+        for group, i, j, *row in zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True):
             if at != (group, i, j):
-                if len(reps) > 1:
-                    yield done(reps, sets)
-                at, reps, sets = (group, i, j), [], []
-            if not reps or reps[-1] != rep:  # repeated rows of a document
-                reps.append(rep)
-                sets.append(blob)
-    if len(reps) > 1:
-        yield done(reps, sets)
+                if len(rows) > 1:
+                    yield done(at, rows)
+                at, rows = (group, i, j), []
+            if not rows or rows[-1][1] != row[1]:  # a repeated row of a document
+                rows.append(tuple(row))
+    if len(rows) > 1:
+        yield done(at, rows)
+
+
+def _found(tasks: DataFrame) -> DataFrame:
+    """(a, b): what the trees of the tasks link."""
+    columns = [F.col(x.strip().split()[0]) for x in TASK.split(",")]
+    return stash(tasks.select(*columns).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "id").mapInArrow(_trees, "a binary, b binary"))
+
+
+def _within(sets: DataFrame, members: DataFrame, task_sets: int) -> DataFrame:
+    """(id, component) of the sets that link with others.
+
+    `sets` (id, set, places) has each set with its (group, chunk, chunks) and
+    `members` the same places without the sets.  First each chunk is joined by
+    itself.  Of clusters with several chunks, one set of each component of each
+    chunk then meets those of the other chunks, chunk by chunk again: a cluster
+    of near copies is one component after that.  Only pairs of chunks that are
+    not one component are joined, with what is known passed in.
+    """
+    none = F.lit(None).cast("binary")
+    placed = sets.select("id", "set", F.inline("places"))
+    links = _found(placed.select("*", F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.col("id").alias("known")))
+    found = connected_components(links, "a", "b")
+    wide = members.where("chunks > 1")
+    if wide.isEmpty():
+        return found
+    now = lambda: stash(wide.join(found, "id", "left").select("id", "group", "chunk", F.coalesce("component", "id").alias("known")))
+    state = now()
+    heads = state.groupBy("group", "chunk", "known").agg(F.min("id").alias("id")).select("group", "id", "known")
+    n = heads.groupBy("group").agg(F.ceil(F.count("*") / task_sets).cast("int").alias("n"))
+    heads = heads.join(n, "group").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("n")).cast("int")).select("group", "id", "known", "i")
+    links = links.unionByName(_found(sets.select("id", "set").join(heads, "id").withColumn("j", F.col("i")).withColumn("chunk", F.col("i"))))
+    found = connected_components(links, "a", "b")
+    state = now()
+    chunks = state.groupBy("group", "chunk").agg(F.min("known").alias("low"), F.max("known").alias("high"))
+    chunks = chunks.withColumn("whole", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(none)).select("group", "chunk", "whole")
+    i, j = chunks.select("group", F.col("chunk").alias("i"), F.col("whole").alias("wi")), chunks.select("group", F.col("chunk").alias("j"), F.col("whole").alias("wj"))
+    pairs = stash(i.join(j, "group").where("i < j AND NOT coalesce(wi = wj, false)").select("group", "i", "j"))
+    if pairs.isEmpty():
+        return found
+    asked = pairs.select("*", F.explode(F.array("i", "j")).alias("chunk"))
+    tasks = state.join(asked, ["group", "chunk"]).join(sets.select("id", "set"), "id")
+    return connected_components(links.unionByName(_found(tasks)), "a", "b")
+
+
+def _joined(docs: DataFrame, task_shingles: int, task_sets: int) -> DataFrame:
+    """(doc_id, print, n_shingles, component_id) of every row; print is a hash of the text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "text")
+    rows = stash(docs.mapInArrow(_prints, ", ".join(f"{x} long" for x in NAMES)))
+    hot = rows.where("n = -1").groupBy("f1").agg(F.sum("f2").alias("docs")).orderBy(F.desc("docs"), "f1").limit(HOT).select("f1").toArrow()
+    hot = np.sort(hot["f1"].to_numpy().view(np.uint64))
+    prints = rows.where("n >= 0")
+    # A class of equal sets is named by its smallest doc_id and both hashes, in bytes that sort like the doc_id.
+    sign = F.lit(-(1 << 63))
+    name = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (F.col("rep").bitwiseXOR(sign), F.col("f1"), F.col("f2"))]))
+    classes = prints.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n", "own", "below").agg(F.min("doc_id").alias("rep"))
+    classes = stash(classes.withColumn("id", name))
+    known = docs.where("doc_id IS NOT NULL").select("text")
+    keys = known.mapInArrow(_keys(docs.sparkSession.sparkContext.broadcast(hot)), "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    clusters = connected_components(keys.mapInArrow(_chain, "a long, b long"), "a", "b")
+
+    members = classes.select("id", "f1", "f2", "n", "rep", F.explode(F.array("own", "below")).alias("node")).where("node IS NOT NULL")
+    members = stash(members.join(clusters.select(F.col("id").alias("node"), F.col("component").alias("group")), "node").drop("node"))
+    chunks = members.groupBy("group").agg(F.ceil(F.greatest(F.sum("n") / task_shingles, F.count("*") / task_sets)).cast("int").alias("chunks"))
+    members = members.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("f1", "f2"), F.col("chunks")).cast("int"))
+    places = stash(members.groupBy("rep", "f1", "f2", "id").agg(F.collect_list(F.struct("group", "chunk", "chunks")).alias("places")))  # two at most
+    sets = docs.join(places.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "f1", "f2", "id", "places")
+    sets = stash(sets.mapInArrow(_sets, "id binary, places array<struct<group: long, chunk: int, chunks: int>>, `set` binary"))
+    found = _within(sets, places.select("id", F.inline("places")), task_sets)
+
+    least = F.conv(F.hex(F.substring("component", 1, 8)), 16, -10).cast("long").bitwiseXOR(sign)
+    found = found.withColumn("least", least).select("id", "least")
+    classes = classes.join(found, "id", "left").select("f1", "f2", F.coalesce("least", "rep").alias("component"))
+    named = prints.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["f1", "f2"]).select("doc_id", "print", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    alone = prints.where("n = 0 OR doc_id IS NULL").select("doc_id", "print", "n", "doc_id")
+    return named.union(alone)
 
 
 def join(docs: DataFrame, task_shingles: int = TASK_SHINGLES, task_sets: int = TASK_SETS) -> DataFrame:
@@ -340,57 +467,38 @@ def join(docs: DataFrame, task_shingles: int = TASK_SHINGLES, task_sets: int = T
     Documents are sets of distinct runs of five words and link at a Jaccard
     similarity of 0.8 or more; component_id is the smallest doc_id reachable.
 
-    1. Copies collapse to one representative by two hashes of their sets.
+    1. Equal sets collapse to one class, by two hashes of them.
     2. Sets that share a key (`keys_of`) are chained; the connected components
        of these chains, band by band of sizes, are clusters: no link leaves
        all of them.  Which shingles count as frequent has no part in that; it
        only keeps passages that many documents share from tying clusters together.
     3. Each cluster's sets meet in one task, which builds a signature tree and
        traverses it against itself.  Clusters of more than `task_shingles`
-       shingles or `task_sets` sets are dealt into chunks, and each pair of chunks has its task, so that memory
-       is bounded and nothing is left out.
+       shingles or `task_sets` sets are dealt into chunks and joined in rounds
+       (`_within`), so that memory is bounded and nothing is left out.
     4. What the tasks found is joined by connected components.
 
     Null or empty texts have empty sets and link with nothing; rows with a null
     doc_id link with nothing and have a null component.  Repeated rows give a
     row each; rows of one doc_id with different texts are each looked at, and
-    each has its own component.  Extra columns are not looked at.
+    each has its own component, whatever their order.  Pairs at exactly 0.8
+    link.  A very long text is one set, held by one task at a time, eight bytes
+    for each of its shingles.  An empty table gives no rows.  Extra columns are
+    not looked at.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stash(docs.mapInArrow(_prints, ", ".join(f"{x} long" for x in NAMES)))
-    hot = rows.where("n = -1").groupBy("f1").agg(F.sum("f2").alias("docs")).orderBy(F.desc("docs"), "f1").limit(HOT).select("f1").toArrow()
-    hot = np.sort(hot["f1"].to_numpy().view(np.uint64))
-    prints = rows.where("n >= 0")
-    reps = prints.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n", "own", "below").agg(F.min("doc_id").alias("rep"))
-    known = docs.where("doc_id IS NOT NULL").select("text")
-    keys = known.mapInArrow(_keys(docs.sparkSession.sparkContext.broadcast(hot)), "key long, node long").repartition("key").sortWithinPartitions("key", "node")
-    clusters = connected_components(keys.mapInArrow(_chain, "a long, b long"), "a", "b")
-
-    members = reps.select("f1", "f2", "n", "rep", F.explode(F.array("own", "below")).alias("id")).where("id IS NOT NULL")
-    members = stash(members.join(clusters, "id").select("f1", "f2", "n", "rep", F.col("component").alias("group")))
-    chunks = members.groupBy("group").agg(F.ceil(F.greatest(F.sum("n") / task_shingles, F.count("*") / task_sets)).cast("int").alias("chunks"))
-    members = members.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("f1", "f2"), F.col("chunks")).cast("int"))
-    places = members.groupBy("rep", "f1", "f2").agg(F.collect_list(F.struct("group", "chunk", "chunks")).alias("places"))  # two at most
-    sets = docs.join(places.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "f1", "f2", F.col("doc_id").alias("rep"), "places")
-    sets = sets.mapInArrow(_sets, "f1 long, f2 long, rep long, places array<struct<group: long, chunk: int, chunks: int>>, set binary")
-    sets = sets.select("rep", "set", F.inline("places"))
-    own = F.col("chunk")
-    other = F.sequence(F.lit(0), F.col("chunks") - 1)
-    tasks = sets.select("group", "rep", "set", own.alias("c"), F.explode(other).alias("o")).select("group", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "set")
-    tasks = tasks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "rep")
-    found = connected_components(tasks.mapInArrow(_trees, "a long, b long"), "a", "b").select(F.col("id").alias("rep"), "component")
-
-    reps = reps.join(found, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = prints.join(reps, ["f1", "f2"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return _joined(docs, task_shingles, task_sets).drop("print")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component, that of the smallest doc_id; rows with a null doc_id stay."""
-    name = free_name(docs.columns, "lg_dropped")
-    gone = join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    """`docs` with one document of each component, that of the smallest doc_id.
+
+    Rows with a null doc_id, and repeated rows of the document that stays, stay;
+    of rows with one doc_id and different texts each goes or stays by its own
+    component.  All columns are as they were.
+    """
+    names = [free_name(docs.columns, x) for x in ("lg_dropped", "lg_print")]
+    gone = _joined(docs, TASK_SHINGLES, TASK_SETS).where("doc_id <> component_id").select(F.col("doc_id").alias(names[0]), F.col("print").alias(names[1])).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(names[0])) & (F.xxhash64("text") == F.col(names[1])), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

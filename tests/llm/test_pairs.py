@@ -1,13 +1,15 @@
 """Joins of near copies against brute force."""
 
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumigraph.llm import embed_dedup, ngram_join
+from lumigraph.llm import arrays, embed_dedup, ngram_join
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -87,6 +89,69 @@ def test_join_edge_rows(spark):
     assert ngram_join.join(df.limit(0)).collect() == []
 
 
+def changed(words, *at):
+    return " ".join(f"c{i}" if i in at else w for i, w in enumerate(words))
+
+
+@pytest.mark.parametrize("turn", [0, 1, 2])
+def test_join_repeated_ids(spark, turn):
+    """One doc_id with several texts: each text links, whatever the order of rows."""
+    w = [f"w{i}" for i in range(104)]
+    a, b, c = changed(w), changed(w, 10), changed(w, 10, 40, 60)
+    rows = [(7, a), (7, b), (9, c), (-3, "far from all of these words"), (7, "far from all of these words")]
+    df = spark.createDataFrame(rows[turn:] + rows[:turn], "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df).collect())
+    assert got == [(-3, 2, -3), (7, 2, -3), (7, 100, 7), (7, 100, 7), (9, 100, 7)]
+    assert sorted((r.doc_id, len(r.text)) for r in ngram_join.keep_one(df).collect()) == sorted([(-3, len(rows[3][1])), (7, len(a)), (7, len(b))])
+
+
+@pytest.mark.parametrize("sets", [7, 40])
+def test_join_in_rounds(spark, sets):
+    """Clusters of many chunks: one of near copies, one of a chain of links, one of sets that share much and don't link."""
+    rnd = random.Random(sets)
+    base = [f"b{i}" for i in range(120)]
+    docs = [(i, changed(base, rnd.randrange(120))) for i in range(90)]
+    chain = [f"k{i}" for i in range(300)]
+    docs += [(1000 + i, " ".join(chain[2 * i : 2 * i + 100])) for i in range(90)]
+    docs += [(2000 + i, " ".join([f"s{j}" for j in range(60)] + [f"o{i}x{j}" for j in range(16)])) for i in range(60)]
+    rnd.shuffle(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), task_sets=sets).collect()}
+    assert got == brute(docs)
+
+
+def test_combined_keys_tie_the_same():
+    rng = np.random.default_rng(2)
+    key, node = rng.integers(0, 300, 900).astype(np.uint64), rng.integers(0, 400, 900)
+    key[:500] = 5
+    keys, nodes = ngram_join.combined(key, node)
+    assert (keys == 5).sum() == 1 and len(set(keys[: len(set(key.tolist()))].tolist())) == len(set(key.tolist()))
+
+    def parts(key, node):
+        by = {}
+        for k, n in zip(key.tolist(), node.tolist(), strict=True):
+            by.setdefault(k, []).append(n)
+        return components(set(node.tolist()), [(x[0], y) for x in by.values() for y in x[1:]])
+
+    assert parts(keys, nodes) == parts(key, node)
+    assert all(len(x) == 0 for x in ngram_join.combined(key[:0], node[:0]))
+
+
+def test_word_hashes():
+    """Words and their complements, of any length, alone and among others."""
+    turn = str.maketrans("ab", "ba")
+    word, words = "a", ["x" * n for n in range(1, 40)] + ["abcdefgh" * 2 + "ijklmnop", "abcdefgh" + "ijklmnop" + "abcdefgh"]
+    for _ in range(12):
+        word += word.translate(turn)
+        words += [word, word.translate(turn)]
+    t = next(arrays.texts(pa.array([" ".join(words)])))
+    begin, end, _ = arrays.words(t)
+    h = arrays.hashes(t.data, begin, end)
+    assert len(h) == len(set(words)) == len(set(h.tolist()))
+    for w, x in zip(words, h.tolist(), strict=True):
+        alone = next(arrays.texts(pa.array([w.upper()])))
+        assert arrays.hashes(alone.data, np.array([0]), np.array([len(w)])).tolist() == [x]
+
+
 def test_every_link_shares_a_key():
     rng = np.random.default_rng(0)
     for n in [*range(1, 60), 100, 333, 1000]:
@@ -101,26 +166,54 @@ def test_every_link_shares_a_key():
             assert {*zip(keys[0][0].tolist(), keys[0][2].tolist())} & {*zip(keys[1][0].tolist(), keys[1][2].tolist())}
 
 
-def test_tree_against_all_pairs():
-    rng = np.random.default_rng(5)
+def families(seed, n):
+    rng = np.random.default_rng(seed)
     sets = []
-    for _ in range(30):
+    for _ in range(n):
         s = rng.integers(1, 1 << 63, 50, dtype=np.uint64)
         for _ in range(rng.integers(1, 8)):
             t = s.copy()
             t[rng.integers(0, 50, rng.integers(0, 9))] += np.uint64(1)
             sets.append(np.unique(t))
-    links = [(i, j) for i in range(len(sets)) for j in range(i) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))]
-    first = ngram_join.tree_links(sets)
+    return sets
+
+
+def same_parts(first, want):
+    return len({(int(a), want[i]) for i, a in enumerate(first)}) == len(set(want.values())) == len(set(first.tolist()))
+
+
+def test_tree_against_all_pairs():
+    sets, looked = families(5, 30), []
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if ngram_join.linked(sets[i], sets[j])]
+    assert links == [(i, j) for i in range(len(sets)) for j in range(i) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))]
     want = components(range(len(sets)), links)
-    assert len({(int(a), want[i]) for i, a in enumerate(first)}) == len(set(want.values())) == len(set(first.tolist()))
+    assert same_parts(ngram_join.tree_links(sets, looked=looked), want)
+    side = np.arange(len(sets)) % 3 == 0
+    across = components(range(len(sets)), [p for p in links if side[p[0]] != side[p[1]]])
+    assert same_parts(ngram_join.tree_links(sets, side=side), across)
+    known = [want[i] for i in range(len(sets))]
+    assert same_parts(ngram_join.tree_links(sets, known, looked=looked), want)
+    assert len(ngram_join.tree_links(sets[:2], side=np.array([True, True]))) == 2
+
+
+def test_tree_prunes():
+    """Of all pairs of sets few are compared, and only by the bound: without it, or with all known, the counts tell."""
+    sets, looked = families(6, 60), []
+    first = ngram_join.tree_links(sets, looked=looked)
+    pairs = len(sets) * (len(sets) - 1) // 2
+    assert looked[0] < pairs / 20
+    ngram_join.tree_links(sets, first.tolist(), looked=looked)
+    assert looked[1] <= looked[0]
+    ngram_join.tree_links(sets, [0] * len(sets), looked=looked)
+    assert looked[2] == 0
 
 
 def brute_vectors(rows, cosine=0.98):
     ok = {}
     for k, (i, v, label) in enumerate(rows):
         if i is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            ok[k] = (np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)), label)
+            v = np.array(v, np.float32).astype(float)
+            ok[k] = (v / np.linalg.norm(v), label)
     links = [(a, b) for a in ok for b in ok if a < b and ok[a][1] == ok[b][1] and len(ok[a][0]) == len(ok[b][0]) and ok[a][0] @ ok[b][0] >= cosine]
     n = {k: sum(k in p for p in links) for k in range(len(rows))}
     c = components(range(len(rows)), links)
@@ -134,13 +227,13 @@ def brute_vectors(rows, cosine=0.98):
 @pytest.mark.parametrize("chunk", [7, 2048])
 def test_vectors(spark, monkeypatch, chunk):
     monkeypatch.setattr(embed_dedup, "CHUNK", chunk)
-    monkeypatch.setattr(embed_dedup, "PER_LIST", 16)
     rng = np.random.default_rng(chunk)
     rows = []
     for i in range(60):
         v = rng.normal(size=12)
         for _ in range(rng.integers(1, 7)):
             rows.append((len(rows), (v + rng.normal(size=12) * rng.choice([0, 0.05, 0.12])).tolist(), int(rng.integers(0, 2))))
+    rows += [(600 + i, (np.eye(5)[i % 2] + rng.normal(size=5) * 0.1).tolist(), i % 3 % 2) for i in range(40)] + [(700, [1.0, 0.0], 1), (701, [1.0, 0.01], 1), (702, [-0.0, 3.0], 1), (703, [0.0, 1.0], 1)]
     rows += [(500, None, 1), (501, [0.0] * 12, 1), (502, [float("nan")] * 12, 1), (503, rows[0][1], None), (504, [1.0], 1), (None, rows[0][1], 1), (505, [float("inf"), *[0.0] * 11], 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, rep string")
     got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect())
@@ -149,3 +242,44 @@ def test_vectors(spark, monkeypatch, chunk):
     assert out.where("kept <> (vec_id <=> component_id AND vec_id IS NOT NULL)").count() == 0
     assert embed_dedup.near_duplicates(df.limit(0)).collect() == []
     assert embed_dedup.near_duplicates(df.where(F.col("vec_id") == 501)).first().n_links == 0
+
+
+def test_vectors_at_the_edge(spark):
+    """A cosine of exactly 0.98, very large and very small vectors, and a length that the sample lacks."""
+    v = [49.0, 7.0, 7.0, 1.0]
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, v), (3, [x * 2.0**900 for x in v]), (4, [x * 2.0**-1000 for x in v]), (5, [49.0, 7.0, 7.0, 1.1]), (6, [1.0, 0.0, 0.0, 0.0, 0.0]), (7, [2.0, 0.0, 0.0, 0.0, 0.1])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
+    for sample in (1, 100):
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df, sample=sample).collect())
+        assert got == [(1, 3, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (5, 3, 1), (6, 1, 6), (7, 1, 6)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data here")
+def test_vectors_of_the_tables(spark):
+    """Several lists and probes: all links that a product of the whole table finds."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.array(df.orderBy("vec_id").toArrow()["embedding"].to_pylist(), float)
+    pdf = df.select("vec_id", "label").orderBy("vec_id").toPandas()
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.98) & (pdf["label"].to_numpy()[:, None] == pdf["label"].to_numpy()) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(df).collect()}
+    assert [got[i].n_links for i in pdf["vec_id"]] == near.sum(1).tolist()
+    c = components(range(len(x)), np.argwhere(near).tolist())
+    assert [got[i].component_id for i in pdf["vec_id"]] == [pdf["vec_id"][c[k]] for k in range(len(x))]
+
+
+def test_bounds_hold():
+    """Vectors within the radius are in a probed list, and their table distance passes."""
+    rng = np.random.default_rng(8)
+    x = embed_dedup.unit(rng.normal(size=(800, 4)))
+    index, radius = embed_dedup.Index(x, 25), 0.2
+    at = embed_dedup.nearest(x, index.coarse)
+    codes, error = index.encode(x, at)
+    row, place = index.probes(x, at, radius)
+    probed = set(zip(row.tolist(), place.tolist(), strict=True))
+    near = np.argwhere((x @ x.T >= 0.98) & ~np.eye(800, dtype=bool))
+    assert len({(int(at[a]), int(at[b])) for a, b in near if at[a] != at[b]}) > 5 and len(probed) < 800 * 24
+    for a, b in near.tolist():
+        assert at[a] == at[b] or (b, int(at[a])) in probed
+        far = sum(t[0, codes[b, k]] for k, t in enumerate(index.tables(x[a : a + 1], int(at[b]))))
+        assert np.sqrt(far) <= radius + error[b] + 1e-9
