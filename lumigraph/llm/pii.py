@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumigraph.llm.spans import SPAN, count, listed, ordered, replaced, spans
+from lumigraph.llm.spans import SPAN, count, let, listed, ordered, replaced, running, spans
 from lumigraph.llm.text import ascii_lower
 from lumigraph.sources.tables import stash, table
 
@@ -18,10 +19,11 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
-#: Words on either side of an entity that are its context; code points looked at for them.
-AROUND, REACH = 6, 160
-#: A term is disclosing if it stands by an entity in so many different contexts, in this share of the documents that hold it, and tells so many bits.
-CONTEXTS, SHARE, BITS = 3, 0.8, 4.0
+#: Words and entities on either side of an entity among which a word co-occurs with it.
+WINDOW = 100
+#: A term discloses an entity if so many texts, with so many different neighbours and as many for each text, hold it by the entity,
+#: if that is this share of all texts that hold it, and if it tells so many bits.
+CONTEXTS, DIVERSITY, SHARE, BITS = 3, 0.5, 0.8, 4.0
 #: So many terms, and so many documents that hold one, are broadcast at most; more are joined by shuffle.
 BROADCAST = 100_000
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -49,50 +51,82 @@ def base(text: Column) -> Column:
     return F.concat(F.when(F.instr(text, "@") > 0, spans(text, "email", EMAIL)).otherwise(F.array().cast(SPAN)), ip, card, F.when(F.instr(text, "+") > 0, phone).otherwise(F.array().cast(SPAN)))
 
 
-def _context(text: Column, s: Column) -> Column:
-    """The last words before and the first words after a span, in lower case; words cut by REACH are left out."""
-    words = lambda x: F.array_remove(F.split(ascii_lower(x), GAP, -1), "")
-    start = F.greatest(s["start"] - REACH, F.lit(0))
-    before = F.substring(text, start + 1, s["start"] - start)
-    after = F.substring(text, s["end"] + 1, F.lit(REACH))
-    before = words(F.when(start > 0, F.regexp_replace(before, f"^{WORD}", "")).otherwise(before))
-    after = words(F.when(F.length(after) == REACH, F.regexp_replace(after, f"{WORD}$", "")).otherwise(after))
-    return F.concat(F.slice(before, F.greatest(F.size(before) - AROUND + 1, F.lit(1)), F.lit(AROUND)), F.slice(after, 1, AROUND))
+def _sequence(text: Column, found: Column) -> Column:
+    """The text's entities and the words outside them, in order: (kind, hit, c); c is a hash of a word's two neighbours, of entities by their kind.
 
+    Kind is empty for words.  All in lower case.
+    """
+    row = lambda s, rank: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), ascii_lower(s["hit"]).alias("hit"))
+    every = F.array_sort(F.concat(F.transform(found, lambda s: row(s, 0)), F.transform(spans(text, "", WORD), lambda s: row(s, 1))))
 
-def disclosing(docs: DataFrame) -> DataFrame:
-    """(d, f, terms): the terms of each document, as doc_id and hash of the text, that reveal an entity; few documents have any.
-
-    An entity is the text of a base span.  Terms by it in CONTEXTS different
-    contexts or more are counted over the whole corpus: in how many documents
-    they occur, and in how many of these by the entity.  A term discloses if
-    P(entity | term) is SHARE or more and log2 of P(entity | term) / P(entity)
-    is BITS or more.  Copies of a context count once, so that a document copied
-    many times discloses nothing by that.
+    def outside(all_: Column) -> Column:
+        high = running(F.transform(all_, lambda x: F.when(x["rank"] == 0, x["end"]).otherwise(0)), lambda a, b: F.greatest(a, b), 0)
+        return F.filter(F.arrays_zip(all_.alias("x"), high.alias("high")), lambda y: (y["x"]["rank"] == 0) | (y["high"] <= y["x"]["start"]))
+
+    def neighbours(kept: Column) -> Column:
+        name = lambda i: F.when(F.get(kept, i)["x"]["rank"] == 0, F.concat(F.lit("@"), F.get(kept, i)["x"]["kind"])).otherwise(F.get(kept, i)["x"]["hit"])
+        return F.transform(kept, lambda y, i: F.struct(y["x"]["kind"].alias("kind"), y["x"]["hit"].alias("hit"), F.xxhash64(name(i - 1), name(i + 1)).alias("c")))
+
+    return let(let(every, outside), neighbours)
+
+
+def terms(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """((term,) of the terms that disclose an entity, (d, f, term) of the documents that hold a term that may); None without any.
+
+    An entity is the text of a base span that CONTEXTS different texts hold or
+    more.  Words within WINDOW places of it, in any of its documents, co-occur
+    with it.  A word discloses it if, over the corpus, as many texts have it
+    there, with as many different neighbours and DIVERSITY of them for each
+    text; if P(entity | word) is SHARE or more; and if log2 of P(entity | word)
+    over P(entity) is BITS or more.  All are counted over different texts of all
+    documents; neighbours are looked at so that a text copied many times, with
+    a word changed here and there, discloses nothing by that.
     """
     text = F.coalesce("text", F.lit(""))
-    words = lambda t: F.array_distinct(F.split(ascii_lower(t), GAP, -1))
-    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("f"), text.alias("t"), base(text).alias("spans")).where(F.size("spans") > 0)
-    seen = rows.select("d", "f", words(F.col("t")).alias("words"), F.explode(F.transform("spans", lambda s: F.struct(F.concat_ws(":", s["kind"], ascii_lower(s["hit"])).alias("entity"), _context(F.col("t"), s).alias("context")))).alias("x"))
-    seen = stash(seen.select("d", "f", "words", "x.entity", "x.context", F.xxhash64("x.context").alias("c")))
-    entities = seen.groupBy("entity").agg(F.countDistinct("c").alias("contexts"), F.countDistinct("d", "f").alias("docs")).where(F.col("contexts") >= CONTEXTS)
-    near = seen.join(entities.select("entity", F.col("docs").alias("of_entity")), "entity").select("entity", "of_entity", "d", "f", "c", F.explode(F.array_distinct("context")).alias("term"))
-    near = near.groupBy("entity", "of_entity", "term").agg(F.countDistinct("c").alias("contexts"), F.countDistinct("d", "f").alias("together")).where(F.col("contexts") >= CONTEXTS)
-    # A term in too many of the documents that hold any entity can't have the share over all: so go the common words.
-    inside = seen.select("d", "f", "words").dropDuplicates(["d", "f"]).select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("inside"))
+    held = docs.select(F.xxhash64("text").alias("f"), text.alias("t"), base(text).alias("spans")).where(F.size("spans") > 0)
+    entity = lambda s: F.concat_ws(":", s["kind"], ascii_lower(s["hit"]))
+    held = stash(held.withColumn("entities", F.array_distinct(F.transform("spans", entity))))
+    known = held.select("f", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= CONTEXTS)
+    known = stash(known)
+    few = known.limit(BROADCAST + 1).count()
+    if not few:
+        return None
+    small = F.broadcast(known) if few <= BROADCAST else known
+    again = held.select("f", F.explode("entities").alias("entity")).join(small, "entity", "left_semi").select("f").distinct()
+    row = held.join(again, "f", "left_semi").dropDuplicates(["f"]).select("f", _sequence(F.col("t"), F.col("spans")).alias("s"))
+    row = stash(row)
+    at = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: F.get("s", i - 1)["kind"] != "")
+    seen = row.select("f", "s", F.explode(at).alias("i"))
+    name = F.concat_ws(":", F.get("s", F.col("i") - 1)["kind"], F.get("s", F.col("i") - 1)["hit"])
+    around = F.filter(F.slice("s", F.greatest(F.col("i") - WINDOW, F.lit(1)), F.col("i") + WINDOW - F.greatest(F.col("i") - WINDOW, F.lit(1)) + 1), lambda x: x["kind"] == "")
+    seen = seen.select("f", name.alias("entity"), around.alias("around")).join(small, "entity")
+    near = seen.select("f", "entity", "of_entity", F.explode("around").alias("x")).select("f", "entity", "of_entity", F.col("x.hit").alias("term"), F.col("x.c").alias("c"))
+    near = near.groupBy("entity", "of_entity", "term").agg(F.countDistinct("c").alias("contexts"), F.countDistinct("f").alias("together"))
+    near = near.where((F.col("together") >= CONTEXTS) & (F.col("contexts") >= CONTEXTS) & (F.col("contexts") >= DIVERSITY * F.col("together")))
+    # A word in too many of the texts with any entity can't have the share over all: so go the common words.
+    inside = row.select("f", F.explode(F.array_distinct(F.transform(F.filter("s", lambda x: x["kind"] == ""), lambda x: x["hit"]))).alias("term")).groupBy("term").agg(F.count("*").alias("inside"))
     near = stash(near.join(inside, "term").where(F.col("together") >= SHARE * F.col("inside")))
-    terms = near.select("term").distinct()
-    few = terms.limit(BROADCAST + 1).count()
+    maybe = near.select("term").distinct()
+    few = maybe.limit(BROADCAST + 1).count()
     if not few:
-        return seen.select("d", "f", F.array(F.lit("")).alias("terms")).limit(0)
-    everywhere = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("f"), F.explode(words(text)).alias("term"))
-    held = stash(everywhere.join(F.broadcast(terms) if few <= BROADCAST else terms, "term", "left_semi").distinct())
-    n = docs.count()
-    of_term = held.groupBy("term").agg(F.count("*").alias("of_term"))
+        return None
+    words = F.array_distinct(F.split(ascii_lower(text), GAP, -1))
+    every = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("f"), F.explode(words).alias("term"))
+    every = stash(every.join(F.broadcast(maybe) if few <= BROADCAST else maybe, "term", "left_semi").distinct())
+    n = docs.select(F.xxhash64("text").alias("f")).distinct().count()
+    of_term = every.select("f", "term").distinct().groupBy("term").agg(F.count("*").alias("of_term"))
     share = F.col("together") / F.col("of_term")
-    bits = F.log2(share * n / F.col("of_entity"))
-    risky = near.join(of_term, "term").where((share >= SHARE) & (bits >= BITS)).select("term").distinct()
-    return held.join(risky, "term").groupBy("d", "f").agg(F.collect_set("term").alias("terms"))
+    risky = near.join(of_term, "term").where((share >= SHARE) & (F.log2(share * n / F.col("of_entity")) >= BITS))
+    return risky.select("term").distinct(), every
+
+
+def disclosing(docs: DataFrame) -> DataFrame:
+    """(d, f, terms): the terms of each document, as doc_id and hash of the text, that reveal an entity; few documents have any."""
+    found = terms(docs)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], T.StructType([T.StructField("d", docs.schema["doc_id"].dataType), T.StructField("f", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType()))]))
+    risky, every = found
+    return every.join(risky, "term").groupBy("d", "f").agg(F.collect_set("term").alias("terms"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -101,8 +135,10 @@ def find(docs: DataFrame) -> DataFrame:
     `spans` adds to `base` the disclosing terms of the text, kind `term`, where
     they are whole words outside base spans.
 
-    A null text is empty and has no spans.  Repeated rows give a row each; an
-    empty table gives no rows; extra columns are not looked at.
+    A null text is empty and has no spans; a very long one is matched whole, in
+    time that grows with its length times the logarithm of its matches.
+    Repeated rows give a row each and count once; values at a threshold pass it;
+    an empty table gives no rows; extra columns are not looked at.
     """
     risky = stash(disclosing(docs))
     text = F.coalesce("text", F.lit(""))
@@ -120,7 +156,7 @@ def find(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """(doc_id, text): base spans and worded terms replaced by their kind in brackets, terms with digits generalised to # for each digit."""
     by = lambda s: F.when((s["kind"] == "term") & s["hit"].rlike("[0-9]"), F.regexp_replace(s["hit"], "[0-9]", "#")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    return find(docs).select("doc_id", F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("spans"), by)).otherwise(F.col("text")).alias("text"))
+    return find(docs).select("doc_id", replaced(F.col("text"), F.col("spans"), by).alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

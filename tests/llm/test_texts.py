@@ -1,6 +1,7 @@
 """Operators on single texts and lines against plain Python."""
 
-import hashlib
+import math
+import os
 import random
 import re
 import string
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumigraph.llm import decontaminate, line_dedup, pii, secrets, url_filter
-from lumigraph.llm.spans import listed
+from lumigraph.llm.spans import listed, replaced
 
 EXTRA = "doc_id long, text string, pos int, H1 int, line string, w int, spans string, d long"
 
@@ -121,6 +122,88 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_tails(spark):
+    z = [-38.0, -12.0, -8.0, -6.0, -5.0, -3.0, -1.0, -0.1, 0.0, 0.5, 2.0, 4.5, 7.0, 20.0]
+    got = {r.z: r.p for r in spark.createDataFrame([(x,) for x in z], "z double").select("z", secrets.upper_tail(F.col("z")).alias("p")).collect()}
+    for x in z:
+        assert math.isclose(got[x], math.erfc(x / math.sqrt(2)) / 2, rel_tol=1e-6)
+    p = [0.3, 0.01, 0.9, 1e-12]
+    r = spark.range(1).select(secrets.fisher(F.lit(0.05)).alias("one"), secrets.fisher(*[F.lit(x) for x in p]).alias("four")).first()
+    t = -sum(map(math.log, p))
+    assert math.isclose(r.one, 0.05, rel_tol=1e-9) and math.isclose(r.four, math.exp(-t) * (1 + t + t**2 / 2 + t**3 / 6), rel_tol=1e-9)
+
+
+def plain_battery(value):
+    """The same p of a token in plain Python."""
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+
+    def fisher(*ps):
+        t = -sum(math.log(max(p, 1e-300)) for p in ps)
+        return math.exp(-t) * sum(t**k / math.factorial(k) for k in range(len(ps)))
+
+    t = re.sub("=+$", "", value.replace("-", "+").replace("_", "/"))
+    alphabet, pair, triple, usual = next(e[2:] for e in secrets.ENCODINGS if re.search(e[1], value))
+    if alphabet == alphabet.lower():
+        t = t.lower()
+    n, k, steps = len(t), len(alphabet), len(t) - 1
+    if n < 16:
+        return 1.0
+    at = [alphabet.index(c) + 1 - (k + 1) / 2 for c in t]
+    kinds = [next(i for i, x in enumerate(secrets.CLASSES) if c in x) for c in t]
+    free = 1 - sum((sum(c in alphabet for c in x) / k) ** 2 for x in secrets.CLASSES)
+    squares = sum(t.count(c) ** 2 for c in set(t))
+    chi, df = k * squares / n - n, k - 1
+    cube = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    turns = sum((a < 0) != (b < 0) for a, b in zip(at, at[1:]))
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    mean = sum(at) / n
+    serial = (sum(a * b for a, b in zip(at, at[1:])) - steps * mean**2) / max(sum(a * a for a in at) - n * mean**2, 1e-9) * math.sqrt(n)
+    z = [(turns - steps / 2) / math.sqrt(steps / 4), (changes - steps * free) / math.sqrt(steps * free * (1 - free)), serial]
+    if fisher(tail(cube), *[min(1, 2 * tail(abs(x))) for x in z]) < secrets.REFUSED:
+        return 1.0
+    spread = math.sqrt(2 * n * steps * (pair - pair**2) + 4 * n * steps * (n - 2) * (triple - pair**2))
+    rate = changes / steps
+    mixed = 1.0 if rate <= usual else sum(math.comb(steps, j) * usual**j * (1 - usual) ** (steps - j) for j in range(changes, steps + 1))
+    return fisher(tail((n + n * steps * pair - squares) / spread), mixed)
+
+
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": string.ascii_lowercase + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+
+
+def structured(rnd, words, n):
+    """A token of prose, names, numbers or patterns, of n characters."""
+    some = [rnd.choice(words) for _ in range(n)]
+    kind = rnd.randrange(9)
+    text = ["".join(some), "".join(w.capitalize() for w in some), "_".join(some), "-".join(some).upper(), "/".join(some), "".join(w + str(rnd.randrange(10, 3000)) * (rnd.random() < 0.3) for w in some), "".join(rnd.choice("0123456789") for _ in range(n)), "".join(f"{rnd.randrange(1990, 2030)}{rnd.randrange(1, 13):02}{rnd.randrange(1, 29):02}" for _ in range(n)), rnd.choice(["0123456789abcdef", "deadbeef", "AbCdEf12", "x0", "abcdefghijklmnopqrstuvwxyz", "1a2b3c4d5e6f"]) * n][kind]
+    return text[:n]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data here")
+def test_randomness_calibrated(spark):
+    """Against plain Python; power by encoding and length; share of structured tokens that are taken for random."""
+    rnd = random.Random(5)
+    words = sorted({w.lower() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in re.findall("[A-Za-z]{2,}", r.text or "")})
+    lengths, each = (24, 32, 40, 48, 64), 120
+    tokens = [(e, n, "".join(rnd.choice(chars) for _ in range(n))) for e, chars in ALPHABETS.items() for n in lengths for _ in range(each)]
+    tokens += [("plain", n, structured(rnd, words, n)) for n in lengths for _ in range(1500)]
+    tokens = [t for t in tokens if not re.fullmatch(r"[0-9a-f]{32,}|AKIA.*", t[2])]
+    rows = spark.createDataFrame([(i, t[2]) for i, t in enumerate(tokens)], "doc_id long, text string").repartition(4)
+    p = {r.doc_id: r.p for r in rows.select("doc_id", secrets.randomness(F.col("text")).alias("p")).collect()}
+    for i in rnd.sample(range(len(tokens)), 800):
+        exact = plain_battery(tokens[i][2])  # with a binomial tail where the operator has a bound on it
+        assert exact * 0.999 <= p[i] <= 2 * exact or exact > 0.2, (tokens[i], p[i], exact)
+    found = {r.doc_id for r in secrets.scan(rows).select("doc_id", listed(F.col("spans")).alias("s")).collect() if "random" in r.s}
+    count = {}
+    for i, (e, n, _) in enumerate(tokens):
+        hit, total = count.get((e, n), (0, 0))
+        count[e, n] = hit + (i in found), total + 1
+    print({k: round(a / b, 3) for k, (a, b) in count.items()})
+    false = sum(a for (e, _), (a, _) in count.items() if e == "plain")
+    assert false <= 2 * secrets.LEVEL * len(found)
+    least = {"hex": 24, "base32": 48, "base36": 32, "base64": 32}  # shorter ones tell too little
+    assert all(a >= 0.9 * b for (e, n), (a, b) in count.items() if n >= least.get(e, 99))
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
@@ -161,6 +244,88 @@ def test_disclosing_terms(spark, monkeypatch, most):
     assert text[400] == "who is [TERM]?" and "[EMAIL]" in text[0]
 
 
+def brute_terms(rows):
+    """Terms by plain counting, from sequences of words and entities."""
+    seqs, texts = {}, {t or "" for _, t in rows}
+    for t in texts:
+        found = [(int(a), 0, int(b), k, low(t[int(a) : int(b)])) for k, a, b in (x.split(":") for x in base_pii(t).split(",") if x)]
+        found += [(m.start(), 1, m.end(), "", low(m.group())) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)]
+        seq, high = [], 0
+        for start, rank, end, kind, hit in sorted(found):
+            if rank == 0 or start >= high:
+                seq.append((kind, hit))
+            high = max(high, end * (rank == 0))
+        seqs[t] = seq
+    of_entity, by, of_term = {}, {}, {}
+    for t, seq in seqs.items():
+        for e in {x for x in seq if x[0]}:
+            of_entity.setdefault(e, set()).add(t)
+        for w in set(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low(t))):
+            of_term.setdefault(w, set()).add(t)
+        name = lambda i: None if not 0 <= i < len(seq) else seq[i][0] and "@" + seq[i][0] or seq[i][1]  # noqa: B023, E731
+        for i, e in enumerate(seq):
+            for j in range(max(0, i - pii.WINDOW), min(len(seq), i + pii.WINDOW + 1)) if e[0] else ():
+                if not seq[j][0]:
+                    by.setdefault((e, seq[j][1]), set()).add((t, name(j - 1), name(j + 1)))
+    out = set()
+    for (e, w), held in by.items():
+        together, contexts = len({x[0] for x in held}), len({x[1:] for x in held})
+        share = together / len(of_term[w])
+        if len(of_entity[e]) >= pii.CONTEXTS <= min(together, contexts) and contexts >= pii.DIVERSITY * together and share >= pii.SHARE and math.log2(share * len(texts) / len(of_entity[e])) >= pii.BITS:
+            out.add(w)
+    return out
+
+
+def test_planted_terms(spark):
+    """Terms planted by entities, anywhere in the window, are found; nothing is in plain text; brute force agrees."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda n: [rnd.choice(words) for _ in range(n)]
+    rows, planted = [], set()
+    for i in range(500):
+        rows.append((i, " ".join(text(rnd.randrange(1, 60)))))
+    for k in range(12):
+        entity = rnd.choice([f"user{k}@mail.example.org", f"10.0.{k}.7", f"+49 30 55501{k:02}"])
+        for _ in range(rnd.randrange(3, 9)):
+            w = text(50)
+            w[25:25] = [entity, "reach", entity][: rnd.choice([1, 3])]
+            for at in (2, 40):
+                term = f"codename{k}x{at}"
+                w.insert(at, term)
+                planted.add(term)
+            rows.append((1000 + len(rows), " ".join(w)))
+    copied = text(40) + ["nobody", "elsewhere", "u@copies.example.com"]
+    for _ in range(40):
+        w = list(copied)
+        w[rnd.randrange(40)] = rnd.choice(words)
+        rows.append((5000 + len(rows), " ".join(w)))
+    rows += [(9000, None), (9001, ""), (9002, "two@x.yy " * 3000), (9003, rows[600][1]), (9003, rows[600][1])]
+    df = frame(spark, rows)
+    risky = {r.term for r in pii.terms(df)[0].collect()}
+    assert risky == brute_terms(rows)
+    assert len(risky & planted) >= 0.9 * len(planted) and not risky & set(words) and "nobody" not in risky
+    found = {r.doc_id: r.s for r in pii.find(df).select("doc_id", listed(F.col("spans")).alias("s")).collect()}
+    for i, t in rows:
+        assert found[i].count("term:") == sum(x in risky for x in re.findall(r"[0-9A-Za-z]+", low(t or ""))), t
+
+
+def test_replaced(spark):
+    """Overlapping spans go together; many in a long text as few in a short one."""
+    rnd = random.Random(3)
+    rows = [(0, "é" * 5 + "abc😀def", [("x", 1, 4), ("y", 3, 6), ("z", 6, 7)]), (1, "", []), (2, None, []), (3, "abc", [])]
+    rows.append((4, "😀a" * 2000, sorted(("k", a, a + rnd.randrange(1, 4)) for a in rnd.sample(range(3990), 900))))
+    span = "array<struct<kind: string, start: int, `end`: int, hit: string, part: string>>"
+    df = spark.createDataFrame([(i, t, [(*s, "", "") for s in of]) for i, t, of in rows], f"doc_id long, text string, of {span}")
+    got = {r.doc_id: r.out for r in df.select("doc_id", replaced(F.col("text"), F.col("of"), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">"))).alias("out")).collect()}
+    for i, t, of in rows:
+        out, at, high = "", 0, 0
+        for k, a, b in of:
+            if a >= high:
+                out += t[high:a] + f"<{k}>"
+            high = max(high, b)
+        assert got[i] == (None if t is None else out + t[high:])
+
+
 def test_urls(spark):
     link = lambda to: f'<html><LINK href="{to}" rel=canonical></html>'
     move = lambda to: f"<meta http-equiv='Refresh' content='0; URL={to}'>"
