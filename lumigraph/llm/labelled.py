@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumigraph.llm.text import free_name
+from lumigraph.sources.tables import stash
 
-#: Labelled rows that a classifier is fitted on, at most: the first by hash of doc_id.
-TRAIN_ROWS = 4000
+#: Labelled rows that a classifier is fitted on, at most, and bytes of their texts together: the first by hash of doc_id.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 48 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -19,19 +20,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> tuple[pa.Array, np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> tuple[pa.Array, np.ndarray]:
     """(texts, labels) of at most `rows` labelled documents outside the held-out fifth, in a fixed order.
 
+    Labels of documents that are not in `docs` don't count for the bound.  A
+    text that would take the texts together over `most` bytes is left out.
     Null labels or ids are left out; of several labels of one doc_id the largest
-    counts, and of several rows of a document one.
+    counts, and of several rows of a document the smallest text.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toArrow().to_pandas()
-    found = found.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    order = np.argsort((found["doc_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
-    found = found.iloc[order]
-    return pa.array(found["text"].fillna("").tolist(), pa.string()), found["y"].to_numpy("float64")
+    chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = stash(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.xxhash64("doc_id").alias("h")))
+    kept, total = [], 0
+    for doc_id, size in found.orderBy("h", "doc_id").select("doc_id", F.octet_length("text")).collect():  # `rows` at most
+        if total + size <= most:
+            kept.append((doc_id,))
+            total += size
+    if not kept:
+        return pa.array([], pa.string()), np.zeros(0)
+    kept = docs.sparkSession.createDataFrame(kept, docs.select("doc_id").schema)
+    table = found.join(F.broadcast(kept), "doc_id").orderBy("h", "doc_id").select("text", "y").toArrow()
+    return table["text"].combine_chunks().cast(pa.string()), table["y"].to_numpy().astype("float64")
 
 
 def scored(docs: DataFrame, score, name: str) -> DataFrame:
