@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigraph.llm.text import SPACE, ascii_lower, free_name
-from lumigraph.sources.tables import table
+from lumigraph.sources.tables import stash, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Keys that are broadcast, at most (24 bytes each); of more, the most frequent are broadcast and the rest, none of which is frequent, shuffled.
+BROADCAST_KEYS = 100_000
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, stats: str | None = None) -> DataFrame:
@@ -21,21 +23,30 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     Lines are exploded with their position and hashed to 128 bits; documents
     are counted per hash after a distinct per document, so that no hash
-    gathers rows; positions to drop meet their document again in one join, and
-    the text is reassembled from the positions that remain.
+    gathers rows, and the most frequent hashes meet the lines by broadcast, so
+    that none is a hot key; positions to drop meet their document again in one
+    join, and the text is reassembled from the positions that remain.
 
     Null or empty texts are one empty line and stay as they are.  Rows with one
     doc_id are one document.  A null doc_id is one document, smaller than all
     others.  Documents without a dropped line keep their text byte for byte;
-    one whose lines all go stays, with an empty text.  An empty table gives an
-    empty table.  Extra columns, whatever their names, pass through.
+    one whose lines all go stays, with an empty text.  A very long text is
+    split whole; its lines are rows like others, and only their positions, four
+    bytes each, meet again.  An empty table gives an empty table.  Extra
+    columns, whatever their names, pass through.
     """
     row = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("f"), F.coalesce("text", F.lit("")).alias("t"))
     lines = row.select("d", "f", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
     lines = lines.select("d", "f", "pos", ascii_lower(F.btrim("line", F.lit(SPACE))).alias("key")).where(F.length("key") >= min_chars)
     lines = lines.select("d", "f", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     common = lines.select("h1", "h2", "d").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("d").alias("stays")).where(F.col("n") >= min_docs)
-    drops = lines.join(common, ["h1", "h2"]).where(F.col("d").isNull() | (F.col("d") != F.col("stays"))).groupBy("d", "f").agg(F.collect_set("pos").alias("gone"))
+    common = stash(common)
+    many = common.count() > BROADCAST_KEYS
+    frequent = F.broadcast(common.orderBy(F.desc("n"), "h1", "h2").limit(BROADCAST_KEYS) if many else common)
+    held = lines.join(frequent, ["h1", "h2"])
+    if many:
+        held = held.unionByName(lines.join(frequent, ["h1", "h2"], "left_anti").join(common, ["h1", "h2"]))
+    drops = held.where(F.col("d").isNull() | (F.col("d") != F.col("stays"))).groupBy("d", "f").agg(F.collect_set("pos").alias("gone"))
 
     names = [free_name(docs.columns, x) for x in ("lg_lines", "lg_print", "lg_doc", "lg_gone")]
     split, mark, doc, gone = names

@@ -66,6 +66,12 @@ def brute_windows(text, items):
     return len(w), len(hit), sorted(found)
 
 
+@pytest.mark.parametrize("keys", [0, 3])
+def test_lines_with_more_keys_than_are_broadcast(spark, monkeypatch, keys):
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", keys)
+    test_lines(spark)
+
+
 @pytest.mark.parametrize("big", [True, False])
 def test_windows(spark, monkeypatch, big):
     if big:
