@@ -33,25 +33,28 @@ def _covered(df: DataFrame, out: str, a: str, n: int, f) -> DataFrame:
     return df
 
 
+def _hashed(df: DataFrame, out: str, n: int) -> DataFrame:
+    """Column `out`: a hash of each run of n words of `w`."""
+    df = df.withColumn(out, F.transform("w", lambda x: F.xxhash64(x)))
+    df = _covered(df, out, out, n, lambda a, b: F.xxhash64(a, b))
+    return df.withColumn(out, F.slice(out, 1, F.greatest(F.size("w") - n + 1, F.lit(0))))
+
+
 def fingerprints(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """`df` (with array `w` of words) exploded to (…, fp, start, ws).
+    """`df` (with array `w` of words) exploded to (…, w, fp, start, n).
 
     A window of `window` words has window - gram + 1 grams; its fingerprint is
     their least hash.  Consecutive windows with one fingerprint give one row:
-    `start` (from 1) of the first, and `ws`, the words that they cover together.
+    `start` (from 1) of the first, and `n`, the words that they cover together.
     Two texts that share a window share its fingerprint, always.
     """
-    keep = [x for x in df.columns if x != "w"]
-    pair = lambda a, b: F.xxhash64(a, b)
-    df = df.where(F.size("w") >= window).withColumn("g", F.transform("w", lambda x: F.xxhash64(x)))
-    df = _covered(df, "g", "g", gram, pair)
-    df = df.withColumn("g", F.slice("g", 1, F.size("w") - gram + 1))
+    df = _hashed(df.where(F.size("w") >= window), "g", gram)
     df = _covered(df, "m", "g", window - gram + 1, lambda a, b: F.least(a, b))
     df = df.withColumn("m", F.slice("m", 1, F.size("w") - window + 1))
     at = F.filter(F.sequence(F.lit(1), F.size("m")), lambda i: (i == 1) | (F.get("m", i - 1) != F.get("m", i - 2)))
     df = df.withColumn("at", at)
-    row = lambda s, i: F.struct(F.get("m", s - 1).alias("fp"), s.alias("start"), F.slice("w", s, F.coalesce(F.get("at", i + 1), F.size("m") + 1) - s + window - 1).alias("ws"))
-    return df.select(*keep, F.inline(F.transform("at", row)))
+    row = lambda s, i: F.struct(F.get("m", s - 1).alias("fp"), s.alias("start"), (F.coalesce(F.get("at", i + 1), F.size("m") + 1) - s + window - 1).alias("n"))
+    return df.select(*[x for x in df.columns if x not in ("g", "m", "at")], F.inline(F.transform("at", row)))
 
 
 def windows(ws: Column, n: int | Column) -> Column:
@@ -65,7 +68,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
 
     Texts and items are winnowed, fingerprints joined, and each hit is extended
     to the windows under it, whose words are compared as text.  Items shorter
-    than a window have no fingerprint: they are looked up whole, by length.
+    than a window have no fingerprint: runs of as many words are joined by hash
+    first.  Words are cut out of a text only where a hash was found.
     """
     item = stash(items.select(F.col("item_id").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0"))
     spans = item.select("item", F.least(F.size("w"), F.lit(window)).alias("n"), "w").select("item", "n", F.explode(windows(F.col("w"), F.col("n"))).alias("s")).distinct()
@@ -78,11 +82,12 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
     found = []
     if window in spans_n:
         full = fingerprints(text, window, gram).join(prints, "fp", "left_semi")
-        full = full.select("d", "f", "start", F.posexplode(windows(F.col("ws"), window)).alias("i", "s"))
+        full = full.select("d", "f", "start", F.posexplode(windows(F.slice("w", F.col("start"), F.col("n")), window)).alias("i", "s"))
         found.append(full.select("d", "f", (F.col("start") + F.col("i")).alias("start"), F.lit(window).alias("n"), "s"))
     for n in sorted(spans_n - {window}):
-        short = text.select("d", "f", F.posexplode(windows(F.col("w"), n)).alias("i", "s"))
-        found.append(short.select("d", "f", (F.col("i") + 1).alias("start"), F.lit(n).alias("n"), "s"))
+        own = stash(_hashed(item.where(F.size("w") == n), "h", n).select(F.get("h", F.lit(0)).alias("h")).distinct())
+        short = _hashed(text, "h", n).select("d", "f", "w", F.posexplode("h").alias("i", "h")).join(small(own, BROADCAST_HASHES), "h", "left_semi")
+        found.append(short.select("d", "f", (F.col("i") + 1).alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("w", F.col("i") + 1, F.lit(n)), " ").alias("s")))
     if not found:
         found = [text.select("d", "f", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("s")).limit(0)]
     every = found[0]
@@ -100,8 +105,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 
     Null and empty texts have no words and hit nothing; null or wordless items
     are never hit.  Items with a null id count for n_hit but are not listed.
-    Repeated rows of items count once; repeated documents give a row each.
-    Empty tables on either side are fine; extra columns are not looked at.
+    Repeated rows of items count once; repeated documents give a row each.  A
+    very long text is winnowed whole.  Empty tables on either side are fine;
+    extra columns are not looked at.
     """
     hit = hits(docs, items, window, gram)
     # The words that a text has are as many before A-Z become lower case.
