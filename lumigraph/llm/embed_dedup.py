@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from lumigraph.operators.components import connected_components
 from lumigraph.sources.tables import stash, table
 
 COSINE = 0.98
-#: Vectors that centroids and codebooks are fitted on, at most; lists, at most (all are broadcast).
-SAMPLE, LISTS = 65_536, 8_192
+#: Vectors that centroids and codebooks are fitted on, at most; rows of a label in one list, about; lists, at least and at most (all are broadcast).
+SAMPLE, PER_LIST, LISTS = 65_536, 512, (4, 8_192)
 #: Subspaces, codewords of each, and rounds of k-means.
 SUBSPACES, CODEWORDS, ROUNDS = 8, 64, 8
 #: Rows of a list, on either side, that one task holds at once.
@@ -66,22 +67,26 @@ class Index:
         return codes, np.sqrt(error)
 
     def probes(self, x: np.ndarray, at: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): the other lists that can hold a vector within `radius` of each of `x`, whose own list is `at`.
+        """(row, list): the lists before its own list `at` that can hold a vector within `radius` of each of `x`.
 
         What lies in another list is no nearer than the plane halfway between
-        the two centroids.
+        the two centroids.  Of two lists the later one's vectors look in the
+        earlier one, so that each pair is looked at once.
         """
         size = (self.coarse**2).sum(1)
         d = size - 2 * x @ self.coarse.T
         gap = np.sqrt(np.maximum(size[at][:, None] + size - 2 * self.coarse[at] @ self.coarse.T, 0))
         near = d - d[np.arange(len(x)), at][:, None] <= 2 * gap * radius + 1e-6
-        near[np.arange(len(x)), at] = False
-        return np.nonzero(near)
+        return np.nonzero(near & (np.arange(len(size)) < at[:, None]))
 
     def tables(self, x: np.ndarray, at: int) -> list[np.ndarray]:
         """For each subspace the squared distances of queries' residuals from all codewords."""
         rest = x - self.coarse[at]
-        return [((rest[:, None, a:b] - w[None]) ** 2).sum(2) for a, b, w in zip(self.cuts, self.cuts[1:], self.books)]
+        return [((rest[:, None, a:b] - w[None]) ** 2).sum(2).astype(np.float32) for a, b, w in zip(self.cuts, self.cuts[1:], self.books)]
+
+    def far(self, x: np.ndarray, at: int, code: np.ndarray) -> np.ndarray:
+        """Squared distances of queries from what the codes of members of list `at` stand for, as sums of table entries."""
+        return sum(t[:, code[:, k]] for k, t in enumerate(self.tables(x, at)))
 
 
 class Trivial(Index):
@@ -123,52 +128,59 @@ def _homes(known, radius: float):
     return run
 
 
-def _tasks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], work) -> Iterator[pa.RecordBatch]:
-    """What `work` gives for the rows of each (group, list, i, j), which come one after another."""
-    at, rows = None, []
+def _tasks(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """What `work` makes of the rows of each (group, list, i, j), which come one after another."""
+    key, held = None, []
     for batch in batches:
-        for *key, row in zip(*[batch.column(c).to_pylist() for c in ("group", "list", "i", "j")], zip(*[batch.column(c).to_pylist() for c in columns], strict=True), strict=True):
-            if at != key:
-                if at and (out := work(*at[:2], rows)):
+        if not batch.num_rows:
+            continue
+        cut = np.zeros(batch.num_rows - 1, bool)
+        for c in ("group", "list", "i", "j"):
+            column = batch.column(c)
+            cut |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(cut) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            own = tuple(batch.column(c)[a].as_py() for c in ("group", "list", "i", "j"))
+            if own != key:
+                if held and (out := work(*key[:2], pa.Table.from_batches(held))):
                     yield out
-                at, rows = key, []
-            rows.append(row)
-    if at and (out := work(*at[:2], rows)):
+                key, held = own, []
+            held.append(batch.slice(a, b - a))
+    if held and (out := work(*key[:2], pa.Table.from_batches(held))):
         yield out
 
 
-def _matrix(blobs: list[bytes], kind: type = np.float64) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
+def _matrix(blobs: pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:
+    """Rows of a column of byte strings of one length."""
+    return np.frombuffer(b"".join(blobs.to_pylist()), kind).reshape(len(blobs), -1)
+
+
+#: Slack of bounds against rounding: table entries have 24 bits.
+SLACK = 1e-5
 
 
 def _survivors(known, radius: float):
     """(group, list, id): vectors of other lists, given by their codes alone, that a vector at home in the list may be near.
 
     A vector y that codes for z with error e is within the radius of x only if
-    |x - z| <= radius + e, and |x - z| is a sum of table entries.  Of each pair
-    the vector of the smaller id travels.
+    |x - z| <= radius + e, and |x - z| is a sum of table entries.
     """
 
-    def work(group: str, at: int, rows: list[tuple]) -> pa.RecordBatch | None:
-        home, away = [r for r in rows if r[4] is not None], sorted((r for r in rows if r[4] is None), key=lambda r: r[1])
-        if not home or not away:
+    def work(group: str, at: int, rows: pa.Table) -> pa.RecordBatch | None:
+        home, away = rows.filter(pc.is_valid(rows["vec"])), rows.filter(pc.is_null(rows["vec"]))
+        if not len(home) or not len(away):
             return None
-        x = unit(_matrix([r[4] for r in home]))
-        mine, ids = np.array([r[0] for r in home]), np.array([r[0] for r in away])
-        index = _index(known.value, x.shape[1])
-        origin, code = np.array([r[1] for r in away]), _matrix([r[3] for r in away], np.uint8)
-        reach = (radius + np.array([r[2] for r in away]) + 1e-9) ** 2
+        x, code, origin = unit(_matrix(home["vec"])), _matrix(away["code"], np.uint8), away["origin"].to_numpy()
+        index, reach = _index(known.value, x.shape[1]), ((radius + away["error"].to_numpy()) ** 2 + SLACK).astype(np.float32)
         keep = np.zeros(len(away), bool)
         for place in np.unique(origin).tolist():
             own = np.flatnonzero(origin == place)
             for i in range(0, len(x), 256):
-                tables = index.tables(x[i : i + 256], place)
-                far = sum(t[:, code[own, k]] for k, t in enumerate(tables))
-                keep[own] |= ((far <= reach[own]) & (mine[i : i + 256, None] > ids[own])).any(0)
+                keep[own] |= (index.far(x[i : i + 256], place, code[own]) <= reach[own]).any(0)
         n = int(keep.sum())
-        return pa.RecordBatch.from_arrays([pa.array([group] * n, pa.string()), pa.array([at] * n, pa.int32()), pa.array(ids[keep])], ["group", "list", "id"])
+        return pa.RecordBatch.from_arrays([pa.array([group] * n, pa.string()), pa.array([at] * n, pa.int32()), pa.array(away["id"].to_numpy()[keep])], ["group", "list", "id"])
 
-    return lambda batches: _tasks(batches, ("id", "origin", "error", "code", "vec"), work)
+    return lambda batches: _tasks(batches, work)
 
 
 def _compare(known, cosine: float, radius: float):
@@ -179,16 +191,15 @@ def _compare(known, cosine: float, radius: float):
     reach each component of the chunk by.
     """
 
-    def links(_: str, at: int, rows: list[tuple]) -> pa.RecordBatch | None:
-        home, ask = [r for r in rows if r[3]], [r for r in rows if not r[3]]
-        if not home or not ask:
+    def links(_: str, at: int, rows: pa.Table) -> pa.RecordBatch | None:
+        home, ask = rows.filter(rows["member"]), rows.filter(pc.invert(rows["member"]))
+        if not len(home) or not len(ask):
             return None
-        members = np.array([r[0] for r in home])
-        copies = {r[0]: r[1] for r in rows}
-        code = _matrix([r[4] for r in home], np.uint8)
-        reach = radius + np.array([r[2] for r in home]) + 1e-9
-        y = _matrix([r[5] for r in home])
+        members, y, code = home["id"].to_numpy(), _matrix(home["vec"]), _matrix(home["code"], np.uint8)
+        asking, x, foreign = ask["id"].to_numpy(), _matrix(ask["vec"]), ask["foreign"].to_numpy()
+        copies = dict(zip([*members.tolist(), *asking.tolist()], [*home["copies"].to_pylist(), *ask["copies"].to_pylist()], strict=True))
         index, size = _index(known.value, y.shape[1]), (y * y).sum(1)
+        reach = ((radius + home["error"].to_numpy()) ** 2 + SLACK).astype(np.float32)
         root: dict[int, int] = {}
         count: dict[int, int] = {}
 
@@ -199,14 +210,11 @@ def _compare(known, cosine: float, radius: float):
             return a
 
         for i in range(0, len(ask), 256):
-            part = ask[i : i + 256]
-            ids = np.array([r[0] for r in part])
-            x = _matrix([r[5] for r in part])
-            far = sum(t[:, code[:, k]] for k, t in enumerate(index.tables(unit(x), at)))
-            q, m = np.nonzero((far <= reach**2) & (ids[:, None] < members[None]))
+            z, ids = x[i : i + 256], asking[i : i + 256]
+            q, m = np.nonzero((index.far(unit(z), at, code) <= reach) & (foreign[i : i + 256, None] | (ids[:, None] < members)))
             for k in range(0, len(q), 1 << 16):
                 a, b = q[k : k + (1 << 16)], m[k : k + (1 << 16)]
-                hit = np.flatnonzero((x[a] * y[b]).sum(1) / np.sqrt((x[a] * x[a]).sum(1) * size[b]) >= cosine)
+                hit = np.flatnonzero((z[a] * y[b]).sum(1) / np.sqrt((z[a] * z[a]).sum(1) * size[b]) >= cosine)
                 for s, t in zip(ids[a[hit]].tolist(), members[b[hit]].tolist(), strict=True):
                     count[s] = count.get(s, 0) + copies[t]
                     count[t] = count.get(t, 0) + copies[s]
@@ -217,7 +225,7 @@ def _compare(known, cosine: float, radius: float):
         ids = list(count)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([count[r] for r in ids], pa.int64()), pa.array([find(r) for r in ids], pa.int64())], ["id", "links", "other"])
 
-    return lambda batches: _tasks(batches, ("id", "copies", "error", "member", "code", "vec"), links)
+    return lambda batches: _tasks(batches, links)
 
 
 def _dealt(members: DataFrame, others: DataFrame, columns: list[str]) -> DataFrame:
@@ -270,8 +278,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
         widths = chosen.value_lengths().to_numpy()
         for width, n in zip(*np.unique(widths, return_counts=True), strict=True):
             x = unit(scaled(chosen.filter(pa.array(widths == width)), int(width)))
-            lists = int(np.sqrt(total * n / len(widths) / groups))  # as many lists as each holds rows of a group
-            known[int(width)] = Index(x, max(1, min(LISTS, n // 8, lists)))
+            lists = int(total * n / len(widths) / groups / PER_LIST)
+            known[int(width)] = Index(x, max(1, min(max(lists, LISTS[0]), LISTS[1], n // 8)))
     index = spark.sparkContext.broadcast(known)
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
@@ -280,9 +288,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     away = home.select("group", F.col("list").alias("origin"), "id", "error", "code", F.lit(None).cast("binary").alias("vec"), F.explode("probes").alias("list"))
     tasks = _dealt(at_home, away, ["id", "origin", "error", "code", "vec"])
     asking = stash(tasks.mapInArrow(_survivors(index, radius), "`group` string, list int, id long").distinct())
-    members = home.select("group", "list", "id", "copies", "error", "code", "vec", F.lit(True).alias("member"))
-    asking = asking.join(home.select("id", "copies", "error", "code", "vec"), "id").unionByName(members.drop("member")).withColumn("member", F.lit(False))
-    tasks = _dealt(members, asking, ["id", "copies", "error", "member", "code", "vec"])
+    members = home.select("group", "list", "id", "copies", "error", "code", "vec", F.lit(True).alias("member"), F.lit(False).alias("foreign"))
+    asking = asking.join(home.select("id", "copies", "error", "code", "vec"), "id").withColumn("foreign", F.lit(True))
+    asking = asking.unionByName(members.drop("member")).withColumn("member", F.lit(False))
+    tasks = _dealt(members, asking, ["id", "copies", "error", "member", "foreign", "code", "vec"])
     links = stash(tasks.mapInArrow(_compare(index, cosine, radius), "id long, links long, other long"))
     found = connected_components(links, "id", "other").join(classes.select("id", "least"), "id")
     least = found.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -124,7 +124,7 @@ def test_combined_keys_tie_the_same():
     key, node = rng.integers(0, 300, 900).astype(np.uint64), rng.integers(0, 400, 900)
     key[:500] = 5
     keys, nodes = ngram_join.combined(key, node)
-    assert (keys == 5).sum() == 1 and len(set(keys[: len(set(key.tolist()))].tolist())) == len(set(key.tolist()))
+    assert (keys == 5).sum() == 1 and max(np.unique(keys, return_counts=True)[1]) == 2 and set(key.tolist()) <= set(keys.tolist())
 
     def parts(key, node):
         by = {}
@@ -227,6 +227,7 @@ def brute_vectors(rows, cosine=0.98):
 @pytest.mark.parametrize("chunk", [7, 2048])
 def test_vectors(spark, monkeypatch, chunk):
     monkeypatch.setattr(embed_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(embed_dedup, "PER_LIST", 8)
     rng = np.random.default_rng(chunk)
     rows = []
     for i in range(60):
@@ -278,8 +279,7 @@ def test_bounds_hold():
     row, place = index.probes(x, at, radius)
     probed = set(zip(row.tolist(), place.tolist(), strict=True))
     near = np.argwhere((x @ x.T >= 0.98) & ~np.eye(800, dtype=bool))
-    assert len({(int(at[a]), int(at[b])) for a, b in near if at[a] != at[b]}) > 5 and len(probed) < 800 * 24
+    assert len({(int(at[a]), int(at[b])) for a, b in near if at[a] != at[b]}) > 5 and len(probed) < 800 * 12
     for a, b in near.tolist():
-        assert at[a] == at[b] or (b, int(at[a])) in probed
-        far = sum(t[0, codes[b, k]] for k, t in enumerate(index.tables(x[a : a + 1], int(at[b]))))
-        assert np.sqrt(far) <= radius + error[b] + 1e-9
+        assert at[a] >= at[b] or (b, int(at[a])) in probed
+        assert index.far(x[a : a + 1], int(at[b]), codes[b : b + 1])[0, 0] <= (radius + error[b]) ** 2 + embed_dedup.SLACK
