@@ -104,6 +104,19 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
+def gradients(model: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of documents, by every weight."""
+    f, w = model.forward(x, first), model.w
+    g = (1 / (1 + np.exp(-f["logit"])) - y) / len(y)
+    gz = g[:, None] * w["out"]
+    wide = np.repeat(gz, f["n"], axis=0)
+    ga = (wide * f["h"]).sum(1)
+    ge = f["a"] * (ga - np.repeat(np.add.reduceat(f["a"] * ga, first), f["n"]))
+    gv, gu = ge[:, None] * w["att"] * f["u"] * (1 - f["v"] ** 2), ge[:, None] * w["att"] * f["v"] * f["u"] * (1 - f["u"])
+    gh = (f["a"][:, None] * wide + gv @ w["gate_v"].T + gu @ w["gate_u"].T) * (1 - f["h"] ** 2)
+    return {"enc": f["x"].T @ gh, "enc_b": gh.sum(0), "gate_v": f["h"].T @ gv, "gate_u": f["h"].T @ gu, "att": (f["v"] * f["u"]).T @ ge, "out": f["z"].T @ g, "out_b": np.array([g.sum()])}
+
+
 def fit(column: pa.Array, y: np.ndarray, seed: int = 3) -> Model:
     """All layers together from document labels, by Adam on the whole sample; without two classes: one constant score."""
     rng = np.random.default_rng(seed)
@@ -121,15 +134,7 @@ def fit(column: pa.Array, y: np.ndarray, seed: int = 3) -> Model:
     y = y[doc[first]]
     m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
-        f = model.forward(x, first)
-        g = (1 / (1 + np.exp(-f["logit"])) - y) / len(y)
-        gz = g[:, None] * w["out"]
-        wide = np.repeat(gz, f["n"], axis=0)
-        ga = (wide * f["h"]).sum(1)
-        ge = f["a"] * (ga - np.repeat(np.add.reduceat(f["a"] * ga, first), f["n"]))
-        gv, gu = ge[:, None] * w["att"] * f["u"] * (1 - f["v"] ** 2), ge[:, None] * w["att"] * f["v"] * f["u"] * (1 - f["u"])
-        gh = (f["a"][:, None] * wide + gv @ w["gate_v"].T + gu @ w["gate_u"].T) * (1 - f["h"] ** 2)
-        grad = {"enc": f["x"].T @ gh, "enc_b": gh.sum(0), "gate_v": f["h"].T @ gv, "gate_u": f["h"].T @ gu, "att": (f["v"] * f["u"]).T @ ge, "out": f["z"].T @ g, "out_b": np.array([g.sum()])}
+        grad = gradients(model, x, first, y)
         for k in Model.NAMES:
             d = grad[k] + DECAY * w[k] * (w[k].ndim > 1)
             m[k] = 0.9 * m[k] + 0.1 * d
@@ -146,10 +151,12 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted): probability of quality 1; predicted from THRESHOLD on.
 
     The model is fitted on the driver from `rows` labelled documents at most;
-    every passage of every text is encoded and weighed.  Null and empty texts
-    have the score of an average passage.  A null doc_id is not held out.
-    Repeated rows give a row each; extra columns are not looked at; without
-    usable labels of both classes all scores are one constant.
+    every passage of every text, however long, is encoded and weighed.  Null and
+    empty texts have the score of an average passage; a score of exactly
+    THRESHOLD is predicted 1.  A null doc_id is not held out.  Repeated rows
+    give a row each, each by its own text; an empty table gives no rows; extra
+    columns are not looked at; without usable labels of both classes all scores
+    are one constant.
     """
     return report(docs, trained(docs, labels, rows), THRESHOLD)
 
