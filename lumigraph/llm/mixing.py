@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumigraph.llm.text import free_name, n_words
+from lumigraph.operators.similarity import number
 from lumigraph.sources.tables import stash, table
 
 WEIGHTS, MOST, CHUNK, FAN = (5, 2, 1), 3, 4096, 64
@@ -17,6 +18,21 @@ WEIGHTS, MOST, CHUNK, FAN = (5, 2, 1), 3, 4096, 64
 SOURCES_BROADCAST = 10_000
 
 
+def _before(df: DataFrame, order: list, sums: Sequence[str]) -> DataFrame:
+    """`df` with, for each column x of `sums`, the sum of x over all rows before in `order`, as x_before.
+
+    Rows are range-partitioned and summed within; the partitions' sums, one row
+    each, give what lies before.
+    """
+    placed = stash(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    parts = placed.groupBy("part").agg(*[F.sum(x).alias(x) for x in sums])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    parts = parts.select("part", *[F.coalesce(F.sum(x).over(earlier), F.lit(0.0)).alias(f"{x}_part") for x in sums])
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(parts), "part")
+    return out.select(*df.columns, *[(F.col(f"{x}_part") + F.coalesce(F.sum(x).over(own), F.lit(0.0))).alias(f"{x}_before") for x in sums])
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, units, target) from (source, mass): shares of the total mass by weight.
 
@@ -24,21 +40,19 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     above `most` times its source's size; the excess is shared again by weight
     among the others.  With sources ordered by size over weight the capped ones
     are a prefix, and the level of the rest follows from running sums: the same
-    as resharing until none is above.  One row a source is all that windows see.
+    as resharing until none is above.  Sources may be many: no task sorts them
+    all.  All sums are of whole numbers, so reruns agree.
     """
     by = sizes.groupBy("source").agg(F.sum("mass").cast("double").alias("source_size"), F.count("*").alias("units"))
-    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(rank, F.lit(len(weights))) + 1)
+    by = number(by, [F.asc_nulls_last("source")], 0)
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod("number", F.lit(len(weights))).cast("int") + 1)
     by = by.withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
-    order = Window.orderBy((F.col("cap") / F.col("weight")), F.asc_nulls_last("source"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    by = by.withColumn("level", level)
+    by = stash(_before(by, [F.col("cap") / F.col("weight"), F.col("number")], ["cap", "weight"]))
+    mass, shares = by.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(mass) - F.col("cap_before")) / (F.lit(shares) - F.col("weight_before"))
     # The first source that stays under its cap sets the level of all after it.
-    free = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(everything)
-    by = by.withColumn("final", free["level"])
-    return by.select("source", F.col("source_size").cast("long").alias("source_size"), "units", F.least("cap", F.col("final") * F.col("weight")).alias("target"))
+    free = by.where(F.col("cap") >= level * F.col("weight")).agg(F.min(F.struct((F.col("cap") / F.col("weight")).alias("at"), level.alias("level")))["level"]).first()[0]
+    return by.select("source", F.col("source_size").cast("long").alias("source_size"), "units", F.least("cap", F.lit(free).cast("double") * F.col("weight")).alias("target"))
 
 
 def pivot(mass: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -91,7 +105,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     All draws are hashes of the row and `seed`, so reruns agree.  Rows equal in
     doc_id, source and text are one unit with `rows` rows, each taken `copies`
     times.  A null text is empty (size 0); documents of size 0 take part with
-    their own draw.  A null source is a source, the last one.  An empty table
+    their own draw.  A very long text is counted whole; units that tie in size
+    follow their hash.  A null source is a source, the last one.  An empty table
     gives no rows.  Columns beside doc_id, source and text are not looked at.
     """
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("print"), n_words(F.col("text")).alias("size"))
