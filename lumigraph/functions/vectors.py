@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,3 +51,14 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Unit rows (length plus EPSILON) of an Arrow list column whose lists all have `dim` elements."""
     x = column.cast(pa.large_list(pa.float64())).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     return x / (np.sqrt((x * x).sum(1, keepdims=True)) + EPSILON)
+
+
+def float_blob(blob: Column, order: str = "little") -> Column:
+    """Bytes of 32-bit floats as an array; null unless they are a whole number of floats."""
+
+    @F.pandas_udf("array<float>")
+    def read(blobs: pd.Series) -> pd.Series:
+        kind = "<f4" if order == "little" else ">f4"
+        return blobs.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, kind).astype(np.float32))
+
+    return read(blob)

@@ -10,17 +10,28 @@ from pyspark.sql import functions as F
 from lumigraph.operators.similarity import number
 
 
+def one_each(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, lg_new): a row for each key, that of the greatest `columns`; null is a key like others."""
+    value = F.struct(F.lit(1).alias("lg_any"), *columns)
+    return rows.groupBy(*keys).agg(F.max(value).alias("lg_new"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], id_col: str | None = None) -> DataFrame:
     """`old` with the rows of `new` put in: a row of `new` replaces that of its key, other rows stay.
 
     With `id_col`, which `new` lacks, a replaced row keeps its id and a new key
     has the next ones, in order of keys.  A null in `new` is written as such.
+    Of rows of `new` with one key the greatest, by its other columns in their
+    order, is put in.  A null in a key is a value like others, so that doing
+    the same again changes nothing.
     """
     columns = [c for c in old.columns if c not in keys and c != id_col]
-    fresh = new.select(*keys, F.struct(*columns).alias("lg_new")) if columns else new.select(*keys, F.struct(F.lit(1)).alias("lg_new"))
-    both = old.join(fresh, list(keys), "full_outer")
+    fresh = one_each(new, keys, columns).withColumnsRenamed({k: f"lg_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"lg_{k}")) for k in keys]
+    both = old.withColumn("lg_old", F.lit(True)).join(fresh, same, "full_outer")
+    name = [F.when(F.col("lg_old"), F.col(k)).otherwise(F.col(f"lg_{k}")).alias(k) for k in keys]
     pick = [F.when(F.col("lg_new").isNotNull(), F.col(f"lg_new.{c}")).otherwise(F.col(c)).alias(c) for c in columns]
-    out = both.select(*keys, *pick, *([id_col] if id_col else []))
+    out = both.select(*name, *pick, *([id_col] if id_col else []))
     if id_col:
         top = old.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
         known = out.where(F.col(id_col).isNotNull())
@@ -36,10 +47,13 @@ def replace_of(old: DataFrame, new: DataFrame, key: str, touched: DataFrame) ->
 
 
 def assign(old: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
-    """`old` with `column` set where `values` (key, column) has the key; keys that `old` lacks change nothing."""
-    new = values.select(F.col(key).alias("lg_key"), F.col(column).alias("lg_value"), F.lit(True).alias("lg_set"))
+    """`old` with `column` set where `values` (key, column) has the key; keys that `old` lacks, and null keys, change nothing.
+
+    Of several values of a key the greatest is set.
+    """
+    new = one_each(values, [key], [column]).withColumnRenamed(key, "lg_key")
     out = old.join(new, F.col(key) == F.col("lg_key"), "left")
-    return out.withColumn(column, F.when(F.col("lg_set"), F.col("lg_value")).otherwise(F.col(column))).select(*old.columns)
+    return out.withColumn(column, F.when(F.col("lg_new").isNotNull(), F.col(f"lg_new.{column}")).otherwise(F.col(column))).select(*old.columns)
 
 
 def get_or_create(persons: DataFrame, names: DataFrame) -> DataFrame:

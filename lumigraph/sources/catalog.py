@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from lumigraph.sources.files import exists
-
 SCHEMAS = {
     "photos": "id long, file_path string, size long, created_at string, checksum string, phash string, exif_datetime string, latitude double, longitude double",
     "embeddings": "id long, photo_id long, dim int, vector array<float>",
@@ -19,28 +15,58 @@ SCHEMAS = {
 }
 
 
+#: Versions of a table that are kept, so that plans made before a write can still run.
+KEPT = 3
+#: Marks a version as whole; Spark's readers pass over names that begin so.
+DONE = "_complete"
+
+
 class Catalog:
-    """Reads and replaces whole tables; `init` may be called again and again."""
+    """Reads and replaces whole tables; `init` may be called again and again.
+
+    A table is a folder of numbered versions.  A write makes a new one and marks
+    it when it is whole; readers take the last that is marked.  A writer that
+    dies leaves the table as it was, and of two writers at once one fails.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _versions(self, name: str) -> list[tuple[int, bool]]:
+        """(number, whether it is whole) of each version, ascending."""
+        fs, at = self._fs(f"{self.root}/{name}")
+        if not fs.exists(at):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(at)]
+        return sorted((int(x[1:]), fs.exists(self._fs(f"{self.root}/{name}/{x}/{DONE}")[1])) for x in names if x[:1] == "v" and x[1:].isdigit())
+
+    def path(self, name: str) -> str | None:
+        """The folder of the table's last whole version."""
+        whole = [n for n, done in self._versions(name) if done]
+        return f"{self.root}/{name}/v{whole[-1]}" if whole else None
+
     def init(self) -> None:
         for name, schema in SCHEMAS.items():
-            if not exists(self.spark, f"{self.root}/{name}"):
+            if not self.path(name):
                 self.write(name, self.spark.createDataFrame([], schema))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+        at = self.path(name)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(at) if at else self.spark.createDataFrame([], SCHEMAS[name])
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Replace a table by `df`, which may read it: a new folder is written, then takes the old one's name."""
-        fresh = f"{self.root}/.{name}-{uuid.uuid4().hex}"
+        """Replace a table by `df`, which may read it."""
+        versions = self._versions(name)
+        fresh = f"{self.root}/{name}/v{versions[-1][0] + 1 if versions else 0}"
         columns = [x.split()[0] for x in SCHEMAS[name].split(", ")]
         df.select(*columns).write.parquet(fresh)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(fresh).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path(f"{self.root}/{name}"), True)
-        if not fs.rename(path(fresh), path(f"{self.root}/{name}")):
-            raise OSError(f"can't put {fresh} in place")
-        self.spark.catalog.refreshByPath(f"{self.root}/{name}")
+        fs, done = self._fs(f"{fresh}/{DONE}")
+        fs.create(done, True).close()
+        whole = [n for n, done in versions if done]
+        for n, _ in versions:
+            if len(whole) >= KEPT and n < whole[1 - KEPT]:  # the new one and KEPT - 1 before it stay
+                fs.delete(self._fs(f"{self.root}/{name}/v{n}")[1], True)

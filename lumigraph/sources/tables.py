@@ -5,13 +5,16 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import time
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 #: Folders of local applications that have no setting.
 _own: dict[str, str] = {}
+_known: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,20 +39,57 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # at exit the JVM may be gone already
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which goes when the driver's Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/lumigraph/{spark.sparkContext.applicationId}"
+    if path not in _known:
+        _known.add(path)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new name below this application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what this application has stashed so far; tables that are not yet written out can't be read any more."""
+    _delete(spark, _own_dir(spark))
+
+
+def sweep(spark: SparkSession, days: float = 7.0) -> int:
+    """Remove what applications that crashed have left, if nothing was added for so many days: how many folders."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/lumigraph")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in fs.listStatus(root) if x.getModificationTime() < (time.time() - 86400 * days) * 1000] if fs.exists(root) else []
+    old = [x for x in old if x.getName() != spark.sparkContext.applicationId]
+    for x in old:
+        fs.delete(x, True)
+    return len(old)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and return it reread.
 
     Cuts the lineage: a lost executor costs the tasks it ran, never what was
     written.  The files go when the driver's Python ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lumigraph/{uuid.uuid4().hex}"
+    path = work_dir(df.sparkSession)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stash_each(spark: SparkSession, frames: Iterable[DataFrame], schema: str) -> DataFrame:
+    """All of `frames`, one after another, written to one folder and reread; no rows without frames."""
+    path = work_dir(spark)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for df in frames:
+        df.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lumigraph.functions.text import is_image
-from lumigraph.operators import merge
 from lumigraph.plans.engine import Engine
-from lumigraph.sources.files import LISTING, changed, described
+from lumigraph.sources.files import LISTING
 
 
 def arriving(spark: SparkSession, root: str) -> DataFrame:
@@ -18,12 +17,12 @@ def arriving(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ingest(engine: Engine, root: str, checkpoint: str) -> StreamingQuery:
-    """Upsert what arrives; what has a known path and size changes nothing, so that a repeated batch does no harm."""
+    """Index what arrives, as a scan does: hashes and EXIF data included.
+
+    What has a known path and size is skipped, so that a repeated batch does no harm.
+    """
 
     def put(batch: DataFrame, _: int) -> None:
-        known = engine.tables.read("photos")
-        new = changed(described(batch), known).drop("content")
-        empty = {"phash": F.lit(""), "exif_datetime": F.lit(""), "latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")}
-        engine.tables.write("photos", merge.upsert(known, new.withColumns(empty), ["file_path"], "id"))
+        engine.index(batch)
 
     return arriving(engine.spark, root).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

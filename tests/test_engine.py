@@ -1,14 +1,19 @@
 """The commands over folders of pictures made here."""
 
+import hashlib
 import os
 import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumigraph.functions import exif, pixels
+from lumigraph.plans import engine as plans
 from lumigraph.plans.engine import Engine
-from lumigraph.plans.models import HashDetector, HashEmbedder
+from lumigraph.plans.models import HashDetector, HashEmbedder, Lazy
+from lumigraph.sources import files
+from lumigraph.sources.catalog import Catalog
 from lumigraph.streaming.ingest import ingest
 
 
@@ -82,12 +87,131 @@ def test_whole_library(spark, folder, tmp_path):
     assert {r.person for r in engine.faces_list().collect()} == {"Unknown"}
 
 
-def test_stream(spark, folder, tmp_path):
+def opened(monkeypatch):
+    """Paths that are opened from now on."""
+    paths = []
+    for name in ("contents", "images"):
+        plain = getattr(plans, name)
+        monkeypatch.setattr(plans, name, lambda spark, some, plain=plain: paths.extend(some) or plain(spark, some))
+    return paths
+
+
+def test_scan_opens_changed_files_only(spark, folder, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path / "lib"))
+    engine.scan(str(folder))
+    paths = opened(monkeypatch)
+    (folder / "sub" / "new[1] {a}*+%41é.png").write_bytes(pixels.png(picture(7)))
+    (folder / "A.PNG").write_bytes(pixels.png(picture(1, 50)))
+    assert engine.scan(str(folder)) == (2, 4)
+    assert {os.path.basename(p) for p in paths} == {"A.PNG", "new[1] {a}*+%41é.png"} and not any("sub/A.PNG" in p for p in paths)
+    new = engine.tables.read("photos").where("file_path LIKE '%new%'").first()
+    assert len(new.phash) == 16 and new.checksum == hashlib.sha1((folder / "sub" / "new[1] {a}*+%41é.png").read_bytes()).hexdigest()
+    paths.clear()
+    assert engine.scan(str(folder)) == (0, 6) and not paths
+
+
+def test_small_batches_and_lost_files(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "BATCH", 2)
     engine = Engine(spark, str(tmp_path / "lib"))
+    assert engine.scan(str(folder)) == (5, 0)
+    (folder / "sub" / "b.png").unlink()
+    paths = opened(monkeypatch)
+    assert engine.analyze(HashEmbedder(), tag_k=1, limit=1) == 1 and len(paths) == 1
+    assert engine.analyze(HashEmbedder(), tag_k=1) == 3
+    assert engine.faces_detect(HashDetector()) == 4
+
+
+def test_stream(spark, folder, tmp_path):
+    """What arrives has hashes, dates and positions, as after a scan, and a scan has nothing to add."""
+    (folder / "dated.jpg").write_bytes(b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff("<")) + 8) + b"Exif\0\0" + tiff("<") + b"\xff\xd9")
+    engine, other = Engine(spark, str(tmp_path / "lib")), Engine(spark, str(tmp_path / "other"))
+    other.scan(str(folder))
     for _ in range(2):
         query = ingest(engine, str(folder), str(tmp_path / "state"))
         query.awaitTermination(120)
-        assert engine.tables.read("photos").count() == 5
+        assert engine.tables.read("photos").count() == 6
+    facts = lambda e: sorted(map(str, e.tables.read("photos").drop("id").collect()))
+    assert facts(engine) == facts(other) and any("2020:01:02" in x for x in facts(engine))
+    assert engine.scan(str(folder)) == (0, 6)
+
+
+def test_plugged_decoder(spark, folder, tmp_path):
+    class Grey:
+        """Decodes what begins like a TIFF file: a ramp of grey."""
+
+        def pixels(self, content):
+            return np.full((16, 16, 3), content[4]) * np.linspace(0, 1, 16)[:, None, None] if content[:4] == b"II*\0" else None
+
+    engine = Engine(spark, str(tmp_path / "lib"), Grey())
+    engine.scan(str(folder))
+    hashes = {os.path.basename(r.file_path): r.phash for r in engine.tables.read("photos").collect()}
+    assert len(hashes["raw.Nef"]) == 16 and hashes["bad.png"] == ""
+
+
+def make_embedder(dim):
+    with open(os.environ["LUMIGRAPH_TEST_LOG"], "a") as log:
+        log.write(f"{os.getpid()}\n")
+    return HashEmbedder(dim)
+
+
+def test_lazy_model(spark, folder, tmp_path, monkeypatch):
+    """Made by the process that uses it, once."""
+    import pickle
+
+    monkeypatch.setenv("LUMIGRAPH_TEST_LOG", str(tmp_path / "log"))
+    model = Lazy(make_embedder, 24, dim=24)
+    again = pickle.loads(pickle.dumps(model))
+    assert again.dim == 24 and not os.path.exists(tmp_path / "log")
+    assert again.texts(["a"]).shape == model.images([b"x"]).shape == (1, 24)
+    assert open(tmp_path / "log").read().count("\n") == 1
+    engine = Engine(spark, str(tmp_path / "lib"))
+    engine.scan(str(folder))
+    assert engine.analyze(Lazy(HashEmbedder, 24, dim=24), tag_k=2) == 5
+
+
+def test_import_vectors(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lib"))
+    blob = lambda *x: np.array(x, "<f4").tobytes()
+    rows = [(1, 2, blob(1, 2)), (2, 3, blob(1, 2)), (3, 2, None), (4, 1, b"xyz")]
+    assert engine.import_vectors(spark.createDataFrame(rows, "photo_id long, dim int, vector binary")) == 1
+    assert engine.import_vectors(spark.createDataFrame(rows, "photo_id long, dim int, vector binary")) == 1
+    assert [(r.id, r.photo_id, list(r.vector)) for r in engine.tables.read("embeddings").orderBy("id").collect()] == [(1, 1, [1.0, 2.0]), (2, 1, [1.0, 2.0])]
+
+
+def test_write_that_dies(spark, tmp_path, monkeypatch):
+    """The table stays as it was, whether the new version is cut off or only not marked."""
+    tables = Catalog(spark, str(tmp_path / "lib"))
+    tables.init()
+    row = lambda i: spark.createDataFrame([(i, f"p{i}")], "id long, name string")
+    tables.write("persons", row(1))
+    with pytest.raises(Exception, match="(?i)boom|arithmetic|divide|cast"):
+        tables.write("persons", row(2).select(F.expr("CAST(concat('boom', name) AS INT)").alias("id"), "name"))
+    assert [r.id for r in tables.read("persons").collect()] == [1]
+    os.makedirs(tmp_path / "lib" / "persons" / "v99")  # a writer that died before its mark
+    assert [r.id for r in tables.read("persons").collect()] == [1]
+    for i in range(3, 8):
+        before = tables.read("persons")
+        tables.write("persons", row(i).unionByName(before).distinct())
+        assert before.count() == i - 2
+    assert sorted(r.id for r in tables.read("persons").collect()) == [1, 3, 4, 5, 6, 7]
+    assert len([x for x in os.listdir(tmp_path / "lib" / "persons") if os.path.exists(tmp_path / "lib" / "persons" / x / "_complete")]) == 3
+
+
+def test_export_in_pages(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(plans, "PAGE_ROWS", 2)
+    engine = Engine(spark, str(tmp_path / "lib"))
+    for i in range(4):
+        (folder / f"p{i}.png").write_bytes(pixels.png(picture(i, 20)))
+    engine.scan(str(folder))
+    engine.faces_detect(HashDetector())
+    engine.export(str(tmp_path / "out"))
+    names = ["index.html", *[f"page-{k}.html" for k in range(2, 6)]]
+    texts = [open(tmp_path / "out" / n).read() for n in names]
+    assert sorted(x for x in os.listdir(tmp_path / "out") if x.endswith(".html")) == sorted(names)
+    assert all('"photo_id"' in t for t in texts)
+    thumbs = sum(t.count('"thumb": "thumbs/') for t in texts)
+    assert thumbs >= 7 and "page-2.html" in texts[0] and "index.html" in texts[1]
+    assert len(os.listdir(tmp_path / "out" / "thumbs")) == 7
 
 
 def tiff(order, lat_ref=b"S", dens=(1, 1, 1)):
