@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumigraph.functions.vectors import EPSILON, matrix
-from lumigraph.operators.blocks import block_pairs
+from lumigraph.functions.vectors import EPSILON, dot, matrix, norm
 from lumigraph.operators.components import connected_components
 from lumigraph.sources.tables import stash
 
-#: A vector matrix of so many bytes at most is broadcast; a larger one is joined block by block.
-BROADCAST_BYTES = 32 << 20
+#: A vector matrix of so many bytes at most is broadcast; a larger one is dealt into lists.  Scores that a task holds at once.
+BROADCAST_BYTES, MOST_SCORES = 32 << 20, 1 << 22
+#: Rows of a list, about, and of a chunk of one, at most; lists, at most; rows that their centres are fitted on, for each list, and rounds of it.
+LIST, CHUNK, LISTS, FIT, ROUNDS = 1_024, 4_096, 4_096, 16, 5
 
 
 def usable(vectors: DataFrame, id_col: str, vector: str, dim: int | None = None) -> DataFrame:
@@ -38,22 +39,14 @@ def latest(vectors: DataFrame, key: str, order: str) -> DataFrame:
 def search(vectors: DataFrame, query: Sequence[float], k: int = 20, id_col: str = "id", vector: str = "vector") -> DataFrame:
     """(id, score) of the k vectors of highest cosine with `query`, ties by id.
 
-    Exhaustive: one pass over the vectors, a matrix product for each Arrow
-    batch, which keeps its own best k; the best of these are taken at the end.
+    Exhaustive: one pass over the vectors in the JVM, of which each task keeps
+    its own best k; the best of these are taken at the end.
     """
     q = np.asarray(query, float)
     q = q / (np.sqrt((q * q).sum()) + EPSILON)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ids = batch.column(0).to_numpy()
-                score = matrix(batch.column(1), len(q)) @ q
-                top = np.lexsort((ids, -score))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[top]), pa.array(score[top])], ["id", "score"])
-
     rows = usable(vectors, id_col, vector, len(q))
-    return rows.mapInArrow(best, "id long, score double").orderBy(F.desc("score"), "id").limit(k)
+    score = dot(F.col("vec"), F.lit(q.tolist())) / (norm(F.col("vec")) + EPSILON)
+    return rows.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def _top(ids: np.ndarray, others: np.ndarray, s: np.ndarray, k: int) -> pd.DataFrame:
@@ -76,40 +69,132 @@ def knn_join(vectors: DataFrame, k: int = 9, id_col: str = "id", vector: str = "
     """(id, near, score): for each vector its k nearest others by cosine, ties by id.
 
     The vector itself is left out by its id.  A matrix of BROADCAST_BYTES at
-    most is broadcast and met once by each batch; a larger one is joined in
-    pairs of blocks, of which each returns its own best k.
+    most is broadcast and met once by each batch; a larger one is dealt into
+    lists (`listed_knn`).  Either way no task holds more than MOST_SCORES scores.
     """
     rows = usable(vectors, id_col, vector)
     n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
-    if n * dim * 8 <= BROADCAST_BYTES:
-        whole = rows.toArrow()
-        ids = whole["id"].to_numpy()
-        kept = rows.sparkSession.sparkContext.broadcast((ids, matrix(whole["vec"].combine_chunks(), dim) if n else np.zeros((0, 1))))
-
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, y = kept.value
-            for pdf in batches:
-                for i in range(0, len(pdf), 1024):
-                    part = pdf.iloc[i : i + 1024]
-                    x = np.stack(part["vec"].to_numpy()).astype(float)
-                    x /= np.sqrt((x * x).sum(1, keepdims=True)) + EPSILON
-                    yield _top(part["id"].to_numpy(), ids, x @ y.T, k)
-
-        spread = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, n // 256))
-        return rows.repartition(spread, "id").mapInPandas(near, EDGE)
-
-    def both(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["vec"].to_numpy()).astype(float)
-        x /= np.sqrt((x * x).sum(1, keepdims=True)) + EPSILON
-        ids, first = pdf["id"].to_numpy(), (pdf["mine"] == pdf["bi"]).to_numpy()
-        if pdf["bi"].iat[0] == pdf["bj"].iat[0]:
-            return _top(ids, ids, x @ x.T, k)
-        s = x[first] @ x[~first].T
-        return pd.concat([_top(ids[first], ids[~first], s, k), _top(ids[~first], ids[first], s.T, k)])
-
-    each = block_pairs(rows, "id", n).groupBy("bi", "bj").applyInPandas(both, EDGE)
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "near")
-    return each.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    if n * dim * 8 > BROADCAST_BYTES:
+        return listed_knn(rows, n, dim, k)
+    whole = rows.toArrow()
+    ids = whole["id"].to_numpy()
+    kept = rows.sparkSession.sparkContext.broadcast((ids, matrix(whole["vec"].combine_chunks(), dim) if n else np.zeros((0, 1))))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, y = kept.value
+        step = max(1, min(1024, MOST_SCORES // len(ids)))
+        for pdf in batches:
+            for i in range(0, len(pdf), step):
+                part = pdf.iloc[i : i + step]
+                x = np.stack(part["vec"].to_numpy()).astype(float)
+                x /= np.sqrt((x * x).sum(1, keepdims=True)) + EPSILON
+                yield _top(part["id"].to_numpy(), ids, x @ y.T, k)
+
+    spread = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, n // 256))
+    return rows.repartition(spread, "id").mapInPandas(near, EDGE)
+
+
+def centres(x: np.ndarray, k: int) -> np.ndarray:
+    """Centres of k groups of the rows, by a few rounds of k-means."""
+    rng = np.random.default_rng(3)
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(ROUNDS):
+        near = nearest_of(x, c)
+        n = np.bincount(near, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        c[n > 0] = total[n > 0] / n[n > 0][:, None]
+    return c
+
+
+def nearest_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    half, step = (c * c).sum(1) / 2, max(1, MOST_SCORES // len(c))
+    return np.concatenate([np.argmax(x[i : i + step] @ c.T - half, 1) for i in range(0, len(x), step)])
+
+
+def _met(asking: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """EDGE rows: for each of `asking` (id, list, vec) its k nearest among each chunk of the members of that list."""
+    chunk = lambda df: F.ceil(F.count("*") / CHUNK).cast("int")
+    sizes = asking.groupBy("list").agg(chunk(asking).alias("is")).join(members.groupBy("list").agg(chunk(members).alias("js")), "list")
+    part, every = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = asking.join(sizes, "list").select("list", part("is").alias("i"), every("js").alias("j"), "id", "vec", F.lit(True).alias("asks"))
+    two = members.join(sizes, "list").select("list", every("is").alias("i"), part("js").alias("j"), "id", "vec", F.lit(False).alias("asks"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy()
+        if asks.all() or not asks.any():
+            return pd.DataFrame({"id": [], "near": [], "score": []})
+        ids, x = pdf["id"].to_numpy(), np.frombuffer(b"".join(pdf["vec"])).reshape(len(pdf), -1)
+        step = max(1, MOST_SCORES // int((~asks).sum()))
+        at = np.flatnonzero(asks)
+        return pd.concat([_top(ids[at[i : i + step]], ids[~asks], x[at[i : i + step]] @ x[~asks].T, k) for i in range(0, len(at), step)])
+
+    return one.unionByName(two).groupBy("list", "i", "j").applyInPandas(meet, EDGE)
+
+
+def _best(edges: DataFrame, k: int) -> DataFrame:
+    first = Window.partitionBy("id").orderBy(F.desc("score"), "near")
+    return edges.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r")
+
+
+def listed_knn(rows: DataFrame, n: int, dim: int, k: int) -> DataFrame:
+    """kNN without loss from lists around centres, each with a covering radius.
+
+    Each vector first meets those of its own list, which bounds how far its k
+    nearest can be.  It then visits those lists alone whose ball reaches within
+    that distance.  Vectors of length zero have cosine 0 with all: they are in
+    no list.
+    """
+    spark = rows.sparkSession
+    lists = max(1, min(LISTS, n // LIST))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT * lists).select("vec").toArrow()["vec"].combine_chunks()
+    x = matrix(sample, dim)
+    x = x[np.abs(x).sum(1) > 0]
+    kept = spark.sparkContext.broadcast(centres(x, lists) if len(x) else np.zeros((1, dim)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(1), dim)
+                at = nearest_of(x, kept.value)
+                away = np.sqrt(((x - kept.value[at]) ** 2).sum(1))
+                at = np.where(np.abs(x).sum(1) > 0, at, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32)), pa.array(away), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "list", "away", "vec"])
+
+    placed = stash(rows.mapInArrow(place, "id long, list int, away double, vec binary"))
+    members = placed.where("list >= 0")
+    radius = np.full(len(kept.value), -np.inf)
+    for r in members.groupBy("list").agg(F.max("away").alias("r")).collect():  # LISTS at most
+        radius[r["list"]] = r["r"]
+    radii = spark.sparkContext.broadcast(radius)
+    own = stash(_best(_met(members, members, k), k))
+    least = own.groupBy("id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, r = kept.value, radii.value
+        for whole in batches:
+            step = max(1, MOST_SCORES // len(c))
+            for i in range(0, len(whole), step):
+                pdf = whole.iloc[i : i + step]
+                x = np.frombuffer(b"".join(pdf["vec"])).reshape(len(pdf), -1)
+                far = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T, 0))
+                reach = np.sqrt(np.maximum(2 - 2 * pdf["least"].fillna(-1.0).to_numpy(), 0))  # a cosine is -1 at least
+                near = far - r <= reach[:, None] + 1e-6
+                near[np.arange(len(pdf)), pdf["list"].to_numpy()] = False
+                row, at = np.nonzero(near)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "list": at.astype(np.int32), "vec": pdf["vec"].to_numpy()[row]})
+
+    asking = stash(members.join(least, "id", "left").select("id", "list", "vec", "least").mapInPandas(visits, "id long, list int, vec binary"))
+    edges = own.unionByName(_met(asking, members, k))
+    # Of all vectors, and of those of length zero, the smallest ids: k + 1 are enough.
+    first = lambda df: [r["id"] for r in df.orderBy("id").limit(k + 1).select("id").collect()]
+    zero = placed.where("list < 0")
+    nulls, smallest = first(zero), first(placed)
+    if nulls:
+        to = lambda ids: F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("near")
+        low = members.join(least, "id", "left").where("least IS NULL OR least <= 0").select("id", to(nulls), F.lit(0.0).alias("score"))
+        edges = edges.unionByName(low).unionByName(zero.select("id", to(smallest), F.lit(0.0).alias("score")).where("id <> near"))
+    return _best(edges, k)
 
 
 def threshold_clusters(vectors: DataFrame, threshold: float, k: int = 9, id_col: str = "id", vector: str = "vector") -> DataFrame:

@@ -7,15 +7,23 @@ its label names a person or a tag, nations are persons.
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumigraph.functions.exif import SCHEMA as EXIF
+from lumigraph.functions.exif import exif_rows
+from lumigraph.functions.pixels import crop, hash_rows, thumbnail
 from lumigraph.functions.text import basename, decimal_degrees, exif_timestamp, is_image, iso_seconds, score_text
-from lumigraph.functions.vectors import cosine, norm, sign_code
+from lumigraph.functions.vectors import cosine, float_blob, l2_normalize, norm, sign_code
 from lumigraph.operators import duplicates, merge, people, similarity, tagging
+from lumigraph.sources.catalog import Catalog
 from lumigraph.sources.files import changed
-from lumigraph.sources.tables import table
+from lumigraph.sources.tables import table, work_dir
 
 COSINE, BITS, NEAR = 0.40, 18, 9
 
@@ -158,7 +166,7 @@ def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.greedy_groups(duplicates.hamming_pairs(codes(spark, d), BITS))
+    return duplicates.duplicate_groups(codes(spark, d), BITS)
 
 
 def knn_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -260,6 +268,131 @@ def gallery_items_json(spark: SparkSession, d: str) -> DataFrame:
     return photo_tags_concat(spark, d).select("id", F.to_json(item, {"ignoreNullFields": "false"}).alias("item"))
 
 
+def normalized_vectors(spark: SparkSession, d: str) -> DataFrame:
+    unit = l2_normalize(F.col("vector"))
+    return vectors(spark, d).select("id", F.posexplode(unit).alias("i", "x")).select("id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+def append_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """New rows after the old ones, also for photos that have a vector already."""
+    v = vectors(spark, d).select("id", F.col("id").alias("photo_id"))
+    new = v.where("id % 4 = 0").select("photo_id")
+    top = v.agg(F.max("id")).first()[0]
+    return v.unionByName(similarity.number(new, ["photo_id"], top + 1).select(F.col("number").alias("id"), "photo_id"))
+
+
+def rename_person(spark: SparkSession, d: str) -> DataFrame:
+    return merge.rename(persons(spark, d), 4, "Renamed")
+
+
+def upsert_thumbs(spark: SparkSession, d: str) -> DataFrame:
+    old = thumbs(spark, d).withColumn("id", (F.col("face_id") / 3 + 1).cast("long"))
+    new = vectors(spark, d).where("id % 2 = 0").select(F.col("id").alias("face_id"), F.format_string("faces/new_%d.png", F.col("id")).alias("thumb_path"))
+    return merge.upsert(old, new, ["face_id"], "id")
+
+
+def dim_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that have as many elements as their row says."""
+    v = vectors(spark, d).withColumn("vector", F.expr("slice(vector, 1, 64 - CAST(id % 3 AS INT))")).withColumn("dim", F.lit(64))
+    return v.where("size(vector) = dim").select("id")
+
+
+def nonempty_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d).withColumn("vector", F.expr("slice(vector, 1, CAST(id % 4 AS INT))"))
+    return v.where("size(vector) > 0").select("id", F.size("vector").alias("n"))
+
+
+def nonempty_codes(spark: SparkSession, d: str) -> DataFrame:
+    some = codes(spark, d).withColumn("phash", F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, F.col("phash")))
+    return duplicates.coded(some)
+
+
+def scan_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What a scan, a detection and a clustering report: files indexed and skipped, faces, persons, clusters."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    files = changed(photos(spark, d).drop("id"), _stored(spark, d))
+    out = count(photos(spark, d), "seen").join(count(files, "indexed")).join(count(faces(spark, d), "faces"))
+    out = out.join(faces(spark, d).agg(F.countDistinct("person_id").alias("persons")))
+    return out.select("indexed", (F.col("seen") - F.col("indexed")).alias("skipped"), "faces", "persons")
+
+
+def embeddings_scan(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("photo_id"), F.size("embedding").alias("dim"), F.round(F.element_at("embedding", -1).cast("double"), 6).alias("last"))
+
+
+def vector_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that went through their bytes: four for each element, the first one's sign and exponent last."""
+    pack = lambda pdf: pdf.assign(blob=[x.astype("<f4").tobytes() for x in pdf["vector"]])[["id", "blob"]]
+    blobs = vectors(spark, d).select("id", "vector").mapInPandas(lambda it: map(pack, it), "id long, blob binary")
+    back = blobs.select("id", F.length("blob").alias("bytes"), float_blob(F.col("blob")).alias("v"))
+    return back.select("id", "bytes", F.posexplode("v").alias("i", "x")).select("id", "bytes", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+def pixel_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Perceptual hashes of images of 8 by 8 grey pixels: a vector's elements, in 256 steps."""
+    grey = F.transform("vector", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("int"))
+    three = F.flatten(F.transform(grey, lambda x: F.array(x, x, x)))
+
+    def image(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"file_path": pdf["id"].astype(str), "height": 8, "width": 8, "nChannels": 3, "data": [np.array(x, np.uint8).tobytes() for x in pdf["grey"]]})
+
+    pixels = vectors(spark, d).select("id", three.alias("grey")).mapInPandas(image, "file_path string, height int, width int, nChannels int, data binary")
+    return pixels.mapInPandas(hash_rows, "file_path string, phash string").select(F.col("file_path").cast("long").alias("id"), "phash")
+
+
+def knn_edges_listed(spark: SparkSession, d: str) -> DataFrame:
+    """The same neighbours by lists and covering radii, as for tables too large to broadcast."""
+    rows = similarity.usable(vectors(spark, d), "id", "vector")
+    found = similarity.listed_knn(rows, rows.count(), 64, NEAR)
+    return found.where(F.col("score") >= COSINE).select("id", "near", F.round("score", 6).alias("score"))
+
+
+def catalog_persons(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog made, a table replaced twice, the second time by what it reads, and read back."""
+    tables = Catalog(spark, f"{work_dir(spark)}/catalog")
+    tables.init()
+    tables.write("persons", persons(spark, d))
+    tables.write("persons", tables.read("persons").where("id % 2 = 0"))
+    return tables.read("persons")
+
+
+def _tiff(key: int) -> bytes:
+    """EXIF data of a picture: a date, and a latitude of degrees, minutes and hundredths of seconds."""
+    entry = lambda tag, kind, n, value: struct.pack("<HHI", tag, kind, n) + value.ljust(4, b"\0")
+    at = lambda x: struct.pack("<I", x)
+    main = struct.pack("<H", 2) + entry(0x8769, 4, 1, at(38)) + entry(0x8825, 4, 1, at(56)) + at(0)
+    date = struct.pack("<H", 1) + entry(0x9003, 2, 20, at(100)) + at(0)
+    gps = struct.pack("<H", 2) + entry(1, 2, 2, b"NS"[key % 2 : key % 2 + 1] + b"\0") + entry(2, 5, 3, at(120)) + at(0)
+    body = ((b"II*\0" + at(8) + main).ljust(38, b"\0") + date).ljust(56, b"\0") + gps
+    text = f"20{key % 30:02}:{key % 12 + 1:02}:{key % 28 + 1:02} 10:20:{key % 60:02}\0".encode()
+    return (body.ljust(100, b"\0") + text).ljust(120, b"\0") + struct.pack("<6I", key % 90, 1, key % 60, 1, key % 6000, 100)
+
+
+def exif_fields(spark: SparkSession, d: str) -> DataFrame:
+    def made(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf.assign(content=[_tiff(int(k)) for k in pdf["c_custkey"]])
+
+    files = table(spark, d, "customer").select("c_custkey").mapInPandas(made, "c_custkey long, content binary")
+    read = files.mapInPandas(exif_rows, f"c_custkey long, {EXIF}")
+    part = lambda i: F.get("lat", F.lit(i))
+    return read.select("c_custkey", "exif_datetime", F.round(decimal_degrees(part(0), part(1), part(2), F.col("lat_ref")), 6).alias("latitude"))
+
+
+def thumbnail_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Height and width of thumbnails of 32 pixels at most, and of square crops, of pictures of many sizes."""
+
+    def sizes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            small = [thumbnail(np.zeros((h, w, 3)), 32).shape for h, w in zip(pdf["h"], pdf["w"], strict=True)]
+            face = [crop(np.zeros((h, w, 3)), w - 5, -3, 20, 9).shape for h, w in zip(pdf["h"], pdf["w"], strict=True)]
+            yield pd.DataFrame({"p_partkey": pdf["p_partkey"], "height": [x[0] for x in small], "width": [x[1] for x in small], "crop_height": [x[0] for x in face], "crop_width": [x[1] for x in face]})
+
+    sides = table(spark, d, "part").select("p_partkey", (F.col("p_size") + 5).cast("int").alias("h"), (F.col("p_partkey") % 97 + 5).cast("int").alias("w"))
+    return sides.mapInPandas(sizes, "p_partkey long, height int, width int, crop_height int, crop_width int")
+
+
 SQL = {
     "search_topk": f"""WITH v AS ({VECTORS}), p AS ({PHOTOS}), s AS (SELECT a.id, {SIM} AS score FROM v a, (SELECT v FROM v ORDER BY id LIMIT 1) b ORDER BY score DESC, a.id LIMIT 20)
         SELECT id, file_path, round(score, 6) AS score, printf('%.3f', score) AS shown FROM s JOIN p USING (id)""",
@@ -320,6 +453,36 @@ SQL = {
     "exif_datetime_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS taken FROM orders",
     "gallery_items_json": f"""WITH {TAGS}, p AS ({PHOTOS}), g AS (SELECT p.id, p.file_path, string_agg(tag, ', ' ORDER BY rank) AS tags FROM p LEFT JOIN tags ON tags.id = p.id GROUP BY p.id, p.file_path)
         SELECT id, to_json({{'photo_id': id, 'file_path': file_path, 'tags': tags}})::VARCHAR AS item FROM g""",
+    "knn_edges_listed": f"WITH {KNN} SELECT id, near, round(score, 6) AS score FROM k",
+    "catalog_persons": "SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0",
+    "exif_fields": """SELECT c_custkey, printf('20%02d:%02d:%02d 10:20:%02d', c_custkey % 30, c_custkey % 12 + 1, c_custkey % 28 + 1, c_custkey % 60) AS exif_datetime,
+        round((CASE WHEN c_custkey % 2 = 1 THEN -1 ELSE 1 END) * (c_custkey % 90 + (c_custkey % 60) / 60 + (c_custkey % 6000) / 100 / 3600), 6) AS latitude FROM customer""",
+    "thumbnail_sizes": """WITH s AS (SELECT p_partkey, p_size + 5 AS h, p_partkey % 97 + 5 AS w FROM part), k AS (SELECT *, least(1.0::DOUBLE, 32.0::DOUBLE / greatest(h, w)) AS k FROM s)
+        SELECT p_partkey, greatest(1, round_even(h * k, 0))::INT AS height, greatest(1, round_even(w * k, 0))::INT AS width, least(h, 6)::INT AS crop_height, 5::INT AS crop_width FROM k""",
+    "normalized_vectors": f"""WITH v AS ({VECTORS}), n AS (SELECT id, v, sqrt(list_inner_product(v, v)) + 1e-9 AS n FROM v)
+        SELECT id, i - 1 AS i, round(v[i] / n, 6) AS x FROM n, range(1, 65) t(i)""",
+    "append_embeddings": """SELECT vec_id AS id, vec_id AS photo_id FROM embeddings
+        UNION ALL SELECT (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY vec_id), vec_id FROM embeddings WHERE vec_id % 4 = 0""",
+    "rename_person": "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey = 4 THEN 'Renamed' ELSE n_name END AS name FROM nation",
+    "upsert_thumbs": """WITH w AS (SELECT vec_id AS face_id, vec_id % 3 = 0 AS old, vec_id % 2 = 0 AS new FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 2 = 0), top AS (SELECT max(face_id) // 3 + 1 AS top FROM w WHERE old)
+        SELECT CASE WHEN old THEN face_id // 3 + 1 ELSE top + row_number() OVER (PARTITION BY old ORDER BY face_id) END AS id, face_id,
+               CASE WHEN new THEN 'faces/new_' || face_id || '.png' ELSE 'faces/face_' || face_id || '.jpg' END AS thumb_path FROM w, top""",
+    "dim_filter": "SELECT vec_id AS id FROM embeddings WHERE len(embedding[1:64 - vec_id % 3]) = 64",
+    "nonempty_vectors": "SELECT vec_id AS id, (vec_id % 4)::INT AS n FROM embeddings WHERE vec_id % 4 > 0",
+    "nonempty_codes": f"""WITH b AS (SELECT vec_id AS id, sum(CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (64 - i) ELSE 0 END) AS code FROM embeddings, range(1, 65) t(i) WHERE vec_id % 3 = 1 GROUP BY vec_id)
+        SELECT id, (CASE WHEN code >= 1::HUGEINT << 63 THEN code - (1::HUGEINT << 64) ELSE code END)::BIGINT AS code FROM b""",
+    "scan_counts": """SELECT (SELECT count(*) FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 = 0) AS indexed, (SELECT count(*) FROM documents WHERE NOT (doc_id % 4 = 0 OR doc_id % 5 = 0)) AS skipped,
+        (SELECT count(*) FROM embeddings) AS faces, (SELECT count(DISTINCT label) FROM embeddings WHERE label < 8) AS persons""",
+    "embeddings_scan": "SELECT vec_id AS photo_id, len(embedding)::INT AS dim, round(embedding[-1]::DOUBLE, 6) AS last FROM embeddings",
+    "vector_blobs": "SELECT vec_id AS id, (4 * len(embedding))::INT AS bytes, i - 1 AS i, round(embedding[i]::DOUBLE, 6) AS x FROM embeddings, range(1, 65) t(i)",
+    "pixel_hashes": """WITH p AS (SELECT vec_id AS id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, floor((embedding[i]::DOUBLE + 1) * 127.5) AS x FROM embeddings, range(1, 65) t(i)),
+        w AS (SELECT k, n // 4 AS b, sum(cos(pi() * k * (2 * n + 1) / 64)) AS w FROM range(0, 8) a(k), range(0, 32) b(n) GROUP BY k, n // 4),
+        half AS (SELECT id, k, c, sum(w * x) AS x FROM p JOIN w ON b = r GROUP BY id, k, c),
+        low AS (SELECT id, half.k * 8 + w.k AS j, sum(w * x) AS x FROM half JOIN w ON b = c GROUP BY id, half.k, w.k),
+        mid AS (SELECT id, median(x) AS m FROM low GROUP BY id),
+        bits AS (SELECT id, string_agg(CASE WHEN x > m THEN '1' ELSE '0' END, '' ORDER BY j) AS bits FROM low JOIN mid USING (id) GROUP BY id),
+        nib AS (SELECT id, i, bits[4 * i + 1:4 * i + 4] AS q FROM bits, range(0, 16) t(i))
+        SELECT id, string_agg(lower(to_hex((q[1]::INT * 8 + q[2]::INT * 4 + q[3]::INT * 2 + q[4]::INT)::INT)), '' ORDER BY i) AS phash FROM nib GROUP BY id""",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}

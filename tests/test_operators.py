@@ -1,5 +1,6 @@
 """Iterative and custom operators against plain versions."""
 
+import os
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from lumigraph.functions import vectors as V
 from lumigraph.operators import components, duplicates, merge, similarity, tagging
 from lumigraph.plans import queries
+from lumigraph.sources import tables
 
 
 def naive_components(edges):
@@ -82,9 +84,9 @@ def test_chain_does_not_group(spark):
 @pytest.mark.parametrize("most", [0, 32 << 20])
 def test_knn(spark, monkeypatch, most):
     monkeypatch.setattr(similarity, "BROADCAST_BYTES", most)
-    import lumigraph.operators.blocks as blocks
-
-    monkeypatch.setattr(blocks.block_pairs, "__defaults__", (16,))
+    monkeypatch.setattr(similarity, "LIST", 8)
+    monkeypatch.setattr(similarity, "CHUNK", 5)
+    monkeypatch.setattr(similarity, "MOST_SCORES", 200)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(50, 8))
     x[7] = x[3]
@@ -101,6 +103,55 @@ def test_knn(spark, monkeypatch, most):
     assert (round(-1.0, 5), 7) in got[3]
 
 
+def test_knn_visits_few_lists(spark, monkeypatch):
+    """Vectors in families: exact, with fewer comparisons than all pairs; several zero vectors are near none but tie by id."""
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(similarity, "LIST", 20)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(20, 6)), 20, 0) + rng.normal(size=(400, 6)) * 0.05
+    x[[5, 50, 130]] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    met = []
+    plain = similarity._met
+    monkeypatch.setattr(similarity, "_met", lambda asking, members, k: met.append(asking.count()) or plain(asking, members, k))
+    got = {}
+    for r in similarity.knn_join(df, 5).collect():
+        got.setdefault(r.id, []).append((-round(r.score, 9), r.near))
+    u = x / (np.linalg.norm(x, axis=1)[:, None] + 1e-9)
+    for i in range(400):
+        want = sorted((-round(float(u[i] @ u[j]), 9), j) for j in range(400) if j != i)[:5]
+        assert [w for w, _ in sorted(got[i])] == [w for w, _ in want]
+    assert sorted(j for _, j in got[50]) == [0, 1, 2, 3, 4]
+    assert met[1] < 400 * 5
+
+
+def test_greedy_groups_of_large_components(spark, monkeypatch):
+    rnd = random.Random(8)
+    for scan in (0, 40, 10_000):
+        monkeypatch.setattr(duplicates, "SCAN", scan)
+        edges = sorted({tuple(sorted(rnd.sample(range(90), 2))) for _ in range(130)} | {(200 + i, 201 + i) for i in range(12)} | {(300, i) for i in range(301, 330)})
+        leader = {}
+        for i in range(400):
+            if i not in leader:
+                for x, y in edges:
+                    if x == i:
+                        leader.setdefault(y, i)
+        want = sorted({(v, k) for k, v in leader.items()} | {(v, v) for v in leader.values()})
+        got = sorted(map(tuple, duplicates.greedy_groups(spark.createDataFrame(edges, "a long, b long")).collect()))
+        assert got == want
+
+
+def test_equal_codes_make_no_pairs(spark, monkeypatch):
+    """Groups of very many equal codes: their ids are never paired with each other."""
+    codes = [(i, "00000000000000ff") for i in range(3000)] + [(5000 + i, "00000000000000fe") for i in range(2000)] + [(1, "ffffffffffffffff"), (9000, "0f0f0f0f0f0f0f0f"), (9001, ""), (9002, None)]
+    df = spark.createDataFrame(codes[:3000][::-1] + codes[3000:], "id long, phash string").where("NOT (id = 1 AND phash LIKE '00%')")
+    seen = []
+    plain = duplicates.greedy_groups
+    monkeypatch.setattr(duplicates, "greedy_groups", lambda pairs: seen.append(pairs.count()) or plain(pairs))
+    got = sorted(map(tuple, duplicates.duplicate_groups(df, 2).collect()))
+    assert got == [(0, i) for i in [*range(1), *range(2, 3000), *range(5000, 7000)]] and seen == [1]
+
+
 def test_search_and_normalisation(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 0.0]), (4, [0.0, 0.0]), (5, [1.0])], "id long, vector array<float>")
     hits = [r.id for r in similarity.search(df, [1.0, 0.0], 3).collect()]  # the longer of two parallel vectors first: lengths are plus 1e-9
@@ -129,6 +180,34 @@ def test_upsert_keeps_ids_and_repeats(spark):
     assert merge.upsert(old.limit(0), new, ["path"], "id").count() == 3
 
 
+def test_upsert_of_repeated_and_null_keys(spark):
+    old = spark.createDataFrame([(1, "a", 1, "x"), (2, None, 2, "y")], "id long, path string, size long, note string")
+    new = spark.createDataFrame([("a", 3, "p"), ("a", 3, "q"), ("a", None, "z"), (None, 9, "n"), ("c", 1, None), ("c", 1, None)], "path string, size long, note string")
+    want = [(1, "a", 3, "q"), (2, None, 9, "n"), (3, "c", 1, None)]
+    once = merge.upsert(old, new, ["path"], "id")
+    assert sorted(map(tuple, once.collect())) == want
+    assert sorted(map(tuple, merge.upsert(once, new, ["path"], "id").collect())) == want
+    faces = spark.createDataFrame([(1, 5), (2, None), (None, 6)], "id long, person_id long")
+    values = spark.createDataFrame([(1, 7), (1, 8), (None, 9), (3, 1)], "id long, person_id long")
+    assert sorted(map(str, map(tuple, merge.assign(faces, values, "id", "person_id").collect()))) == ["(1, 8)", "(2, None)", "(None, 6)"]
+
+
+def test_float_blobs(spark):
+    rows = [(1, np.array([1.5, -2, 0], "<f4").tobytes()), (2, b""), (3, b"abc"), (4, None)]
+    got = {r.id: r.v for r in spark.createDataFrame(rows, "id long, b binary").select("id", V.float_blob(F.col("b")).alias("v")).collect()}
+    assert got == {1: [1.5, -2.0, 0.0], 2: [], 3: None, 4: None}
+
+
+def test_stash_and_sweep(spark):
+    kept = tables.stash(spark.range(3))
+    left = os.path.join(tables.shared_dir(spark), "lumigraph", "crashed")
+    os.makedirs(left)
+    os.utime(left, (0, 0))
+    assert tables.sweep(spark, 1) == 1 and not os.path.exists(left) and kept.count() == 3
+    assert tables.stash_each(spark, [], "x long").count() == 0
+    assert tables.stash_each(spark, (spark.range(n).select(F.col("id").alias("x")) for n in (2, 3)), "x long").count() == 5
+
+
 def test_persons(spark):
     persons = spark.createDataFrame([(1, "Ann"), (2, "Bo")], "id long, name string")
     names = spark.createDataFrame([("Bo",), ("Cy",), ("Cy",), (None,)], "name string")
