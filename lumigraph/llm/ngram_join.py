@@ -21,7 +21,7 @@ SHINGLE, RATIO = 5, 1.5
 #: Shingles and sets of a chunk: larger clusters are joined chunk by chunk.  Children of a tree's node.
 TASK_SHINGLES, TASK_SETS, FAN = 500_000, 400, 8
 #: Prints that a task remembers, to emit copies once; keys that it combines before the shuffle.
-SEEN, COMBINE = 200_000, 1_000_000
+SEEN, COMBINE = 200_000, 300_000
 #: Frequent shingles, as far as they are known: those of LEAST documents or more in a window of WINDOW shingles; the first HOT are broadcast (8 bytes each).
 WINDOW, LEAST, HOT = 2_000_000, 3, 200_000
 
@@ -170,7 +170,9 @@ def combined(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     with np.errstate(over="ignore"):
         tie = A.mix(A.mix(least[other].view(np.uint64)) + node[other].view(np.uint64))
     tie, at = np.unique(tie, return_index=True)
-    return np.concatenate([key[new], tie, tie]), np.concatenate([node[new], least[other][at], node[other][at]])
+    key, node = np.concatenate([key[new], tie, tie]), np.concatenate([node[new], least[other][at], node[other][at]])
+    order = np.argsort(node, kind="stable")  # a run of one node compresses
+    return key[order], node[order]
 
 
 def _keys(hot):
@@ -353,7 +355,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from own.combine_chunks().to_batches()
 
 
-TASK = "`group` long, i int, j int, chunk int, id binary, known binary, `set` binary"
+TASK = "`group` long, i long, j long, chunk long, id binary, known binary, `set` binary"
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,39 +394,43 @@ def _found(tasks: DataFrame) -> DataFrame:
     return stash(tasks.select(*columns).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "id").mapInArrow(_trees, "a binary, b binary"))
 
 
-def _within(sets: DataFrame, members: DataFrame, task_sets: int) -> DataFrame:
-    """(id, component) of the sets that link with others.
+def _within(sets: DataFrame, task_sets: int) -> DataFrame:
+    """(id, component) of the sets that link with others, from (id, set, places) with the (group, chunk, chunks) of each.
 
-    `sets` (id, set, places) has each set with its (group, chunk, chunks) and
-    `members` the same places without the sets.  First each chunk is joined by
-    itself.  Of clusters with several chunks, one set of each component of each
-    chunk then meets those of the other chunks, chunk by chunk again: a cluster
-    of near copies is one component after that.  Only pairs of chunks that are
-    not one component are joined, with what is known passed in.
+    First each chunk is joined by itself.  Of clusters with several chunks, one
+    set of each component of each chunk then meets those of the other chunks,
+    chunk by chunk again: a cluster of near copies is one component after that.
+    What is left is dealt anew, sets of one component together, and all chunks
+    that are not one component in whole meet each other, with what is known
+    passed in.
     """
-    none = F.lit(None).cast("binary")
     placed = sets.select("id", "set", F.inline("places"))
     links = _found(placed.select("*", F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.col("id").alias("known")))
     found = connected_components(links, "a", "b")
-    wide = members.where("chunks > 1")
+    wide = sets.where(F.exists("places", lambda p: p["chunks"] > 1))
     if wide.isEmpty():
         return found
-    now = lambda: stash(wide.join(found, "id", "left").select("id", "group", "chunk", F.coalesce("component", "id").alias("known")))
-    state = now()
-    heads = state.groupBy("group", "chunk", "known").agg(F.min("id").alias("id")).select("group", "id", "known")
+    places = wide.select("id", F.inline("places")).where("chunks > 1")
+    now = lambda: stash(places.join(found, "id", "left").select("id", "group", "chunk", F.coalesce("component", "id").alias("known")))
+    heads = now().groupBy("group", "chunk", "known").agg(F.min("id").alias("id")).select("group", "id", "known")
     n = heads.groupBy("group").agg(F.ceil(F.count("*") / task_sets).cast("int").alias("n"))
-    heads = heads.join(n, "group").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("n")).cast("int")).select("group", "id", "known", "i")
-    links = links.unionByName(_found(sets.select("id", "set").join(heads, "id").withColumn("j", F.col("i")).withColumn("chunk", F.col("i"))))
+    heads = heads.join(n, "group").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("n"))).select("group", "id", "known", "i")
+    links = links.unionByName(_found(wide.select("id", "set").join(heads, "id").withColumn("j", F.col("i")).withColumn("chunk", F.col("i"))))
     found = connected_components(links, "a", "b")
-    state = now()
+
+    state = now().drop("chunk")
+    sizes = state.groupBy("group", "known").agg(F.count("*").alias("n"))
+    few = F.sum(F.when(F.col("n") * 2 < task_sets, F.col("n")).otherwise(0))
+    split = sizes.groupBy("group").agg(F.greatest(F.ceil(few / task_sets), F.lit(1)).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    own = F.xxhash64("known", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / task_sets)))
+    chunk = F.when(F.col("n") * 2 < task_sets, F.pmod(F.xxhash64("known"), F.col("m"))).otherwise(own)
+    state = stash(state.join(sizes, ["group", "known"]).join(split, "group").select("group", "id", "known", chunk.alias("chunk")))
     chunks = state.groupBy("group", "chunk").agg(F.min("known").alias("low"), F.max("known").alias("high"))
-    chunks = chunks.withColumn("whole", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(none)).select("group", "chunk", "whole")
-    i, j = chunks.select("group", F.col("chunk").alias("i"), F.col("whole").alias("wi")), chunks.select("group", F.col("chunk").alias("j"), F.col("whole").alias("wj"))
-    pairs = stash(i.join(j, "group").where("i < j AND NOT coalesce(wi = wj, false)").select("group", "i", "j"))
-    if pairs.isEmpty():
-        return found
-    asked = pairs.select("*", F.explode(F.array("i", "j")).alias("chunk"))
-    tasks = state.join(asked, ["group", "chunk"]).join(sets.select("id", "set"), "id")
+    whole = F.when(F.col("low") == F.col("high"), F.col("low"))
+    one, two = (chunks.select("group", F.col("chunk").alias(x), whole.alias(f"whole_{x}")) for x in "ij")
+    pairs = one.join(two, "group").where("i <= j AND NOT coalesce(whole_i = whole_j, false)").select("group", "i", "j")
+    asked = pairs.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
+    tasks = state.join(asked, ["group", "chunk"]).join(wide.select("id", "set"), "id")
     return connected_components(links.unionByName(_found(tasks)), "a", "b")
 
 
@@ -448,10 +454,10 @@ def _joined(docs: DataFrame, task_shingles: int, task_sets: int) -> DataFrame:
     members = stash(members.join(clusters.select(F.col("id").alias("node"), F.col("component").alias("group")), "node").drop("node"))
     chunks = members.groupBy("group").agg(F.ceil(F.greatest(F.sum("n") / task_shingles, F.count("*") / task_sets)).cast("int").alias("chunks"))
     members = members.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("f1", "f2"), F.col("chunks")).cast("int"))
-    places = stash(members.groupBy("rep", "f1", "f2", "id").agg(F.collect_list(F.struct("group", "chunk", "chunks")).alias("places")))  # two at most
+    places = members.groupBy("rep", "f1", "f2", "id").agg(F.collect_list(F.struct("group", "chunk", "chunks")).alias("places"))  # two at most
     sets = docs.join(places.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "f1", "f2", "id", "places")
     sets = stash(sets.mapInArrow(_sets, "id binary, places array<struct<group: long, chunk: int, chunks: int>>, `set` binary"))
-    found = _within(sets, places.select("id", F.inline("places")), task_sets)
+    found = _within(sets, task_sets)
 
     least = F.conv(F.hex(F.substring("component", 1, 8)), 16, -10).cast("long").bitwiseXOR(sign)
     found = found.withColumn("least", least).select("id", "least")
