@@ -127,7 +127,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    n_items, digest = F.size("items").cast("long"), F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 SQL = r"""

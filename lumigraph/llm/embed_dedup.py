@@ -297,7 +297,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     least = found.groupBy("component").agg(F.min("least").alias("component_id"))
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     found = found.join(least, "component").select("id", "component_id").join(counts, "id", "left")
-    of = classes.join(found, "id", "left").select("h1", "h2", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    of = classes.join(found, "id", "left").select("h1", "h2", F.coalesce("component_id", "least").alias("component_id"), n_links.alias("n_links"))
     linked = good.select("vec_id", one.alias("h1"), two.alias("h2")).join(of, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(F.col("group").isNull()).select("vec_id", F.lit(0).cast("long"), "vec_id")
     out = linked.union(alone)

@@ -119,7 +119,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     units = rows.join(F.broadcast(goal) if n <= SOURCES_BROADCAST else goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     units = units.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio")).withColumn("frac", F.col("ratio") - F.col("whole"))
     units = units.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "print", "size")).withColumn("u", draw(1)).withColumn("v", draw(2))
-    units = units.withColumn("chunk", F.pmod("h", F.ceil(F.col("units") / CHUNK))).withColumn("p", F.when(F.col("mass") > 0, F.col("frac")).otherwise((F.col("v") < F.col("frac")).cast("double")))
+    own_draw = (F.col("v") < F.col("frac")).cast("double")
+    units = units.withColumn("chunk", F.pmod("h", F.ceil(F.col("units") / CHUNK))).withColumn("p", F.when(F.col("mass") > 0, F.col("frac")).otherwise(own_draw))
     units = units.drop("ratio", "frac", "units")
     done, left, chunks = [], units, -(-widest // CHUNK)
     while True:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumigraph.llm.spans import SPAN, count, let, listed, ordered, replaced, running, spans
 from lumigraph.llm.text import ascii_lower
@@ -48,7 +47,8 @@ def base(text: Column) -> Column:
     n = lambda s: F.length(_digits(s["hit"]))
     card = F.filter(spans(text, "card", CARD), lambda s: F.when((n(s) >= 16) & (n(s) <= 19), _luhn(_digits(s["hit"]))).otherwise(False))
     phone = F.filter(spans(text, "phone", PHONE), lambda s: (n(s) >= 8) & (n(s) <= 15))
-    return F.concat(F.when(F.instr(text, "@") > 0, spans(text, "email", EMAIL)).otherwise(F.array().cast(SPAN)), ip, card, F.when(F.instr(text, "+") > 0, phone).otherwise(F.array().cast(SPAN)))
+    having = lambda sign, found: F.when(F.instr(text, sign) > 0, found).otherwise(F.array().cast(SPAN))
+    return F.concat(having("@", spans(text, "email", EMAIL)), ip, card, having("+", phone))
 
 
 def _sequence(text: Column, found: Column) -> Column:
@@ -104,7 +104,8 @@ def terms(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     near = near.groupBy("entity", "of_entity", "term").agg(F.countDistinct("c").alias("contexts"), F.countDistinct("f").alias("together"))
     near = near.where((F.col("together") >= CONTEXTS) & (F.col("contexts") >= CONTEXTS) & (F.col("contexts") >= DIVERSITY * F.col("together")))
     # A word in too many of the texts with any entity can't have the share over all: so go the common words.
-    inside = row.select("f", F.explode(F.array_distinct(F.transform(F.filter("s", lambda x: x["kind"] == ""), lambda x: x["hit"]))).alias("term")).groupBy("term").agg(F.count("*").alias("inside"))
+    own = F.array_distinct(F.transform(F.filter("s", lambda x: x["kind"] == ""), lambda x: x["hit"]))
+    inside = row.select("f", F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("inside"))
     near = stash(near.join(inside, "term").where(F.col("together") >= SHARE * F.col("inside")))
     maybe = near.select("term").distinct()
     few = maybe.limit(BROADCAST + 1).count()
@@ -124,7 +125,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
     """(d, f, terms): the terms of each document, as doc_id and hash of the text, that reveal an entity; few documents have any."""
     found = terms(docs)
     if found is None:
-        return docs.sparkSession.createDataFrame([], T.StructType([T.StructField("d", docs.schema["doc_id"].dataType), T.StructField("f", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType()))]))
+        return docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("f"), F.array(F.lit("")).alias("terms")).limit(0)
     risky, every = found
     return every.join(risky, "term").groupBy("d", "f").agg(F.collect_set("term").alias("terms"))
 
@@ -155,7 +156,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """(doc_id, text): base spans and worded terms replaced by their kind in brackets, terms with digits generalised to # for each digit."""
-    by = lambda s: F.when((s["kind"] == "term") & s["hit"].rlike("[0-9]"), F.regexp_replace(s["hit"], "[0-9]", "#")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    kind = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    by = lambda s: F.when((s["kind"] == "term") & s["hit"].rlike("[0-9]"), F.regexp_replace(s["hit"], "[0-9]", "#")).otherwise(kind(s))
     return find(docs).select("doc_id", replaced(F.col("text"), F.col("spans"), by).alias("text"))
 
 

@@ -124,7 +124,8 @@ def fit(column: pa.Array, y: np.ndarray, seed: int = 3) -> Model:
     x = np.concatenate([e[0] for e, _ in parts]) if parts else np.zeros((0, FEATURES))
     doc = np.concatenate([e[1] + at for e, at in parts]) if parts else np.zeros(0, np.int64)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-    w = {"enc": draw(FEATURES, HIDDEN), "enc_b": np.zeros(HIDDEN), "gate_v": draw(HIDDEN, ATTENTION), "gate_u": draw(HIDDEN, ATTENTION), "att": draw(ATTENTION), "out": draw(HIDDEN), "out_b": np.zeros(1)}
+    w = {"enc": draw(FEATURES, HIDDEN), "enc_b": np.zeros(HIDDEN), "gate_v": draw(HIDDEN, ATTENTION), "gate_u": draw(HIDDEN, ATTENTION)}
+    w |= {"att": draw(ATTENTION), "out": draw(HIDDEN), "out_b": np.zeros(1)}
     if len(doc) < 20 or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1)
         w["out"], w["out_b"] = np.zeros(HIDDEN), np.array([np.log(rate / (1 - rate))])

@@ -81,7 +81,9 @@ def _battery(n: Column, k: Column, e: Column, at: Column, kinds: Column) -> Colu
     mean = total(at, lambda x: x) / n
     serial = (total(both(at, lambda a, b: a * b), lambda x: x) - steps * mean * mean) / F.greatest(total(at, lambda x: x * x) - n * mean * mean, F.lit(1e-9)) * F.sqrt(n)
     free_change = e["random_change"]
-    ordered = fisher(upper_tail(cube), two_sided((turns - steps / 2) / F.sqrt(steps / 4)), two_sided((changes - steps * free_change) / F.sqrt(steps * free_change * (1 - free_change))), two_sided(serial))
+    z_turns = (turns - steps / 2) / F.sqrt(steps / 4)
+    z_changes = (changes - steps * free_change) / F.sqrt(steps * free_change * (1 - free_change))
+    ordered = fisher(upper_tail(cube), two_sided(z_turns), two_sided(z_changes), two_sided(serial))
     # Structure: so few equal characters (mean and variance of the count of pairs), and so many changes of kind (a bound on a binomial tail:
     # Stirling's on its first term, and a geometric series for the rest).
     spread = F.sqrt(2 * n * steps * (e["pair"] - e["pair"] * e["pair"]) + 4 * n * steps * (n - 2) * (e["triple"] - e["pair"] * e["pair"]))
@@ -111,7 +113,8 @@ def randomness(value: Column) -> Column:
         chars = F.split(t, "")
         at = F.transform(chars, lambda c: F.instr(x["e"]["alphabet"], c).cast("double") - middle)
         kind = lambda c: F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3)
-        facts = F.struct(x["e"].alias("e"), F.length(t).cast("double").alias("n"), F.length(x["e"]["alphabet"]).cast("double").alias("k"), at.alias("at"), F.transform(chars, kind).alias("kinds"))
+        size = lambda c, name: F.length(c).cast("double").alias(name)
+        facts = F.struct(x["e"].alias("e"), size(t, "n"), size(x["e"]["alphabet"], "k"), at.alias("at"), F.transform(chars, kind).alias("kinds"))
         return let(facts, lambda y: _battery(y["n"], y["k"], y["e"], y["at"], y["kinds"]))
 
     plain = F.regexp_replace(F.translate(value, "-_", "+/"), "=+$", "")
@@ -151,15 +154,16 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     rows = docs.select(F.struct(*keep).alias("kept"), base(text).alias("base"), spans(text, "random", CANDIDATE).alias("more"))
     outside = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     rows = rows.withColumn("more", outside)
-    found = F.transform("more", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), s["part"].alias("part"), _length_class(F.length(s["hit"])).alias("size"), _bin(randomness(s["hit"])).alias("bin")))
-    rows = stash(rows.withColumn("more", found))
+    fields = lambda s: [s[x].alias(x) for x in ("kind", "start", "end", "hit", "part")]
+    tested = lambda s: F.struct(*fields(s), _length_class(F.length(s["hit"])).alias("size"), _bin(randomness(s["hit"])).alias("bin"))
+    rows = stash(rows.withColumn("more", F.transform("more", tested)))
     seen = rows.select(F.explode("more").alias("s")).select("s.size", "s.bin", F.xxhash64("s.hit").alias("token")).distinct().groupBy("size", "bin").agg(F.count("*").alias("n"))
     down = Window.partitionBy("size").orderBy(F.desc("bin"))
     rule = seen.withColumn("so_far", F.sum("n").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy("size")))
     rule = rule.where(F.pow(F.lit(10.0), -F.col("bin") / 10) <= LEVEL * F.col("so_far") / F.col("all")).groupBy("size").agg(F.min("bin").alias("least"))
     least = {r["size"]: r["least"] for r in rule.collect()}  # one row for each of the length classes
     passes = lambda s: sum((F.when((s["size"] == k) & (s["bin"] >= v), 1).otherwise(0) for k, v in least.items()), F.lit(0)) > 0
-    added = F.transform(F.filter("more", passes), lambda s: F.struct(*[s[x].alias(x) for x in ("kind", "start", "end", "hit", "part")]))
+    added = F.transform(F.filter("more", passes), lambda s: F.struct(*fields(s)))
     order = lambda x: ordered(x, KINDS, True)
     return rows.select("kept.*", order(F.col("base")).alias("base"), order(F.concat("base", added)).alias("spans"))
 
@@ -173,7 +177,8 @@ def redact(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents"))
     b = F.col("base")
-    return out.select("doc_id", count(b, "assign").alias("n_assign"), count(b, "access").alias("n_access"), count(b, "hex").alias("n_hex"), F.sha2(listed(b), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    counts = [count(b, k).alias(f"n_{k}") for k in KINDS[:3]]
+    return out.select("doc_id", *counts, F.sha2(listed(b), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 SQL = None

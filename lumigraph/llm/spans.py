@@ -35,7 +35,11 @@ def spans(text: Column, kind: str, pattern: str | Column, group: int = 0) -> Col
     def placed(x: Column) -> Column:
         ends = running(F.zip_with(F.slice(x["gaps"], 1, F.size(x["hits"])), x["hits"], lambda a, b: F.length(a) + F.length(b)), lambda a, b: a + b, 0)
         parts = F.regexp_extract_all(text, how, F.lit(group)) if group else x["hits"]
-        one = lambda s: F.struct(F.lit(kind).alias("kind"), (s["end"] - F.length(s["hit"])).alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), s["part"].alias("part"))
+
+        def one(s: Column) -> Column:
+            start = s["end"] - F.length(s["hit"])
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), s["part"].alias("part"))
+
         return F.transform(F.arrays_zip(x["hits"].alias("hit"), parts.alias("part"), ends.alias("end")), one)
 
     return F.when(F.rlike(text, how), let(found, placed)).otherwise(F.array().cast(SPAN))
@@ -59,7 +63,10 @@ def ordered(of: Column, kinds: list[str], by_start: bool) -> Column:
             out = F.when(s["kind"] == k, F.lit(i)).otherwise(out)
         return out
 
-    key = lambda s: F.struct(s["start"].alias("a"), rank(s).alias("b"), s["end"].alias("c")) if by_start else F.struct(rank(s).alias("a"), s["start"].alias("b"), s["end"].alias("c"))
+    def key(s: Column) -> Column:
+        first, second = (s["start"], rank(s)) if by_start else (rank(s), s["start"])
+        return F.struct(first.alias("a"), second.alias("b"), s["end"].alias("c"))
+
     return F.transform(F.array_sort(F.transform(of, lambda s: F.struct(key(s).alias("key"), s.alias("span")))), lambda x: x["span"])
 
 
