@@ -159,7 +159,8 @@ def listed_knn(rows: DataFrame, n: int, dim: int, k: int) -> DataFrame:
                 at = nearest_of(x, kept.value)
                 away = np.sqrt(((x - kept.value[at]) ** 2).sum(1))
                 at = np.where(np.abs(x).sum(1) > 0, at, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32)), pa.array(away), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "list", "away", "vec"])
+                columns = [batch.column(0), pa.array(at.astype(np.int32)), pa.array(away), pa.array([v.tobytes() for v in x], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "list", "away", "vec"])
 
     placed = stash(rows.mapInArrow(place, "id long, list int, away double, vec binary"))
     members = placed.where("list >= 0")

@@ -42,10 +42,9 @@ def rank_labels(vectors: DataFrame, labels: Sequence[str], weights: np.ndarray,
                 score = matrix(batch.column(1), w.shape[1]) @ w.T
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 n = batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(batch.column(0).to_numpy(), k)), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n)), pa.array([labels[j] for j in top.ravel()]), pa.array(np.take_along_axis(score, top, 1).ravel())],
-                    ["id", "rank", "tag", "score"],
-                )
+                ids, rank = np.repeat(batch.column(0).to_numpy(), k), np.tile(np.arange(1, k + 1, dtype=np.int32), n)
+                columns = [ids, rank, [labels[j] for j in top.ravel()], np.take_along_axis(score, top, 1).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "rank", "tag", "score"])
 
     return usable(vectors, id_col, vector, w.shape[1]).mapInArrow(best, schema)
 
