@@ -24,10 +24,11 @@ def test_without_llm(monkeypatch):
     importlib.reload(entry)
 
 
-def test_broken_dependency_is_an_error(monkeypatch):
+def test_broken_dependency_is_an_error(monkeypatch, tmp_path):
+    (tmp_path / "corpus_pipeline.py").write_text("import lumigraph.not_there\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
     monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
-    monkeypatch.setitem(sys.modules, "lumigraph.sources.tables", None)
-    with pytest.raises(ModuleNotFoundError):
+    with pytest.raises(ModuleNotFoundError, match="not_there"):
         entry._optional("corpus_pipeline")
 
 
