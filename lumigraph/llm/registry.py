@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumigraph.llm import decontaminate, embed_dedup, line_dedup, mixing, ngram_join, pii, piece_codec, quality, secrets, token_align, toxicity, url_filter
+from lumigraph.llm import decontaminate, embed_dedup, line_dedup, mixing, ngram_join, pii, piece_codec, quality, secrets, spelling, token_align, toxicity, url_filter
 
 MODULES = {
     "op1_ngram_join": ngram_join,
@@ -16,6 +16,7 @@ MODULES = {
     "op9_mixing": mixing,
     "op10_quality": quality,
     "op11_piece_codec": piece_codec,
+    "op12_spelling_variants": spelling,
     "op13_token_align": token_align,
 }
 
