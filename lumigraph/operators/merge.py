@@ -40,6 +40,31 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], id_col: str | No
     return out.select(*old.columns)
 
 
+def numbered(new: DataFrame, order: Sequence[str], id_col: str, top: int) -> DataFrame:
+    """`new` with ids after `top`, in the order of `order`."""
+    return number(new, list(order), top + 1).withColumnRenamed("number", id_col)
+
+
+def put_in(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], id_col: str | None, top: int, small: bool) -> DataFrame:
+    """As `upsert`, for `fresh` from `one_each`; if that is `small`, the stored rows stay where they are.
+
+    Stored rows meet the fresh ones by broadcast, and the keys found among them,
+    no more than there are fresh ones, come back the same way to tell new keys.
+    New keys get ids after `top`.
+    """
+    sent = F.broadcast if small else lambda x: x
+    columns = [c for c in stored.columns if c not in keys and c != id_col]
+    other = fresh.withColumnsRenamed({k: f"lg_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"lg_{k}")) for k in keys]
+    pick = [F.when(F.col("lg_new").isNotNull(), F.col(f"lg_new.{c}")).otherwise(F.col(c)).alias(c) for c in columns]
+    kept = stored.join(sent(other), same, "left").select(*keys, *pick, *([id_col] if id_col else []))
+    found = stored.select(*keys).join(sent(other.drop("lg_new")), same, "left_semi").distinct()
+    added = other.join(sent(found), same, "left_anti").select(*[F.col(f"lg_{k}").alias(k) for k in keys], *[f"lg_new.{c}" for c in columns])
+    if id_col:
+        added = numbered(added, keys, id_col, top)
+    return kept.select(*stored.columns).unionByName(added.select(*stored.columns))
+
+
 def replace_of(old: DataFrame, new: DataFrame, key: str, touched: DataFrame) -> DataFrame:
     """`old` without the rows of the keys in `touched`, and `new`: what was said of them before goes, even if nothing is said now."""
     gone = touched.select(key).distinct()

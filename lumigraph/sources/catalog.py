@@ -1,8 +1,20 @@
-"""The tables of a media library as Parquet folders below one root."""
+"""The tables of a media library below one root, each dealt into parts by a hash of its key, of which a change writes only those it touches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import os
+import uuid
+from collections.abc import Callable, Iterable, Sequence
+from typing import NamedTuple
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from lumigraph.operators import merge
+from lumigraph.sources.tables import stash
 
 SCHEMAS = {
     "photos": "id long, file_path string, size long, created_at string, checksum string, phash string, exif_datetime string, latitude double, longitude double",
@@ -13,60 +25,209 @@ SCHEMAS = {
     "faces": "id long, photo_id long, face_index int, bbox_x double, bbox_y double, bbox_w double, bbox_h double, embedding array<float>, person_id long",
     "face_thumbs": "id long, face_id long, thumb_path string",
 }
+#: The column whose hash deals a table's rows.
+DEALT_BY = {"photos": "file_path", "embeddings": "photo_id", "tags": "photo_id", "clusters": "photo_id", "persons": "name", "faces": "photo_id", "face_thumbs": "face_id"}
+#: Parts of a table; folders of one part from which on an append writes it anew.
+PARTS, FOLDERS = 64, 16
+#: Versions of a table that are kept, so that plans made before a change can still run; attempts of a change that others get ahead of.
+KEPT, TRIES = 3, 20
+#: Changed rows that are broadcast to the stored ones, at most; more are shuffled.
+BROADCAST_ROWS = 100_000
+
+
+class Version(NamedTuple):
+    """What a table consists of: the folders of each part, and its largest id."""
+
+    number: int
+    parts: dict[int, list[str]]
+    top: int
+
+
+class Change(NamedTuple):
+    """Rows to write, the parts that they replace (None: all), and whether they come beside what is there."""
 
+    rows: DataFrame
+    parts: Iterable[int] | None
+    beside: bool = False
 
-#: Versions of a table that are kept, so that plans made before a write can still run.
-KEPT = 3
-#: Marks a version as whole; Spark's readers pass over names that begin so.
-DONE = "_complete"
+
+class Conflict(Exception):
+    """Others changed a table again and again while a change was being made."""
 
 
 class Catalog:
-    """Reads and replaces whole tables; `init` may be called again and again.
+    """Reads and changes tables; `init` may be called again and again.
+
+    A version is a small file that names the folders of each part.  A change
+    writes the parts that it touches to a folder of its own and then claims the
+    next number, which only one writer can do; the others make their change
+    again on top of it.  So a writer that dies leaves the table as it was, no
+    change is lost, and none is seen in part.
 
-    A table is a folder of numbered versions.  A write makes a new one and marks
-    it when it is whole; readers take the last that is marked.  A writer that
-    dies leaves the table as it was, and of two writers at once one fails.
+    A number is claimed by a link on local disks and else by a rename, which
+    must fail where there is such a file, as that of HDFS does.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
+        self.spark, self.root, self.n_parts = spark, root.rstrip("/"), parts
 
     def _fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _versions(self, name: str) -> list[tuple[int, bool]]:
-        """(number, whether it is whole) of each version, ascending."""
-        fs, at = self._fs(f"{self.root}/{name}")
-        if not fs.exists(at):
-            return []
-        names = [x.getPath().getName() for x in fs.listStatus(at)]
-        return sorted((int(x[1:]), fs.exists(self._fs(f"{self.root}/{name}/{x}/{DONE}")[1])) for x in names if x[:1] == "v" and x[1:].isdigit())
+    def _names(self, folder: str) -> list[str]:
+        fs, at = self._fs(folder)
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _numbers(self, name: str) -> list[int]:
+        return sorted(int(x[1:]) for x in self._names(f"{self.root}/{name}/versions") if x[:1] == "v" and x[1:].isdigit())
+
+    def _load(self, name: str, number: int) -> Version:
+        fs, at = self._fs(f"{self.root}/{name}/versions/v{number}")
+        stream = fs.open(at)
+        try:
+            told = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return Version(number, {int(k): v for k, v in told["parts"].items()}, told["top"])
 
-    def path(self, name: str) -> str | None:
-        """The folder of the table's last whole version."""
-        whole = [n for n, done in self._versions(name) if done]
-        return f"{self.root}/{name}/v{whole[-1]}" if whole else None
+    def version(self, name: str) -> Version:
+        numbers = self._numbers(name)
+        return self._load(name, numbers[-1]) if numbers else Version(-1, {}, 0)
+
+    def _claim(self, name: str, new: Version) -> bool:
+        """Whether this is the one writer that makes the version."""
+        fs, at = self._fs(f"{self.root}/{name}/versions/v{new.number}")
+        _, draft = self._fs(f"{self.root}/{name}/versions/draft-{uuid.uuid4().hex}")
+        stream = fs.create(draft, True)
+        stream.write(bytearray(json.dumps({"parts": new.parts, "top": new.top}).encode()))
+        stream.close()
+        if fs.getUri().getScheme() != "file":
+            won = fs.rename(draft, at)
+            if not won:
+                fs.delete(draft, False)
+            return won
+        try:
+            os.link(draft.toUri().getPath(), at.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(draft, False)
+
+    def _forget(self, name: str) -> None:
+        """Delete the versions before the last KEPT, and the folders that only they name."""
+        numbers = self._numbers(name)
+        used = {f for n in numbers[-KEPT:] for x in self._load(name, n).parts.values() for f in x}
+        for n in numbers[:-KEPT]:
+            try:
+                old = {(k, f) for k, x in self._load(name, n).parts.items() for f in x if f not in used}
+            except Py4JJavaError:  # another writer is at it
+                continue
+            for k, f in old:
+                self._fs(self.root)[0].delete(self._fs(f"{self.root}/{name}/data/{f}/part={k}")[1], True)
+            self._fs(self.root)[0].delete(self._fs(f"{self.root}/{name}/versions/v{n}")[1], False)
 
     def init(self) -> None:
-        for name, schema in SCHEMAS.items():
-            if not self.path(name):
-                self.write(name, self.spark.createDataFrame([], schema))
+        for name in SCHEMAS:
+            if not self._numbers(name):
+                self._claim(name, Version(0, {}, 0))
+
+    def part(self, name: str, column: Column | None = None) -> Column:
+        """The part of a row, by its key or by another column that holds such keys."""
+        return F.pmod(F.xxhash64(F.col(DEALT_BY[name]) if column is None else column), F.lit(self.n_parts)).cast("int")
+
+    def rows(self, name: str, version: Version, parts: Iterable[int] | None = None) -> DataFrame:
+        """The rows of a version, or of some of its parts; no other part's files are listed."""
+        some = version.parts if parts is None else parts
+        paths = [f"{self.root}/{name}/data/{f}/part={k}" for k in some for f in version.parts.get(k, ())]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
 
     def read(self, name: str) -> DataFrame:
-        at = self.path(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(at) if at else self.spark.createDataFrame([], SCHEMAS[name])
-
-    def write(self, name: str, df: DataFrame) -> None:
-        """Replace a table by `df`, which may read it."""
-        versions = self._versions(name)
-        fresh = f"{self.root}/{name}/v{versions[-1][0] + 1 if versions else 0}"
-        columns = [x.split()[0] for x in SCHEMAS[name].split(", ")]
-        df.select(*columns).write.parquet(fresh)
-        fs, done = self._fs(f"{fresh}/{DONE}")
-        fs.create(done, True).close()
-        whole = [n for n, done in versions if done]
-        for n, _ in versions:
-            if len(whole) >= KEPT and n < whole[1 - KEPT]:  # the new one and KEPT - 1 before it stay
-                fs.delete(self._fs(f"{self.root}/{name}/v{n}")[1], True)
+        return self.rows(name, self.version(name))
+
+    def change(self, name: str, make: Callable[[Version], Change]) -> int:
+        """Make a change on top of the last version, again if another writer was first: rows written."""
+        columns = self.spark.createDataFrame([], SCHEMAS[name]).columns
+        top = F.coalesce(F.max("id"), F.lit(0)) if "id" in columns else F.lit(0)
+        for _ in range(TRIES):
+            old = self.version(name)
+            try:
+                new = make(old)
+                folder, told = uuid.uuid4().hex, Observation()
+                rows = new.rows.select(*columns).observe(told, F.count(F.lit(1)).alias("n"), F.max(top).alias("top") if "id" not in columns else top.alias("top"))
+                rows.withColumn("part", self.part(name)).write.partitionBy("part").parquet(f"{self.root}/{name}/data/{folder}")
+            except (PySparkException, Py4JJavaError):
+                if self.version(name).number - old.number < KEPT:  # else what it read may have been deleted meanwhile
+                    raise
+                continue
+            made = [int(x[5:]) for x in self._names(f"{self.root}/{name}/data/{folder}") if x.startswith("part=")]
+            gone = set(old.parts if new.parts is None else new.parts) if not new.beside else set()
+            parts = {k: x for k, x in old.parts.items() if k not in gone}
+            parts |= {k: [*parts.get(k, []), folder] for k in made}
+            if self._claim(name, Version(old.number + 1, parts, max(old.top, told.get["top"] or 0))):
+                self._forget(name)
+                return told.get["n"]
+            self._fs(self.root)[0].delete(self._fs(f"{self.root}/{name}/data/{folder}")[1], True)
+        raise Conflict(f"{name}: {TRIES} attempts failed")
+
+    def write(self, name: str, df: DataFrame) -> int:
+        """Replace a table by `df`, which may read it: rows written."""
+        return self.change(name, lambda old: Change(df, None))
+
+    def _held(self, name: str, rows: DataFrame, column: Column | None = None) -> tuple[DataFrame, int, list[int]]:
+        """`rows` written aside, how many they are and which parts they touch: one job."""
+        told = Observation()
+        held = stash(rows.observe(told, F.count(F.lit(1)).alias("n"), F.collect_set(self.part(name, column)).alias("parts")))
+        return held, told.get["n"], sorted(told.get["parts"])
+
+    def put(self, name: str, new: DataFrame, keys: Sequence[str], id_col: str | None = None) -> int:
+        """`merge.upsert` of the parts that `new` touches: how many different keys `new` has."""
+        columns = [x for x in self.spark.createDataFrame([], SCHEMAS[name]).columns if x not in keys and x != id_col]
+        fresh, n, parts = self._held(name, merge.one_each(new, keys, columns))
+        if n:
+            self.change(name, lambda old: Change(merge.put_in(self.rows(name, old, parts), fresh, keys, id_col, old.top, n <= BROADCAST_ROWS), parts))
+        return n
+
+    def append(self, name: str, new: DataFrame, order: Sequence[str], beside: bool = True) -> int:
+        """Rows with the next ids, in the order of `order`: how many.  Files that are there stay, unless a part has many folders."""
+        held, n, parts = self._held(name, new)
+
+        def make(old: Version) -> Change:
+            added = merge.numbered(held, order, "id", old.top)
+            full = [k for k in parts if len(old.parts.get(k, ())) >= FOLDERS]
+            if not full:
+                return Change(added, parts, beside=True)
+            return Change(self.rows(name, old, parts).unionByName(added.select(*self.read(name).columns)), parts)
+
+        if n:
+            self.change(name, make)
+        return n
+
+    def replace(self, name: str, new: DataFrame, key: str, touched: DataFrame, order: Sequence[str]) -> int:
+        """What was said of the keys in `touched` goes, even if nothing is said now; `new` comes with the next ids: how many rows."""
+        held, n, parts = self._held(name, new)
+        gone, many, all_ = self._held(name, touched.select(key).distinct(), F.col(key))
+        all_ = sorted({*all_, *parts})
+        keys = F.broadcast(gone) if many <= BROADCAST_ROWS else gone
+
+        def make(old: Version) -> Change:
+            kept = self.rows(name, old, all_).join(keys, key, "left_anti")
+            return Change(kept.unionByName(merge.numbered(held, order, "id", old.top).select(*kept.columns)), all_)
+
+        if many or n:
+            self.change(name, make)
+        return n
+
+    def assign(self, name: str, values: DataFrame, key: str, column: str) -> None:
+        """`merge.assign` of the parts that hold a key of `values`; to find them, only keys are read."""
+        told = Observation()
+        values = stash(values.select(key, column).observe(told, F.count(F.lit(1)).alias("n")))
+        small = F.broadcast(values) if told.get["n"] <= BROADCAST_ROWS else values
+
+        def make(old: Version) -> Change:
+            stored = self.rows(name, old).select(key, self.part(name).alias("part"))
+            parts = [r["part"] for r in stored.join(small, key, "left_semi").select("part").distinct().collect()]  # n_parts at most
+            return Change(merge.assign(self.rows(name, old, parts), small, key, column), parts)
+
+        self.change(name, make)

@@ -9,11 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumigraph.functions import exif, pixels
+from lumigraph.operators import merge
 from lumigraph.plans import engine as plans
 from lumigraph.plans.engine import Engine
 from lumigraph.plans.models import HashDetector, HashEmbedder, Lazy
 from lumigraph.sources import files
-from lumigraph.sources.catalog import Catalog
+from lumigraph.sources.catalog import Catalog, Change, Version
+from lumigraph.sources.tables import stash
 from lumigraph.streaming.ingest import ingest
 
 
@@ -187,14 +189,107 @@ def test_write_that_dies(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="(?i)boom|arithmetic|divide|cast"):
         tables.write("persons", row(2).select(F.expr("CAST(concat('boom', name) AS INT)").alias("id"), "name"))
     assert [r.id for r in tables.read("persons").collect()] == [1]
-    os.makedirs(tmp_path / "lib" / "persons" / "v99")  # a writer that died before its mark
+    os.makedirs(tmp_path / "lib" / "persons" / "data" / "left" / "part=3")  # by a writer that died before its claim
     assert [r.id for r in tables.read("persons").collect()] == [1]
     for i in range(3, 8):
         before = tables.read("persons")
         tables.write("persons", row(i).unionByName(before).distinct())
         assert before.count() == i - 2
     assert sorted(r.id for r in tables.read("persons").collect()) == [1, 3, 4, 5, 6, 7]
-    assert len([x for x in os.listdir(tmp_path / "lib" / "persons") if os.path.exists(tmp_path / "lib" / "persons" / x / "_complete")]) == 3
+    assert len(os.listdir(tmp_path / "lib" / "persons" / "versions")) == 3
+
+
+def parts_of(tmp_path, name):
+    """(folder, part) of all data files of a table."""
+    root = tmp_path / "lib" / name / "data"
+    return {(f, p) for f in os.listdir(root) for p in os.listdir(root / f) if p.startswith("part=")}
+
+
+def photo_rows(spark, ids, size):
+    return spark.createDataFrame([(f"p{i}", size, f"sum{i}") for i in ids], "file_path string, size long, checksum string").select(
+        "file_path", "size", F.lit("").alias("created_at"), "checksum", *[F.lit(None).cast(k).alias(c) for c, k in (("phash", "string"), ("exif_datetime", "string"), ("latitude", "double"), ("longitude", "double"))]
+    )
+
+
+def test_put_writes_touched_parts(spark, tmp_path):
+    """Ten changed rows write ten parts of 64 at most; new keys go on from the largest id; the stored side isn't exchanged."""
+    tables = Catalog(spark, str(tmp_path / "lib"))
+    tables.init()
+    assert tables.put("photos", photo_rows(spark, range(2000), 1), ["file_path"], "id") == 2000
+    before = parts_of(tmp_path, "photos")
+    assert len(before) == 64
+    old = {r.file_path: r.id for r in tables.read("photos").collect()}
+    assert sorted(old.values()) == list(range(1, 2001))
+    changed = [*range(0, 1800, 200), 5000]
+    assert tables.put("photos", photo_rows(spark, changed, 2), ["file_path"], "id") == 10
+    fresh = parts_of(tmp_path, "photos") - before
+    assert 1 <= len(fresh) <= 10 and len({f for f, _ in fresh}) == 1
+    now = {r.file_path: r for r in tables.read("photos").collect()}
+    assert len(now) == 2001 and now["p5000"].id == 2001
+    assert {p for p, r in now.items() if r["size"] == 2} == {f"p{i}" for i in changed}
+    assert all(now[p].id == i for p, i in old.items())
+
+
+def test_put_keeps_stored_rows_in_place(spark, tmp_path):
+    tables = Catalog(spark, str(tmp_path / "lib"))
+    tables.init()
+    tables.put("clusters", spark.range(500).select(F.col("id").alias("photo_id"), F.lit(1).cast("long").alias("cluster_id"), F.lit(1.0).alias("score")), ["photo_id"])
+    fresh = stash(merge.one_each(spark.createDataFrame([(3, 9, 0.5), (900, 9, 0.5)], "photo_id long, cluster_id long, score double"), ["photo_id"], ["cluster_id", "score"]))
+    rows = merge.put_in(tables.read("clusters"), fresh, ["photo_id"], None, 0, True)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    # the only exchange is that of the keys found, which are no more than there are fresh ones
+    assert "SortMergeJoin" not in plan and len(scans) <= 1
+    assert rows.count() == 501 and rows.where("cluster_id = 9").count() == 2
+    large = merge.put_in(tables.read("clusters"), fresh, ["photo_id"], None, 0, False)
+    assert sorted(large.collect()) == sorted(rows.collect())
+
+
+def test_appends_stay_beside(spark, tmp_path, monkeypatch):
+    """An append touches no file that is there, until a part has many folders."""
+    from lumigraph.sources import catalog
+
+    monkeypatch.setattr(catalog, "FOLDERS", 3)
+    tables = Catalog(spark, str(tmp_path / "lib"), parts=2)
+    tables.init()
+    vector = lambda ids: spark.createDataFrame([(i, 1, [float(i)]) for i in ids], "photo_id long, dim int, vector array<float>")
+    seen = set()
+    for k in range(5):
+        assert tables.append("embeddings", vector(range(10 * k, 10 * k + 10)), ["photo_id"]) == 10
+        now = parts_of(tmp_path, "embeddings")
+        assert seen <= now or k >= 3
+        seen = now
+    assert [(r.id, r.photo_id) for r in tables.read("embeddings").orderBy("id").collect()] == [(i + 1, i) for i in range(50)]
+    assert tables.append("embeddings", vector([]), ["photo_id"]) == 0
+    assert tables.replace("tags", spark.createDataFrame([], "photo_id long, tag string, score double"), "photo_id", vector([1]).select("photo_id"), ["photo_id"]) == 0
+
+
+def test_two_writers(spark, tmp_path):
+    """Both changes are there, whole, whoever comes first; of two claims of a number one succeeds."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    tables = Catalog(spark, str(tmp_path / "lib"), parts=4)
+    tables.init()
+    assert [tables._claim("persons", Version(7, {}, 0)) for _ in range(2)] == [True, False]
+    names = lambda k: spark.createDataFrame([(f"n{k}-{i}",) for i in range(20)], "name string")
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda k: Catalog(spark, str(tmp_path / "lib"), parts=4).put("persons", names(k), ["name"], "id"), range(4))) == [20] * 4
+    rows = tables.read("persons").collect()
+    assert {r.name for r in rows} == {f"n{k}-{i}" for k in range(4) for i in range(20)}
+    assert sorted(r.id for r in rows) == list(range(1, 81))
+    first = tables.version("persons")
+    # a writer that is overtaken between its reading and its claim makes its change again
+    overtaken = []
+
+    def make(old):
+        if not overtaken:
+            overtaken.append(old.number)
+            Catalog(spark, str(tmp_path / "lib"), parts=4).put("persons", spark.createDataFrame([("other",)], "name string"), ["name"], "id")
+        return Change(tables.rows("persons", old).where("id % 2 = 0"), None)
+
+    assert tables.change("persons", make) == 40
+    assert overtaken == [first.number] and tables.version("persons").number == first.number + 2
+    assert tables.read("persons").where("id % 2 = 1").count() == 0
 
 
 def test_export_in_pages(spark, folder, tmp_path, monkeypatch):
