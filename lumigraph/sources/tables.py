@@ -9,7 +9,9 @@ import time
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SETTING = "spark.checkpoint.dir"
 #: Folders of local applications that have no setting.
@@ -86,7 +88,13 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stash_each(spark: SparkSession, frames: Iterable[DataFrame], schema: str) -> DataFrame:
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`df` as `stash` keeps it, and how many rows it has, told by the write itself."""
+    told = Observation()
+    return stash(df.observe(told, F.count(F.lit(1)).alias("n"))), told.get["n"]
+
+
+def stash_each(spark: SparkSession, frames: Iterable[DataFrame], schema: str | StructType) -> DataFrame:
     """All of `frames`, one after another, written to one folder and reread; no rows without frames."""
     path = work_dir(spark)
     spark.createDataFrame([], schema).write.parquet(path)

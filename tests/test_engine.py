@@ -3,6 +3,7 @@
 import hashlib
 import os
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -13,7 +14,8 @@ from lumigraph.operators import merge
 from lumigraph.plans import engine as plans
 from lumigraph.plans.engine import Engine
 from lumigraph.plans.models import HashDetector, HashEmbedder, Lazy
-from lumigraph.sources import files
+from lumigraph.sources import files, sink
+from lumigraph.sources import opened as opened_files
 from lumigraph.sources.catalog import Catalog, Change, Version
 from lumigraph.sources.tables import stash
 from lumigraph.streaming.ingest import ingest
@@ -90,11 +92,16 @@ def test_whole_library(spark, folder, tmp_path):
 
 
 def opened(monkeypatch):
-    """Paths that are opened from now on."""
-    paths = []
-    for name in ("contents", "images"):
-        plain = getattr(plans, name)
-        monkeypatch.setattr(plans, name, lambda spark, some, plain=plain: paths.extend(some) or plain(spark, some))
+    """Paths that are opened from now on: by tasks, and those that go to Spark's image source once more."""
+    paths = {"tasks": [], "source": []}
+    plain, shown = plans.each_file, plans.images
+
+    def each_file(files, *how, **named):
+        paths["tasks"] += [r[0] for r in files.select("file_path").collect()]
+        return plain(files, *how, **named)
+
+    monkeypatch.setattr(plans, "each_file", each_file)
+    monkeypatch.setattr(plans, "images", lambda spark, some: paths["source"].extend(some) or shown(spark, some))
     return paths
 
 
@@ -105,24 +112,136 @@ def test_scan_opens_changed_files_only(spark, folder, tmp_path, monkeypatch):
     (folder / "sub" / "new[1] {a}*+%41é.png").write_bytes(pixels.png(picture(7)))
     (folder / "A.PNG").write_bytes(pixels.png(picture(1, 50)))
     assert engine.scan(str(folder)) == (2, 4)
-    assert {os.path.basename(p) for p in paths} == {"A.PNG", "new[1] {a}*+%41é.png"} and not any("sub/A.PNG" in p for p in paths)
+    assert {os.path.basename(p) for p in paths["tasks"]} == {"A.PNG", "new[1] {a}*+%41é.png"} and not any("sub/A.PNG" in p for p in paths["tasks"])
     new = engine.tables.read("photos").where("file_path LIKE '%new%'").first()
     assert len(new.phash) == 16 and new.checksum == hashlib.sha1((folder / "sub" / "new[1] {a}*+%41é.png").read_bytes()).hexdigest()
-    paths.clear()
-    assert engine.scan(str(folder)) == (0, 6) and not paths
-
-
-def test_small_batches_and_lost_files(spark, folder, tmp_path, monkeypatch):
+    assert not paths["source"]
+    (folder / "bad2.png").write_bytes(b"not a picture")
+    paths["tasks"].clear()
+    assert engine.scan(str(folder)) == (1, 6)
+    assert [os.path.basename(p) for p in paths["tasks"] + paths["source"]] == ["bad2.png"] * 2
+    paths["tasks"].clear()
+    assert engine.scan(str(folder)) == (0, 7) and not paths["tasks"]
+
+
+def jobs(spark, act):
+    """How many jobs `act` runs."""
+    spark.sparkContext.setJobGroup("counted", "")
+    act()
+    spark.sparkContext.setJobGroup("", "")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+
+
+def test_one_job_opens_all(spark, tmp_path):
+    """However many files: the job that holds the paths and the job that opens them."""
+    (tmp_path / "in").mkdir()
+    for i in range(90):
+        (tmp_path / "in" / f"{i}.png").write_bytes(b"x" * i)
+    rows = spark.createDataFrame([(f"file:{tmp_path}/in/{i}.png", i) for i in range(100)], "file_path string, size long")
+    made = []
+    work = lambda contents: [(len(c),) for c in contents]
+    assert jobs(spark, lambda: made.append(opened_files.each_file(rows, work, "n int"))) <= 3
+    assert sorted((r["size"], r.n) for r in made[0].collect()) == [(i, i) for i in range(90)]  # those that are gone are left out
+    assert opened_files.each_file(rows.limit(0), work, "n int").count() == 0
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_lost_files(spark, folder, tmp_path, monkeypatch, known):
+    """Also where only Spark reaches the file system, in small batches."""
     monkeypatch.setattr(files, "BATCH", 2)
+    monkeypatch.setattr(opened_files, "known", lambda path: known)
     engine = Engine(spark, str(tmp_path / "lib"))
     assert engine.scan(str(folder)) == (5, 0)
+    hashes = {r.file_path: r.phash for r in engine.tables.read("photos").collect()}
+    assert sorted(len(x) for x in hashes.values()) == [0, 0, 16, 16, 16]
     (folder / "sub" / "b.png").unlink()
-    paths = opened(monkeypatch)
-    assert engine.analyze(HashEmbedder(), tag_k=1, limit=1) == 1 and len(paths) == 1
+    assert engine.analyze(HashEmbedder(), tag_k=1, limit=1) == 1
     assert engine.analyze(HashEmbedder(), tag_k=1) == 3
     assert engine.faces_detect(HashDetector()) == 4
 
 
+def filtered_png(rows, how, depth, colour, palette=b""):
+    """A PNG file of rows of bytes, each row written as differences of kind `how[r]`."""
+    step, out, above = max(1, pixels.SAMPLES[colour] * depth // 8), b"", bytes(len(rows[0]))
+    for kind, row in zip(how, rows, strict=True):
+        left, corner = bytes(step) + row[:-step], bytes(step) + above[:-step]
+
+        def guess(a, b, c):
+            p = a + b - c
+            return (0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2])[kind]  # noqa: B023
+
+        out += bytes([kind]) + bytes((x - guess(a, b, c)) % 256 for x, a, b, c in zip(row, left, above, corner, strict=True))
+        above = row
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + b"\0\0\0\0"
+    width = len(rows[0]) * 8 // (pixels.SAMPLES[colour] * depth)
+    head = struct.pack(">IIBBBBB", width, len(rows), depth, colour, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + (part(b"PLTE", palette) if palette else b"") + part(b"IDAT", zlib.compress(out)) + part(b"IEND", b"")
+
+
+@pytest.mark.parametrize("colour,depth", [(0, 8), (2, 8), (4, 8), (6, 8), (2, 16), (3, 8), (3, 4), (0, 1), (0, 16)])
+def test_png(colour, depth):
+    rng = np.random.default_rng(colour + depth)
+    for how in ([0] * 7, [0, 1, 2, 2, 1, 1, 2], [4, 3, 4, 2, 1, 0, 4]):
+        rows = [rng.integers(0, 256, 24, np.uint8).tobytes() for _ in how]
+        palette = bytes(range(256)) * 3 if colour == 3 else b""
+        got = pixels.png_pixels(filtered_png(rows, how, depth, colour, palette))
+        raw = np.frombuffer(b"".join(rows), np.uint8).reshape(7, 24)
+        if depth < 8:
+            raw = np.unpackbits(raw, axis=1).reshape(7, -1, depth) @ (1 << np.arange(depth)[::-1])
+            raw = raw if colour == 3 else raw * (255 // (2**depth - 1))
+        raw = (raw[:, ::2] if depth == 16 else raw).reshape(7, -1, pixels.SAMPLES[colour])
+        want = np.frombuffer(palette, np.uint8).reshape(-1, 3)[raw[..., 0]] if colour == 3 else np.repeat(raw[..., :1], 3, 2) if colour in (0, 4) else raw[..., :3]
+        assert np.array_equal(got, want)
+    assert np.array_equal(pixels.png_pixels(pixels.png(picture(3))), np.clip(np.rint(picture(3)), 0, 255))
+    for bad in (b"", b"\x89PNG\r\n\x1a\n", b"text", pixels.png(picture(3))[:80], b"\xff\xd8\xff"):
+        assert pixels.png_pixels(bad) is None
+
+
+def test_png_as_the_image_source(spark, tmp_path):
+    """Both ways to decode agree."""
+    (tmp_path / "x.png").write_bytes(pixels.png(picture(5)))
+    r = files.images(spark, [f"file:{tmp_path}/x.png"]).first()
+    assert np.array_equal(pixels.rgb(r.data, r.height, r.width, r.nChannels), pixels.png_pixels((tmp_path / "x.png").read_bytes()))
+
+
+def test_sink_attempts(tmp_path):
+    """Of two attempts at the same rows, and one that fails half way, one whole file each is left."""
+    root = tmp_path / "out"
+    (root / "a").mkdir(parents=True)
+    (root / "a" / "1.txt").write_bytes(b"old")
+    writer, rows = sink.FileWriter(f"file:{root}"), [("a/1.txt", b"one"), ("2 %41.txt", b"two")]
+
+    def cut():
+        yield rows[0]
+        raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):
+        writer.write(cut())
+    writer.write(iter(rows))  # a copy whose message never comes
+    done = writer.write(iter(rows))
+    assert (root / "a" / "1.txt").read_bytes() == b"old"
+    writer.commit([done, None])
+    assert sorted(os.listdir(root)) == ["2 %41.txt", "a"] and (root / "a" / "1.txt").read_bytes() == b"one"
+    for name in ("../x", "/x", "a/../x", "", "a//x"):
+        with pytest.raises(ValueError, match="name"):
+            writer.write(iter([(name, b"")]))
+    writer.abort([])
+    assert sorted(os.listdir(root)) == ["2 %41.txt", "a"]
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_sink(spark, tmp_path, monkeypatch, known):
+    monkeypatch.setattr(sink, "known", lambda path: known)
+    rows = spark.range(40).select(F.concat(F.lit("d"), F.col("id") % 3, F.lit("/"), "id"), F.col("id").cast("string").cast("binary"))
+    sink.put_files(rows, str(tmp_path / "out"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file() and p.suffix != ".crc"} == {str(i): str(i).encode() for i in range(40)}
+    if known:  # a job that fails leaves nothing
+        broken = spark.range(40).repartition(4).select(F.concat(F.lit("x"), "id"), F.when(F.col("id") != 39, F.lit(b"1")).otherwise(F.raise_error(F.lit("boom")).cast("binary")))
+        with pytest.raises(Exception, match="boom"):
+            sink.put_files(broken, str(tmp_path / "other"))
+        assert not [p for p in (tmp_path / "other").rglob("*") if p.is_file()]
+
+
 def test_stream(spark, folder, tmp_path):
     """What arrives has hashes, dates and positions, as after a scan, and a scan has nothing to add."""
     (folder / "dated.jpg").write_bytes(b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff("<")) + 8) + b"Exif\0\0" + tiff("<") + b"\xff\xd9")
