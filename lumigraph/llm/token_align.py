@@ -28,7 +28,7 @@ from lumigraph.sources.tables import stash, table
 
 TOKENS = "byte_bpe_50k.json"
 #: Bytes of text aligned together; a longer text is looked at in parts of about so many.
-BYTES = 2 << 20
+BYTES = 1 << 19
 #: Labels of a byte: a token of A ends, one of B ends, or both; 0 if none does.
 A_END, B_END, BOTH = 1, 2, 3
 SPAN = re.compile(rb"[^\x03]*\x03")
