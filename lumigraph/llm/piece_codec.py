@@ -15,8 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lumigraph.llm import arrays as A
@@ -25,7 +24,7 @@ from lumigraph.sources.tables import table
 
 MODEL = "piece_bpe_32k.model"
 #: Bytes of text encoded together; a longer text is cut into parts of about so many.
-BYTES = 2 << 20
+BYTES = 1 << 19
 #: Code points from which on a word is cut where no piece reaches across.
 LONG = 32
 #: What stands for a space in pieces.
@@ -252,14 +251,14 @@ class Codec:
         size = self.size[ids]
         data, ends = gathered(self.bytes, self.start[ids], size).tobytes(), np.append(0, np.cumsum(size))
         last = np.cumsum(count)
-        heard = np.flatnonzero(~self.silent[ids])
+        heard, quiet = np.flatnonzero(~self.silent[ids]), np.flatnonzero(self.silent[ids])
+        opening, marks = np.searchsorted(heard, last - count), np.searchsorted(quiet, np.append(last - count, last[-1:]))
+        quiet = ends[quiet].tolist()
         out = []
-        opening = np.searchsorted(heard, last - count)
-        for a, b, k in zip((last - count).tolist(), last.tolist(), opening.tolist(), strict=True):
-            piece = data[ends[a] : ends[b]]
-            if self.prefix and k < len(heard) and heard[k] < b and self.spaced[ids[heard[k]]]:
-                piece = piece[1:]
-            out.append(piece.decode(errors="lumigraph_each_byte"))
+        for i, (a, b, k) in enumerate(zip((last - count).tolist(), last.tolist(), opening.tolist(), strict=True)):
+            start = int(ends[a]) + bool(self.prefix and k < len(heard) and heard[k] < b and self.spaced[ids[heard[k]]])
+            cuts = [start, *(max(start, q) for q in quiet[marks[i] : marks[i + 1]]), int(ends[b])]  # bytes don't join across a control piece
+            out.append("".join(data[x:y].decode(errors="lumigraph_each_byte") for x, y in zip(cuts, cuts[1:], strict=False) if y > x))
         return out
 
 
@@ -342,19 +341,31 @@ def decode(tokens: DataFrame, model: str | None = None, ids: str = "ids", out: s
     return tokens.mapInArrow(work, wider(tokens, name, "string"))
 
 
-def packed(ids: Column) -> Column:
+def digest(ids: np.ndarray) -> str:
     """SHA-256, in hex, of ids as little-endian unsigned 32-bit integers."""
+    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
 
-    @F.arrow_udf("string")
-    def digest(lists: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in lists], pa.string())
 
-    return digest(ids)
+def report(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: encoded with begin and end, decoded again, in one pass; cases as in `encode`."""
+    codec = docs.sparkSession.sparkContext.broadcast(Codec(read_model(model or public_tokenizers.path(MODEL))))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for ids, count in codec.value.encode(batch.column("text"), True, True):
+                back = [hashlib.sha256(x.encode()).hexdigest() for x in codec.value.decode(ids, count)]
+                own = [digest(x) for x in np.split(ids, np.cumsum(count)[:-1])]
+                columns = [batch.column("doc_id").slice(done, len(count)), pa.array(count), pa.array(own), pa.array(back)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                done += len(count)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), packed(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return report(table(spark, sf_dir, "documents"))
 
 
 SQL = None

@@ -12,7 +12,6 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumigraph.llm import piece_codec, spelling, token_align
@@ -65,9 +64,14 @@ def test_codec_rows(spark, library):
 
 
 def test_codec_digest(spark, library):
-    ids = library.encode("some words")
-    out = spark.createDataFrame([(ids,), ([],)], "ids array<int>").select(piece_codec.packed(F.col("ids")))
-    assert {r[0] for r in out.collect()} == {hashlib.sha256(struct.pack(f"<{len(x)}I", *x)).hexdigest() for x in (ids, [])}
+    rows = [*enumerate(texts(5, 40)), (0, "again"), (None, "no id")]
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_bos=True, add_eos=True)
+        want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+    df = frame(spark, rows)
+    assert sorted((tuple(r) for r in piece_codec.report(df).collect()), key=str) == sorted(want, key=str)
+    assert piece_codec.report(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("most", [64, 1 << 20])
