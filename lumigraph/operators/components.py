@@ -84,3 +84,41 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     # The last step names only nodes that move: those that stayed are the roots themselves.
     named = roots.select("id", F.col("root").alias("component"))
     return named.unionAll(named.select(F.col("component").alias("id"), "component")).distinct()
+
+
+def merged_components(known: DataFrame, added: DataFrame, a: str, b: str) -> DataFrame:
+    """(component, now) of the components of `known` (id, component) that new edges join to smaller ones, and of new nodes.
+
+    Edges are lifted to components, so that rounds and shuffles go with the new
+    edges and not with what is known; the known labels are read once, to look
+    their ends up.  A new node that an edge joins to a smaller one appears as a
+    component of its own; a component that is not returned stays as it is.
+    """
+    edges = stash(added.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("x"), F.col(b).alias("y")))
+    ends = edges.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    label = stash(ends.join(known.select("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    one, two = (label.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "xy")
+    found = connected_components(edges.join(one, "x").join(two, "y"), "of_x", "of_y")
+    return found.select(F.col("id").alias("component"), F.col("component").alias("now")).where("component <> now")
+
+
+def with_edges(known: DataFrame, added: DataFrame, a: str, b: str) -> DataFrame:
+    """`known` (id, component) after new edges, with their new nodes: what `connected_components` of all edges would say."""
+    moved = stash(merged_components(known, added, a, b))
+    ends = added.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.explode(F.array(a, b)).alias("id")).distinct()
+    nodes = known.select("id", "component").unionByName(ends.join(known, "id", "left_anti").select("id", F.col("id").alias("component")))
+    return nodes.join(moved, "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+
+
+def without_edges(known: DataFrame, removed: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """`known` (id, component) after edges went, `edges` being those that are left.
+
+    Only the components that lost an edge are worked out again, from the edges
+    that are left in them; an id that has none is a component by itself.
+    """
+    ends = removed.select(F.explode(F.array(a, b)).alias("id")).distinct()
+    torn = stash(known.join(ends, "id", "left_semi").select("component").distinct())
+    nodes = stash(known.join(torn, "component", "left_semi").select("id"))
+    left = edges.join(nodes.withColumnRenamed("id", a), a, "left_semi")
+    again = nodes.join(connected_components(left, a, b), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return known.join(torn, "component", "left_anti").select("id", "component").unionByName(again)

@@ -112,7 +112,7 @@ def nearest_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + step] @ c.T - half, 1) for i in range(0, len(x), step)])
 
 
-def _met(asking: DataFrame, members: DataFrame, k: int) -> DataFrame:
+def met(asking: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """EDGE rows: for each of `asking` (id, list, vec) its k nearest among each chunk of the members of that list."""
     chunk = lambda df: F.ceil(F.count("*") / CHUNK).cast("int")
     sizes = asking.groupBy("list").agg(chunk(asking).alias("is")).join(members.groupBy("list").agg(chunk(members).alias("js")), "list")
@@ -132,11 +132,16 @@ def _met(asking: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return one.unionByName(two).groupBy("list", "i", "j").applyInPandas(meet, EDGE)
 
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
+def best_edges(edges: DataFrame, k: int) -> DataFrame:
     first = Window.partitionBy("id").orderBy(F.desc("score"), "near")
     return edges.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r")
 
 
+def first_ids(rows: DataFrame, k: int) -> list[int]:
+    """The k + 1 smallest ids."""
+    return [r["id"] for r in rows.orderBy("id").limit(k + 1).select("id").collect()]
+
+
 def listed_knn(rows: DataFrame, n: int, dim: int, k: int) -> DataFrame:
     """kNN without loss from lists around centres, each with a covering radius.
 
@@ -168,7 +173,7 @@ def listed_knn(rows: DataFrame, n: int, dim: int, k: int) -> DataFrame:
     for r in members.groupBy("list").agg(F.max("away").alias("r")).collect():  # LISTS at most
         radius[r["list"]] = r["r"]
     radii = spark.sparkContext.broadcast(radius)
-    own = stash(_best(_met(members, members, k), k))
+    own = stash(best_edges(met(members, members, k), k))
     least = own.groupBy("id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,16 +191,15 @@ def listed_knn(rows: DataFrame, n: int, dim: int, k: int) -> DataFrame:
                 yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "list": at.astype(np.int32), "vec": pdf["vec"].to_numpy()[row]})
 
     asking = stash(members.join(least, "id", "left").select("id", "list", "vec", "least").mapInPandas(visits, "id long, list int, vec binary"))
-    edges = own.unionByName(_met(asking, members, k))
+    edges = own.unionByName(met(asking, members, k))
     # Of all vectors, and of those of length zero, the smallest ids: k + 1 are enough.
-    first = lambda df: [r["id"] for r in df.orderBy("id").limit(k + 1).select("id").collect()]
     zero = placed.where("list < 0")
-    nulls, smallest = first(zero), first(placed)
+    nulls, smallest = first_ids(zero, k), first_ids(placed, k)
     if nulls:
         to = lambda ids: F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("near")
         low = members.join(least, "id", "left").where("least IS NULL OR least <= 0").select("id", to(nulls), F.lit(0.0).alias("score"))
         edges = edges.unionByName(low).unionByName(zero.select("id", to(smallest), F.lit(0.0).alias("score")).where("id <> near"))
-    return _best(edges, k)
+    return best_edges(edges, k)
 
 
 def threshold_clusters(vectors: DataFrame, threshold: float, k: int = 9, id_col: str = "id", vector: str = "vector") -> DataFrame:

@@ -12,21 +12,31 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumigraph.operators import merge
 from lumigraph.sources.tables import stash
 
-SCHEMAS = {
-    "photos": "id long, file_path string, size long, created_at string, checksum string, phash string, exif_datetime string, latitude double, longitude double",
-    "embeddings": "id long, photo_id long, dim int, vector array<float>",
-    "tags": "id long, photo_id long, tag string, score double",
-    "clusters": "photo_id long, cluster_id long, score double",
-    "persons": "id long, name string",
-    "faces": "id long, photo_id long, face_index int, bbox_x double, bbox_y double, bbox_w double, bbox_h double, embedding array<float>, person_id long",
-    "face_thumbs": "id long, face_id long, thumb_path string",
+
+
+class Table(NamedTuple):
+    """Columns, the column whose hash deals the rows (or that is the part itself), and whether rows have a growing `id`."""
+
+    schema: str
+    by: str
+    numbered: bool = True
+    direct: bool = False
+
+
+TABLES = {
+    "photos": Table("id long, file_path string, size long, created_at string, checksum string, phash string, exif_datetime string, latitude double, longitude double", "file_path"),
+    "embeddings": Table("id long, photo_id long, dim int, vector array<float>", "photo_id"),
+    "tags": Table("id long, photo_id long, tag string, score double", "photo_id"),
+    "clusters": Table("photo_id long, cluster_id long, score double", "photo_id", numbered=False),
+    "persons": Table("id long, name string", "name"),
+    "faces": Table("id long, photo_id long, face_index int, bbox_x double, bbox_y double, bbox_w double, bbox_h double, embedding array<float>, person_id long", "photo_id"),
+    "face_thumbs": Table("id long, face_id long, thumb_path string", "face_id"),
 }
-#: The column whose hash deals a table's rows.
-DEALT_BY = {"photos": "file_path", "embeddings": "photo_id", "tags": "photo_id", "clusters": "photo_id", "persons": "name", "faces": "photo_id", "face_thumbs": "face_id"}
 #: Parts of a table; folders of one part from which on an append writes it anew.
 PARTS, FOLDERS = 64, 16
 #: Versions of a table that are kept, so that plans made before a change can still run; attempts of a change that others get ahead of.
@@ -68,8 +78,8 @@ class Catalog:
     must fail where there is such a file, as that of HDFS does.
     """
 
-    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
-        self.spark, self.root, self.n_parts = spark, root.rstrip("/"), parts
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, Table] | None = None, parts: int = PARTS):
+        self.spark, self.root, self.tables, self.n_parts = spark, root.rstrip("/"), tables or TABLES, parts
 
     def _fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -129,33 +139,38 @@ class Catalog:
             self._fs(self.root)[0].delete(self._fs(f"{self.root}/{name}/versions/v{n}")[1], False)
 
     def init(self) -> None:
-        for name in SCHEMAS:
+        for name in self.tables:
             if not self._numbers(name):
                 self._claim(name, Version(0, {}, 0))
 
     def part(self, name: str, column: Column | None = None) -> Column:
         """The part of a row, by its key or by another column that holds such keys."""
-        return F.pmod(F.xxhash64(F.col(DEALT_BY[name]) if column is None else column), F.lit(self.n_parts)).cast("int")
+        table = self.tables[name]
+        column = F.col(table.by) if column is None else column
+        return column.cast("int") if table.direct else F.pmod(F.xxhash64(column), F.lit(self.n_parts)).cast("int")
+
+    def columns(self, name: str) -> list[str]:
+        return T.StructType.fromDDL(self.tables[name].schema).names
 
     def rows(self, name: str, version: Version, parts: Iterable[int] | None = None) -> DataFrame:
         """The rows of a version, or of some of its parts; no other part's files are listed."""
         some = version.parts if parts is None else parts
         paths = [f"{self.root}/{name}/data/{f}/part={k}" for k in some for f in version.parts.get(k, ())]
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+        schema = self.tables[name].schema
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read(self, name: str) -> DataFrame:
         return self.rows(name, self.version(name))
 
     def change(self, name: str, make: Callable[[Version], Change]) -> int:
         """Make a change on top of the last version, again if another writer was first: rows written."""
-        columns = self.spark.createDataFrame([], SCHEMAS[name]).columns
-        top = F.coalesce(F.max("id"), F.lit(0)) if "id" in columns else F.lit(0)
+        top = F.max("id") if self.tables[name].numbered else F.max(F.lit(0))
         for _ in range(TRIES):
             old = self.version(name)
             try:
                 new = make(old)
                 folder, told = uuid.uuid4().hex, Observation()
-                rows = new.rows.select(*columns).observe(told, F.count(F.lit(1)).alias("n"), F.max(top).alias("top") if "id" not in columns else top.alias("top"))
+                rows = new.rows.select(*self.columns(name)).observe(told, F.count(F.lit(1)).alias("n"), top.alias("top"))
                 rows.withColumn("part", self.part(name)).write.partitionBy("part").parquet(f"{self.root}/{name}/data/{folder}")
             except (PySparkException, Py4JJavaError):
                 if self.version(name).number - old.number < KEPT:  # else what it read may have been deleted meanwhile
@@ -183,29 +198,32 @@ class Catalog:
 
     def put(self, name: str, new: DataFrame, keys: Sequence[str], id_col: str | None = None) -> int:
         """`merge.upsert` of the parts that `new` touches: how many different keys `new` has."""
-        columns = [x for x in self.spark.createDataFrame([], SCHEMAS[name]).columns if x not in keys and x != id_col]
+        columns = [x for x in self.columns(name) if x not in keys and x != id_col]
         fresh, n, parts = self._held(name, merge.one_each(new, keys, columns))
         if n:
             self.change(name, lambda old: Change(merge.put_in(self.rows(name, old, parts), fresh, keys, id_col, old.top, n <= BROADCAST_ROWS), parts))
         return n
 
-    def append(self, name: str, new: DataFrame, order: Sequence[str], beside: bool = True) -> int:
-        """Rows with the next ids, in the order of `order`: how many.  Files that are there stay, unless a part has many folders."""
+    def append(self, name: str, new: DataFrame, order: Sequence[str] = ()) -> int:
+        """Rows, with the next ids in the order of `order` if the table has such: how many.  Files that are there stay, unless a part has many folders."""
         held, n, parts = self._held(name, new)
 
         def make(old: Version) -> Change:
-            added = merge.numbered(held, order, "id", old.top)
+            added = self._numbered(name, held, order, old)
             full = [k for k in parts if len(old.parts.get(k, ())) >= FOLDERS]
             if not full:
                 return Change(added, parts, beside=True)
-            return Change(self.rows(name, old, parts).unionByName(added.select(*self.read(name).columns)), parts)
+            return Change(self.rows(name, old, parts).unionByName(added.select(*self.columns(name))), parts)
 
         if n:
             self.change(name, make)
         return n
 
-    def replace(self, name: str, new: DataFrame, key: str, touched: DataFrame, order: Sequence[str]) -> int:
-        """What was said of the keys in `touched` goes, even if nothing is said now; `new` comes with the next ids: how many rows."""
+    def _numbered(self, name: str, rows: DataFrame, order: Sequence[str], old: Version) -> DataFrame:
+        return merge.numbered(rows, order, "id", old.top) if self.tables[name].numbered else rows
+
+    def replace(self, name: str, new: DataFrame, key: str, touched: DataFrame, order: Sequence[str] = ()) -> int:
+        """What was said of the keys in `touched`, by which the table is dealt, goes, even if nothing is said now; `new` comes, as in `append`: how many rows."""
         held, n, parts = self._held(name, new)
         gone, many, all_ = self._held(name, touched.select(key).distinct(), F.col(key))
         all_ = sorted({*all_, *parts})
@@ -213,7 +231,7 @@ class Catalog:
 
         def make(old: Version) -> Change:
             kept = self.rows(name, old, all_).join(keys, key, "left_anti")
-            return Change(kept.unionByName(merge.numbered(held, order, "id", old.top).select(*kept.columns)), all_)
+            return Change(kept.unionByName(self._numbered(name, held, order, old).select(*kept.columns)), all_)
 
         if many or n:
             self.change(name, make)
