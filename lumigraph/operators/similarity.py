@@ -21,9 +21,9 @@ BROADCAST_BYTES, MOST_SCORES = 32 << 20, 1 << 22
 LIST, CHUNK, LISTS, FIT, ROUNDS = 1_024, 4_096, 4_096, 16, 5
 
 
-def usable(vectors: DataFrame, id_col: str, vector: str, dim: int | None = None) -> DataFrame:
-    """(id, vec): rows whose vector has `dim` elements (that of the first non-empty row by default), none of them null."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vec")).where("id IS NOT NULL AND size(vec) > 0")
+def usable(vectors: DataFrame, id_col: str, vector: str, dim: int | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """(id, vec), and the columns `extra`: rows whose vector has `dim` elements (that of the first non-empty row by default), none of them null."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vec"), *extra).where("id IS NOT NULL AND size(vec) > 0")
     if dim is None:
         first = rows.select(F.size("vec").alias("n")).first()
         dim = first["n"] if first else 0
@@ -207,9 +207,12 @@ def threshold_clusters(vectors: DataFrame, threshold: float, k: int = 9, id_col:
 
     Every usable vector is returned; component is the smallest id of its group.
     """
-    rows = usable(vectors, id_col, vector)
-    edges = stash(knn_join(vectors, k, id_col, vector).where(F.col("score") >= threshold))
-    groups = connected_components(edges, "id", "near")
+    return edge_clusters(usable(vectors, id_col, vector), knn_join(vectors, k, id_col, vector), threshold)
+
+
+def edge_clusters(rows: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """(id, component) of the ids of `rows`, joined by edges (id, near, score) of `threshold` or more."""
+    groups = connected_components(stash(edges.where(F.col("score") >= threshold)), "id", "near")
     return rows.select("id").distinct().join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

@@ -242,6 +242,36 @@ def test_sink(spark, tmp_path, monkeypatch, known):
         assert not [p for p in (tmp_path / "other").rglob("*") if p.is_file()]
 
 
+def test_stored_indexes(spark, folder, tmp_path):
+    """With indexes, commands say the same, also after photos came, changed and were embedded anew."""
+    engine, embed = Engine(spark, str(tmp_path / "lib")), HashEmbedder()
+
+    def agree():
+        query = embed.images([(folder / "sub" / "b.png").read_bytes()])[0]
+        shown = lambda df: [(r.id, round(r.score, 6)) for r in df.collect()]
+        assert shown(engine.search(query, 4, stored=True)) == shown(engine.search(query, 4))
+        assert engine.duplicates(10, stored=True).collect() == engine.duplicates(10).collect()
+        counts = engine.cluster(0.3), sorted(engine.tables.read("clusters").collect())
+        assert (engine.cluster(0.3, stored=True), sorted(engine.tables.read("clusters").collect())) == counts
+
+    engine.scan(str(folder))
+    engine.analyze(embed, tag_k=1)
+    agree()
+    for i in range(3):
+        (folder / f"more{i}.png").write_bytes(pixels.png(picture(1, 40 + i)))
+    engine.scan(str(folder))
+    engine.analyze(embed, tag_k=1)
+    index = engine.vector_index()
+    assert index.tables.read("sources").count() == 8
+    agree()
+    (folder / "A.PNG").write_bytes(pixels.png(picture(2, 50)))
+    engine.scan(str(folder))
+    engine.analyze(embed, tag_k=1, incremental=False)
+    agree()
+    index._mark(False)  # a change that broke off
+    assert engine.vector_index().tables.read("members").count() == 8
+
+
 def test_stream(spark, folder, tmp_path):
     """What arrives has hashes, dates and positions, as after a scan, and a scan has nothing to add."""
     (folder / "dated.jpg").write_bytes(b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff("<")) + 8) + b"Exif\0\0" + tiff("<") + b"\xff\xd9")
