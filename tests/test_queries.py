@@ -6,8 +6,9 @@ import os
 import duckdb
 import pytest
 
-from lumigraph.plans.queries import QUERIES, SQL
+from lumigraph.plans import library_queries, queries
 
+QUERIES, SQL = queries.QUERIES | library_queries.QUERIES, queries.SQL | library_queries.SQL
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
