@@ -11,6 +11,8 @@ from lumigraph.sources.tables import stash, table
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys that are broadcast, at most (24 bytes each); of more, the most frequent are broadcast and the rest, none of which is frequent, shuffled.
 BROADCAST_KEYS = 100_000
+#: Positions to drop, by document, are broadcast up to so many bytes; more meet the texts by a shuffle.  What a document takes besides its positions.
+BROADCAST_DROPS, ROW_BYTES = 32 << 20, 64
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, stats: str | None = None) -> DataFrame:
@@ -50,7 +52,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     names = [free_name(docs.columns, x) for x in ("lg_lines", "lg_print", "lg_doc", "lg_gone")]
     split, mark, doc, gone = names
-    drops = drops.select(F.col("d").alias(doc), F.col("f").alias(mark + "_"), F.col("gone").alias(gone))
+    drops = stash(drops.select(F.col("d").alias(doc), F.col("f").alias(mark + "_"), F.col("gone").alias(gone)))
+    held = drops.agg(F.coalesce(F.sum(ROW_BYTES + 4 * F.size(gone)), F.lit(0))).first()[0]
+    drops = F.broadcast(drops) if held <= BROADCAST_DROPS else drops
     out = docs.withColumn(mark, F.xxhash64("text")).join(drops, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(mark + "_")), "left")
     out = out.withColumn(split, F.split(F.coalesce("text", F.lit("")), "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
