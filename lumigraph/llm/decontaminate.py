@@ -63,31 +63,55 @@ def windows(ws: Column, n: int | Column) -> Column:
     return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def _few(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def _cut(w: Column, start: Column, many: Column, n: int) -> Column:
+    """(start, s) of each window of n words in the run of `many` words from `start`."""
+    return F.transform(windows(F.slice(w, start, many), n), lambda s, i: F.struct((start + i).cast("int").alias("start"), s.alias("s")))
+
+
+def _met(text: DataFrame, marks: DataFrame, prints: DataFrame, key: str, n: int) -> DataFrame:
+    """(d, f, start, n, s): the windows of n words under those of `marks` (d, f, w, start, n, key) whose key is in `prints`.
+
+    Few prints are broadcast, and words are cut out where a mark is found, in
+    the task that made it.  More are joined by a shuffle of the marks, without
+    words; what is found goes back to its text, each text once.
+    """
+    if _few(prints, BROADCAST_HASHES):
+        rows = marks.join(F.broadcast(prints), key, "left_semi").select("d", "f", F.inline(_cut(F.col("w"), F.col("start"), F.col("n"), n)))
+    else:
+        some = marks.select("d", "f", "start", "n", key).join(prints, key, "left_semi")
+        some = some.groupBy("d", "f").agg(F.collect_set(F.struct("start", "n")).alias("at")).select(F.col("d").alias("of"), F.col("f").alias("with"), "at")
+        back = text.join(some, F.col("d").eqNullSafe(F.col("of")) & (F.col("f") == F.col("with")))
+        rows = back.select("d", "f", F.inline(F.flatten(F.transform("at", lambda x: _cut(F.col("w"), x["start"], x["n"], n)))))
+    return rows.select("d", "f", "start", F.lit(n).alias("n"), "s")
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(d, f, n_hit, items) of every document, as doc_id and hash of the text, that has a window of an item.
 
     Texts and items are winnowed, fingerprints joined, and each hit is extended
     to the windows under it, whose words are compared as text.  Items shorter
     than a window have no fingerprint: runs of as many words are joined by hash
-    first.  Words are cut out of a text only where a hash was found.
+    first.  Words are cut out of a text only where a hash was found; no row of
+    a hash carries a text further than its task.
     """
     item = stash(items.select(F.col("item_id").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0"))
     spans = item.select("item", F.least(F.size("w"), F.lit(window)).alias("n"), "w").select("item", "n", F.explode(windows(F.col("w"), F.col("n"))).alias("s")).distinct()
     spans = stash(spans)
     prints = stash(fingerprints(item.select("w"), window, gram).select("fp").distinct())
-    small = lambda df, n: F.broadcast(df) if df.limit(n + 1).count() <= n else df
     spans_n = {r["n"] for r in spans.select("n").distinct().collect()}  # numbers up to `window`
-    spans, prints = small(spans, BROADCAST_WINDOWS), small(prints, BROADCAST_HASHES)
+    spans = F.broadcast(spans) if _few(spans, BROADCAST_WINDOWS) else spans
     text = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("f"), words(F.col("text")).alias("w"))
     found = []
     if window in spans_n:
-        full = fingerprints(text, window, gram).join(prints, "fp", "left_semi")
-        full = full.select("d", "f", "start", F.posexplode(windows(F.slice("w", F.col("start"), F.col("n")), window)).alias("i", "s"))
-        found.append(full.select("d", "f", (F.col("start") + F.col("i")).alias("start"), F.lit(window).alias("n"), "s"))
+        found.append(_met(text, fingerprints(text, window, gram), prints, "fp", window))
     for n in sorted(spans_n - {window}):
-        own = stash(_hashed(item.where(F.size("w") == n), "h", n).select(F.get("h", F.lit(0)).alias("h")).distinct())
-        short = _hashed(text, "h", n).select("d", "f", "w", F.posexplode("h").alias("i", "h")).join(small(own, BROADCAST_HASHES), "h", "left_semi")
-        found.append(short.select("d", "f", (F.col("i") + 1).alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("w", F.col("i") + 1, F.lit(n)), " ").alias("s")))
+        own = stash(_hashed(item.where(F.size("w") == n), "h", n).select(F.get("h", F.lit(0)).alias("fp")).distinct())
+        runs = _hashed(text, "h", n).select("d", "f", "w", F.posexplode("h").alias("i", "fp")).withColumns({"start": F.col("i") + 1, "n": F.lit(n)})
+        found.append(_met(text, runs, own, "fp", n))
     if not found:
         found = [text.select("d", "f", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("s")).limit(0)]
     every = found[0]
