@@ -5,6 +5,7 @@ import os
 import random
 import re
 import string
+import time
 
 import duckdb
 import pytest
@@ -24,7 +25,9 @@ def low(x):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in x)
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("sent", [line_dedup.BROADCAST_DROPS, -1])
+def test_lines(spark, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "BROADCAST_DROPS", sent)
     rnd = random.Random(0)
     common = [f"Common line number {i} that is long enough to count" for i in range(4)] + ["É" * 45, "short"]
     rows = []
@@ -51,6 +54,23 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_long_texts_cost_their_length(spark, monkeypatch):
+    """Beyond the broadcast no row of a hash carries a text: fifty times the words don't take ten times as long."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", 0)
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    item = text(40)
+    items = spark.createDataFrame([(1, item), (2, "a short one")], "item_id long, text string")
+    took = []
+    for n in (1000, 1000, 50_000):
+        docs = spark.createDataFrame([(i, f"{text(n)} {item} {text(5)} a short one") for i in range(2)], "doc_id long, text string")
+        began = time.time()
+        assert [(r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, items).collect()] == [(n + 48, 43, ["1", "2"])] * 2
+        took.append(time.time() - began)
+    assert took[2] < 10 * max(took[1], 1)
+
+
 def brute_windows(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t or ""))
     w, hit, found = words(text), set(), set()
@@ -69,7 +89,7 @@ def brute_windows(text, items):
 @pytest.mark.parametrize("keys", [0, 3])
 def test_lines_with_more_keys_than_are_broadcast(spark, monkeypatch, keys):
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", keys)
-    test_lines(spark)
+    test_lines(spark, monkeypatch, -1)
 
 
 @pytest.mark.parametrize("big", [True, False])
