@@ -112,8 +112,8 @@ def test_knn_visits_few_lists(spark, monkeypatch):
     x[[5, 50, 130]] = 0
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
     met = []
-    plain = similarity._met
-    monkeypatch.setattr(similarity, "_met", lambda asking, members, k: met.append(asking.count()) or plain(asking, members, k))
+    plain = similarity.met
+    monkeypatch.setattr(similarity, "met", lambda asking, members, k: met.append(asking.count()) or plain(asking, members, k))
     got = {}
     for r in similarity.knn_join(df, 5).collect():
         got.setdefault(r.id, []).append((-round(r.score, 9), r.near))
