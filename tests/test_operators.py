@@ -225,6 +225,18 @@ def test_labels(spark):
     assert tagging.rank_labels(df, ["x"], np.array([[1, 1]]), 0).collect() == []
 
 
+def test_labels_in_blocks(spark, monkeypatch):
+    """Blocks of labels give what one matrix gives, ties included."""
+    rng = np.random.default_rng(5)
+    w = rng.integers(-2, 3, (40, 4)).astype(float)
+    v = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(rng.integers(-2, 3, (50, 4)))], "id long, vector array<double>")
+    names = [f"l{i}" for i in range(40)]
+    shown = lambda: sorted((r.id, r["rank"], r.tag, round(r.score, 9)) for r in tagging.rank_labels(v, names, w, 6).collect())
+    whole = shown()
+    monkeypatch.setattr(tagging, "BLOCK_BYTES", 4 * 8 * 3)
+    assert shown() == whole
+
+
 def test_tags_of_many_labels(spark, monkeypatch, tmp_path):
     n = 1100
     at = 2 * np.pi * np.arange(n) / n
