@@ -26,7 +26,7 @@ from lumigraph.sources.sink import put_files
 from lumigraph.sources.tables import stash, table, work_dir
 
 LEVEL = 127.5
-#: A stored photo before a scan, as the library's queries have it, and what a scan says of it.
+#: The vectors that PixelEmbedder makes of the pictures.
 PIXELS = f"SELECT vec_id AS id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * {LEVEL}) - {LEVEL}) AS v FROM embeddings"
 
 
@@ -153,12 +153,16 @@ def engine_gallery(spark: SparkSession, d: str) -> DataFrame:
     engine.faces_detect(PixelDetector(), min_score=0.1)
     out = f"{work_dir(spark)}/gallery"
     engine.export(out)
-    rows = spark.read.text(out, pathGlobFilter="*.html").select(F.regexp_extract("value", r'"thumb": "thumbs/\d+_(v\d+\.png)\.png", "tags"', 1).alias("name")).where("name <> ''")
-    thumbs = spark.read.format("image").load(f"{out}/thumbs").select(F.regexp_extract("image.origin", r"_(v\d+\.png)\.png$", 1).alias("name"), "image.width")
-    crops = spark.read.format("image").load(f"{out}/faces").select(F.regexp_extract("image.origin", r"face_(\d+)\.png$", 1).cast("long").alias("face_id"), F.col("image.width").alias("crop"))
+    name = F.regexp_extract("value", r'"thumb": "thumbs/\d+_(v\d+\.png)\.png", "tags"', 1).alias("name")
+    rows = spark.read.text(out, pathGlobFilter="*.html").select(name).where("name <> ''")
+    image = lambda folder: spark.read.format("image").load(f"{out}/{folder}").select("image.*")
+    thumbs = image("thumbs").select(F.regexp_extract("origin", r"_(v\d+\.png)\.png$", 1).alias("name"), "width")
+    crops = image("faces").select(F.regexp_extract("origin", r"face_(\d+)\.png$", 1).cast("long").alias("face_id"), F.col("width").alias("crop"))
     faces = engine.tables.read("faces").select(F.col("id").alias("face_id"), "photo_id").join(crops, "face_id").join(named(engine), "photo_id")
     faces = faces.groupBy(F.format_string("v%d.png", "vec_id").alias("name")).agg(F.count("*").alias("crops"), F.max("crop").alias("crop"))
-    return rows.join(thumbs, "name").join(faces, "name", "left").select("name", "width", F.coalesce("crops", F.lit(0)).cast("long").alias("crops"), F.coalesce("crop", F.lit(0)).alias("crop"))
+    none = F.lit(0)
+    shown = rows.join(thumbs, "name").join(faces, "name", "left")
+    return shown.select("name", "width", F.coalesce("crops", none).cast("long").alias("crops"), F.coalesce("crop", none).alias("crop"))
 
 
 def engine_commands(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +171,8 @@ def engine_commands(spark: SparkSession, d: str) -> DataFrame:
     pictures(spark, d, f"{root}/in")
     engine = Engine(spark, f"{root}/library")
     engine.scan(f"{root}/in")
-    out = [("analyze 100", engine.analyze(embed, limit=100)), ("analyze", engine.analyze(embed)), ("analyze again", engine.analyze(embed)), ("analyze anew", engine.analyze(embed, incremental=False, tag_k=2))]
+    out = [("analyze 100", engine.analyze(embed, limit=100)), ("analyze", engine.analyze(embed)), ("analyze again", engine.analyze(embed))]
+    out += [("analyze anew", engine.analyze(embed, incremental=False, tag_k=2))]
     out += [("tags", engine.tables.read("tags").count()), ("embeddings", engine.tables.read("embeddings").count()), ("browse", engine.browse(300).count())]
     out += [("faces", engine.faces_detect(PixelDetector(), min_score=0.0)), ("faces again", engine.faces_detect(PixelDetector(), min_score=0.0))]
     engine.faces_tag(3, "Ann")
@@ -266,7 +271,7 @@ def indexed_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grown_components(spark: SparkSession, d: str) -> DataFrame:
-    """Components of the orders' customers and parts' sellers, kept while edges come in three batches."""
+    """Components of users and classes of events, kept while edges come in three batches."""
     edges = table(spark, d, "events").select(F.col("user_id").alias("a"), (F.col("event_id") % 997 + 1_000_000).alias("b")).where("event_id % 50 = 0 OR event_type = 'purchase'")
     known = None
     for part in _thirds(edges, "a"):

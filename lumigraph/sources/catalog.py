@@ -6,6 +6,7 @@ import json
 import os
 import uuid
 from collections.abc import Callable, Iterable, Sequence
+from contextlib import nullcontext
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumigraph.operators import merge
-from lumigraph.sources.tables import stash
+from lumigraph.sources.tables import settings, stash
 
 
 
@@ -39,6 +40,8 @@ TABLES = {
 }
 #: Parts of a table; folders of one part from which on an append writes it anew.
 PARTS, FOLDERS = 64, 16
+#: Folders that the driver lists by itself: a call for each is less than a job.
+LISTED = 256
 #: Versions of a table that are kept, so that plans made before a change can still run; attempts of a change that others get ahead of.
 KEPT, TRIES = 3, 20
 #: Changed rows that are broadcast to the stored ones, at most; more are shuffled.
@@ -157,7 +160,10 @@ class Catalog:
         some = version.parts if parts is None else parts
         paths = [f"{self.root}/{name}/data/{f}/part={k}" for k in some for f in version.parts.get(k, ())]
         schema = self.tables[name].schema
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        with settings(self.spark, threshold=LISTED) if len(paths) <= LISTED else nullcontext():
+            return self.spark.read.schema(schema).parquet(*paths)
 
     def read(self, name: str) -> DataFrame:
         return self.rows(name, self.version(name))

@@ -7,13 +7,15 @@ import contextlib
 import tempfile
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SETTING = "spark.checkpoint.dir"
+#: Up to `threshold` folders are listed by the driver, more by a job of `parallelism` tasks at most.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery"
 #: Folders of local applications that have no setting.
 _own: dict[str, str] = {}
 _known: set[str] = set()
@@ -24,6 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: object) -> Iterator[None]:
+    """Settings of the session, by their names' last part below LISTING, while a table's files are listed."""
+    names = {f"{LISTING}.{k}": str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from `spark.checkpoint.dir`.
 

@@ -6,11 +6,17 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumigraph.operators import components, duplicates, similarity
+from lumigraph.operators import components, duplicates, similarity, stored_index
 from lumigraph.operators.code_index import CodeIndex
 from lumigraph.operators.vector_index import VectorIndex
 
 
+@pytest.fixture(autouse=True)
+def few_parts(monkeypatch):
+    """Small tables in few files."""
+    monkeypatch.setattr(stored_index, "PARTS", 3)
+
+
 def vector_rows(seed, n, dim=8, groups=12):
     """Vectors around some directions; equal ones, opposite ones, and some of length zero."""
     rng = np.random.default_rng(seed)
@@ -110,12 +116,12 @@ def test_codes_in_batches(spark, tmp_path, limit, expected):
     rnd = random.Random(limit)
     base = [rnd.getrandbits(64) for _ in range(25)]
     flip = lambda x, n: x ^ sum(1 << i for i in rnd.sample(range(64), n))
-    rows = [(i, f"{flip(rnd.choice(base), rnd.randrange(0, limit + 2)):016x}") for i in range(300)]
+    rows = [(i, f"{flip(rnd.choice(base), rnd.randrange(0, limit + 2)):016x}") for i in range(160)]
     rnd.shuffle(rows)
     rows += [(1000, None), (1001, "")]
     index = CodeIndex(spark, str(tmp_path / "index"), limit, expected)
     frame = lambda rows: spark.createDataFrame(rows, "id long, phash string")
-    for end, start in ((150, 0), (152, 150), (302, 152)):
+    for end, start in ((80, 0), (82, 80), (162, 82)):
         index.add(frame(rows[start:end]))
         want = duplicates.duplicate_groups(frame(rows[:end]), limit)
         assert sorted(map(tuple, index.groups().collect())) == sorted(map(tuple, want.collect()))
