@@ -369,7 +369,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, ids, known, sets = zip(*rows, strict=True)
         side = None if task[1] == task[2] else np.array(chunk) == task[2]
         least: dict[int, bytes] = {}
-        first = tree_links([np.frombuffer(s, np.uint64) for s in sets], known, side).tolist()
+        first = tree_links(list(sets), known, side).tolist()
         for i, r in zip(ids, first, strict=True):
             least[r] = min(i, least.get(r, i))
         pairs = [(i, least[r]) for i, r in zip(ids, first, strict=True) if i != least[r]]
@@ -377,7 +377,11 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     at, rows = None, []
     for batch in batches:
-        for group, i, j, *row in zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True):
+        _, ends, data = batch.column(6).buffers()
+        ends = np.frombuffer(ends, np.int32)[batch.column(6).offset :][: len(batch) + 1] // 8
+        data = np.frombuffer(data, np.uint64, int(ends[-1])) if len(batch) and ends[-1] else np.zeros(0, np.uint64)
+        sets = (data[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False))  # where Arrow has them, no copies
+        for group, i, j, *row in zip(*[batch.column(c).to_pylist() for c in range(6)], sets, strict=True):
             if at != (group, i, j):
                 if len(rows) > 1:
                     yield done(at, rows)
