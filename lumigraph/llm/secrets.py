@@ -70,29 +70,42 @@ def _battery(n: Column, k: Column, e: Column, at: Column, kinds: Column) -> Colu
     """The tests of a token of n characters, k in the alphabet: their places in it, counted from its middle, and their kinds."""
     total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
     both = lambda xs, f: F.zip_with(F.slice(xs, 1, F.size(xs) - 1), F.slice(xs, 2, F.size(xs) - 1), f)
-    two_sided = lambda z: F.least(2 * upper_tail(F.abs(z)), F.lit(1.0))
     squares = total(F.array_distinct(at), lambda c: F.pow(F.size(F.filter(at, lambda x: x == c)).cast("double"), F.lit(2.0)))
     steps = n - 1
-    changes = total(both(kinds, lambda a, b: F.when(a != b, 1.0).otherwise(0.0)), lambda x: x)
-    # Randomness: chi-squared over the alphabet (its cube root is nearly normal), runs about the middle, changes of kind, serial correlation.
-    chi, free = k * squares / n - n, k - 1
-    cube = (F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-    turns = total(both(at, lambda a, b: F.when((a < 0) != (b < 0), 1.0).otherwise(0.0)), lambda x: x)
-    mean = total(at, lambda x: x) / n
-    serial = (total(both(at, lambda a, b: a * b), lambda x: x) - steps * mean * mean) / F.greatest(total(at, lambda x: x * x) - n * mean * mean, F.lit(1e-9)) * F.sqrt(n)
-    free_change = e["random_change"]
-    z_turns = (turns - steps / 2) / F.sqrt(steps / 4)
-    z_changes = (changes - steps * free_change) / F.sqrt(steps * free_change * (1 - free_change))
-    ordered = fisher(upper_tail(cube), two_sided(z_turns), two_sided(z_changes), two_sided(serial))
-    # Structure: so few equal characters (mean and variance of the count of pairs), and so many changes of kind (a bound on a binomial tail:
-    # Stirling's on its first term, and a geometric series for the rest).
-    spread = F.sqrt(2 * n * steps * (e["pair"] - e["pair"] * e["pair"]) + 4 * n * steps * (n - 2) * (e["triple"] - e["pair"] * e["pair"]))
-    alike = upper_tail((n + n * steps * e["pair"] - squares) / spread)
-    rate, usual = changes / steps, e["change"]
-    distance = rate * F.ln(rate / usual) + (1 - rate) * F.ln((1 - rate) / (1 - usual))
-    series = F.sqrt(F.lit(2 * math.pi) * steps * rate * (1 - rate)) * (1 - (1 - rate) * usual / (rate * (1 - usual)))
-    mixed = F.when(rate <= usual, 1.0).when(rate >= 1, F.pow(usual, steps)).otherwise(F.least(F.exp(-steps * distance) / series, F.lit(1.0)))
-    return F.when((n < 16) | (ordered < REFUSED), 1.0).otherwise(fisher(alike, mixed))
+    # Each fold over the characters is done once; formulas name its result.
+    sums = {
+        "squares": squares,
+        "changes": total(both(kinds, lambda a, b: F.when(a != b, 1.0).otherwise(0.0)), lambda x: x),
+        "turns": total(both(at, lambda a, b: F.when((a < 0) != (b < 0), 1.0).otherwise(0.0)), lambda x: x),
+        "mean": total(at, lambda x: x) / n,
+        "power": total(at, lambda x: x * x),
+        "lagged": total(both(at, lambda a, b: a * b), lambda x: x),
+    }
+
+    def tests(s: Column) -> Column:
+        # Randomness: chi-squared over the alphabet (its cube root is nearly normal), runs about the middle, changes of kind, serial correlation.
+        chi, free = k * s["squares"] / n - n, k - 1
+        cube = (F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+        mean, free_change, rate, usual = s["mean"], e["random_change"], s["changes"] / steps, e["change"]
+        serial = (s["lagged"] - steps * mean * mean) / F.greatest(s["power"] - n * mean * mean, F.lit(1e-9)) * F.sqrt(n)
+        z_turns = (s["turns"] - steps / 2) / F.sqrt(steps / 4)
+        z_changes = (s["changes"] - steps * free_change) / F.sqrt(steps * free_change * (1 - free_change))
+        # Structure: so few equal characters (mean and variance of the count of pairs), and so many changes of kind (a bound on a binomial tail:
+        # Stirling's on its first term, and a geometric series for the rest).
+        spread = F.sqrt(2 * n * steps * (e["pair"] - e["pair"] * e["pair"]) + 4 * n * steps * (n - 2) * (e["triple"] - e["pair"] * e["pair"]))
+        distance = rate * F.ln(rate / usual) + (1 - rate) * F.ln((1 - rate) / (1 - usual))
+        series = F.sqrt(F.lit(2 * math.pi) * steps * rate * (1 - rate)) * (1 - (1 - rate) * usual / (rate * (1 - usual)))
+        mixed = F.when(rate <= usual, 1.0).when(rate >= 1, F.pow(usual, steps)).otherwise(F.least(F.exp(-steps * distance) / series, F.lit(1.0)))
+        scores = {"cube": cube, "turns": F.abs(z_turns), "changes": F.abs(z_changes), "serial": F.abs(serial), "alike": (n + n * steps * e["pair"] - s["squares"]) / spread}
+        return let(F.struct(*[v.alias(x) for x, v in scores.items()], mixed.alias("mixed")), combined)
+
+    def combined(z: Column) -> Column:
+        twice = lambda name: F.least(2 * upper_tail(z[name]), F.lit(1.0))  # noqa: E731  two-sided
+        tails = {"cube": upper_tail(z["cube"]), "turns": twice("turns"), "changes": twice("changes"), "serial": twice("serial"), "alike": upper_tail(z["alike"])}
+        p = F.struct(*[v.alias(x) for x, v in tails.items()], z["mixed"].alias("mixed"))
+        return let(p, lambda p: F.when((n < 16) | (fisher(p["cube"], p["turns"], p["changes"], p["serial"]) < REFUSED), 1.0).otherwise(fisher(p["alike"], p["mixed"])))
+
+    return let(F.struct(*[v.alias(x) for x, v in sums.items()]), tests)
 
 
 def randomness(value: Column) -> Column:
