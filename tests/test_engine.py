@@ -503,3 +503,14 @@ def grey(levels):
 
 def test_hash_sums_in_order():
     assert [pixels.perceptual_hash(grey(x)) for x in EVEN.values()] == list(EVEN)
+
+
+def test_scan_hashes_sums_in_order(spark, tmp_path):
+    """The hashes that a scan stores of these pictures, as `engine_hashes` reads them."""
+    (tmp_path / "in").mkdir()
+    for name, levels in EVEN.items():
+        (tmp_path / "in" / f"{name}.png").write_bytes(pixels.png(grey(levels)))
+    engine = Engine(spark, str(tmp_path / "library"))
+    engine.scan(str(tmp_path / "in"))
+    rows = engine.tables.read("photos").collect()
+    assert {r["file_path"].rsplit("/", 1)[1] for r in rows} == {f"{r['phash']}.png" for r in rows} == {f"{x}.png" for x in EVEN}
