@@ -61,7 +61,7 @@ def node_of(prints: np.ndarray, role: np.ndarray) -> np.ndarray:
         return A.mix(prints.view(np.uint64) + role.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
 
 
-def keys_of(h: np.ndarray, sizes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def keys_of(h: np.ndarray, sizes: np.ndarray, hot: np.ndarray, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, document, role): two documents that link have a key in common in one role.
 
     In each of its roles a document's shingles are dealt into parts, and it
@@ -69,13 +69,20 @@ def keys_of(h: np.ndarray, sizes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarr
     - 1 parts in common, so that, with both taking the first `least` in one
     order of parts, one of these is the same: parts with most shingles that are
     not `hot` come first, for few documents have those in common by chance.
-    Sets with too few parts emit also, as all such sets do, their least
-    shingles: of two that link, the least n - ceil(0.8 n) + 1 have one in common.
+    Sets with too few parts emit also, as all such sets do, their first
+    shingles: of two that link, the first n - ceil(0.8 n) + 1 have one in common
+    in any one order of all shingles.  Here that is by rank (`ranks` of the hot
+    ones, which ascend with the documents that have them; others come before
+    all of these), then by hash.
     """
     starts = np.cumsum(sizes) - sizes
-    cold = np.ones(len(h), bool)
+    rank_of = np.zeros(len(h), np.int64)
     if len(hot):
-        cold = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] != h
+        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+        rank_of = np.where(hot[at] == h, (np.zeros(len(hot), np.int64) if ranks is None else ranks)[at] + 1, 0)
+    cold = rank_of == 0
+    order = np.lexsort((h, rank_of, np.repeat(np.arange(len(sizes)), sizes)))
+    h, cold = h[order], cold[order]
     out_keys, out_docs, out_roles = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for role in roles_of(sizes):
         docs = np.flatnonzero((sizes > 0) & (role >= 0))
@@ -197,7 +204,7 @@ def _keys(hot):
                         seen.add(f)
                 if len(seen) > SEEN:
                     seen.clear()
-                key, doc, role = keys_of(h[np.repeat(new, sizes)], sizes[new], hot.value)
+                key, doc, role = keys_of(h[np.repeat(new, sizes)], sizes[new], *hot.value)
                 held.append((key, node_of(one[new][doc], role)))
                 if sum(len(k) for k, _ in held) >= COMBINE:
                     yield from out()
@@ -443,7 +450,9 @@ def _joined(docs: DataFrame, task_shingles: int, task_sets: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "text")
     rows = stash(docs.mapInArrow(_prints, ", ".join(f"{x} long" for x in NAMES)))
     hot = rows.where("n = -1").groupBy("f1").agg(F.sum("f2").alias("docs")).orderBy(F.desc("docs"), "f1").limit(HOT).select("f1").toArrow()
-    hot = np.sort(hot["f1"].to_numpy().view(np.uint64))
+    hot = hot["f1"].to_numpy().view(np.uint64)  # those of most documents first
+    order = np.argsort(hot)
+    hot = hot[order], len(order) - 1 - order
     prints = rows.where("n >= 0")
     # A class of equal sets is named by its smallest doc_id and both hashes, in bytes that sort like the doc_id.
     sign = F.lit(-(1 << 63))

@@ -166,6 +166,23 @@ def test_every_link_shares_a_key():
             assert {*zip(keys[0][0].tolist(), keys[0][2].tolist())} & {*zip(keys[1][0].tolist(), keys[1][2].tolist())}
 
 
+def test_keys_of_short_sets_leave_out_hot_shingles():
+    """Short texts that share a line that many have get no key in common; those that link do, whichever order the hot shingles are in."""
+    rng = np.random.default_rng(5)
+    shingles = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    for n in (12, 30, 60):
+        line = np.sort(shingles(n) >> np.uint64(8))  # the least hashes of all
+        hot, ranks = np.sort(line), rng.permutation(n)
+        keys = lambda s: {(int(k), int(r)) for k, _, r in zip(*ngram_join.keys_of(np.sort(s), np.array([len(s)]), hot, ranks), strict=True)}
+        one, other = (np.concatenate([line[: n // 2], shingles(n - n // 2)]) for _ in range(2))
+        assert not keys(one) & keys(other)
+        mostly = n // 10
+        for own in (0, n // 2, n):  # of all shingles, so many are hot
+            base = np.concatenate([line[:own], shingles(n - own)])
+            near = np.concatenate([base[mostly:], shingles(mostly)]) if own < n else np.concatenate([base[: n - mostly], shingles(mostly)])
+            assert ngram_join.linked(np.sort(base), np.sort(near)) and keys(base) & keys(near)
+
+
 def families(seed, n):
     rng = np.random.default_rng(seed)
     sets = []
